@@ -48,9 +48,9 @@ def _share(nodes: DataFrame, parent: list[str], budget: Column) -> DataFrame:
     before = siblings.orderBy("__ratio", *[c for c in nodes.columns if c in LEVELS]).rowsBetween(Window.unboundedPreceding, -1)
     sized = nodes.withColumn("__ratio", ratio).withColumn("__budget", budget.cast("double"))
     sized = sized.withColumn("__full", F.coalesce(F.sum("supply").over(before), F.lit(0))).withColumn("__open", F.sum("weight").over(siblings) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    # With all smaller ratios full, the level would be this; it holds from the first child that it doesn't fill.
+    # The level if all smaller ratios were full. It holds at the first child that it doesn't fill, and is lower at later ones.
     sized = sized.withColumn("__level", F.when(F.col("__open") > 0, (F.col("__budget") - F.col("__full")) / F.col("__open")))
-    level = F.min(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(siblings)
+    level = F.max(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(siblings)
     share = F.floor(F.least(F.col("supply").cast("double"), F.coalesce(F.greatest(level, F.lit(0.0)) * F.col("weight"), F.when(F.col("weight") > 0, F.col("supply").cast("double")).otherwise(F.lit(0.0)))))
     return sized.withColumn("share", share.cast("long")).drop("__ratio", "__budget", "__full", "__open", "__level")
 
@@ -89,7 +89,7 @@ def mix_sources(docs: DataFrame, domain: Column, budget: int | None = None, frac
     # Whole epochs, and what is left for the next one, whose order is seeded by its number.
     shares = shares.select(*LEVELS, F.expr("share div tokens").alias("whole"), F.expr("share % tokens").alias("rest"))
     rows = rows.join(shares, list(LEVELS)).withColumn("h", order(F.col("whole")))
-    rows = rows.withColumn("bin", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * bins).bitwiseAND(F.lit(-1)) / F.lit(2**32)).withColumn("bin", F.floor("bin").cast("int"))
+    rows = rows.withColumn("bin", F.expr(f"(cast(conv(substring(h, 1, 8), 16, 10) as bigint) * {bins}) div 4294967296"))
     of_bin = rows.groupBy(*LEVELS, "bin").agg(F.sum("n_tokens").alias("b"), F.first("rest").alias("rest"))
     running = Window.partitionBy(*LEVELS).orderBy("bin")
     of_bin = of_bin.withColumn("through", F.sum("b").over(running)).select(*LEVELS, "bin", (F.col("through") - F.col("b")).alias("before"), "through")

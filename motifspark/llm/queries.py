@@ -55,6 +55,34 @@ def domain_of_source(source):
     return F.concat(F.lit("d"), F.when(number != "", F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 3").cast("string")).otherwise(F.lit("")))
 
 
+def _share_sql(keys: list[str], above: list[str]) -> str:
+    """One level of the tree in SQL: the children's shares of their parent's."""
+    level = keys[-1]
+    cases = " ".join(f"when '{k}' then {v!r}::double" for k, v in MIX_WEIGHTS[level].items())
+    part = f"partition by {', '.join(above)}" if above else ""
+    parent = "(select floor(sum(tokens) * 0.5) from leaves)" if not above else "p.share"
+    join = f"join s_{above[-1]} p using ({', '.join(above)})" if above else ""
+    cols = ", ".join(keys)
+    return f"""n_{level} as (select {cols}, sum(tokens) * 2 as supply, sum(tokens) as tokens, case {level} {cases} else 1.0::double end as weight from leaves group by {cols}),
+r_{level} as (select n_{level}.*, {parent}::double as budget, supply / weight as ratio from n_{level} {join}),
+l_{level} as (select *, (budget - coalesce(sum(supply) over b, 0)) / (sum(weight) over ({part}) - coalesce(sum(weight) over b, 0)) as lv from r_{level}
+  window b as ({part} order by ratio, {cols} rows between unbounded preceding and 1 preceding)),
+s_{level} as (select {cols}, tokens, floor(least(supply, coalesce(greatest(max(lv) filter (lv <= ratio) over ({part}), 0) * weight, supply)))::bigint as share from l_{level})"""
+
+
+OP7_SQL = f"""
+with d as (
+  select doc_id, 'd' || coalesce((try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') as bigint) % 3)::varchar, '') as domain, coalesce(lang, '') as language, coalesce(source, '') as source,
+    len(regexp_extract_all(text, '[^ \t-\r]+')) as n_tokens from documents),
+leaves as (select domain, language, source, sum(n_tokens) as tokens from d where n_tokens > 0 group by 1, 2, 3),
+{_share_sql(["domain"], [])},
+{_share_sql(["domain", "language"], ["domain"])},
+{_share_sql(["domain", "language", "source"], ["domain", "language"])},
+c as (select d.*, (share // tokens)::bigint as whole, (share % tokens)::bigint as rest from d join s_source using (domain, language, source) where n_tokens > 0),
+o as (select *, sum(n_tokens) over (partition by domain, language, source order by md5('7:' || whole || ':' || doc_id), doc_id) as upto from c)
+select doc_id, domain, language, source, n_tokens::bigint as n_tokens, whole + (upto <= rest)::bigint as epochs from o where whole + (upto <= rest)::bigint > 0"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -83,4 +111,4 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op8_line_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL}
