@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, mixing, quality
+from . import chat_format, line_dedup, mixing, quality, substring_dedup, suffix_dedup
 from .storage import read_table
 
 
@@ -42,6 +42,19 @@ select conv_id, count(*) as n_turns,
 from rows group by conv_id"""
 
 
+_REMOVED = "aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", F.expr(_REMOVED).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.expr(_REMOVED).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 MIX_WEIGHTS = {"domain": {"d0": 2.0, "d1": 1.0, "d2": 1.0}, "language": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}, "source": {"src0": 0.5}}
 
 
@@ -107,6 +120,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
