@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, mixing, quality, substring_dedup, suffix_dedup
+from . import chat_format, decontamination, line_dedup, mixing, ngram_join, quality, substring_dedup, suffix_dedup
 from .storage import read_table
 
 
@@ -55,6 +55,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.expr(_REMOVED).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 MIX_WEIGHTS = {"domain": {"d0": 2.0, "d1": 1.0, "d2": 1.0}, "language": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}, "source": {"src0": 0.5}}
 
 
@@ -118,12 +122,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents")).drop("class_distance", "common_distance")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL}
