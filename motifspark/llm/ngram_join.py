@@ -127,9 +127,22 @@ def _points(k: int) -> Callable:
     return run
 
 
-def spanning_links(n: np.ndarray, points: np.ndarray, percent: int, verify: Callable | None = None) -> list[tuple[int, int]]:
+def parities(sets: list[np.ndarray], bits: int = 4096) -> np.ndarray:
+    """For each set the parity of its count in each of ``bits`` finer groups, packed. Where two differ, so do the sets."""
+    out = np.empty((len(sets), bits // 64), np.uint64)
+    for a in range(0, len(sets), 256):
+        part = sets[a : a + 256]
+        owner = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        odd = np.bincount(owner * bits + (np.concatenate(part) >> tx.U(20) & tx.U(bits - 1)).astype(np.int64), minlength=len(part) * bits) & 1
+        out[a : a + 256] = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(part), -1)
+    return out
+
+
+def spanning_links(n: np.ndarray, points: np.ndarray, percent: int, verify: Callable | None = None, fine: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span each group of points that the bound (and verify, where given) ties together.
 
+    fine: the parities of counts in many more groups, a second bound on the overlap for points that pass the first.
+
     An R-tree of one level of pages: points in order of set size, PAGE to a page, with the page's coordinate maxima.
     """
     k = len(n)
@@ -158,6 +171,9 @@ def spanning_links(n: np.ndarray, points: np.ndarray, percent: int, verify: Call
             rest = rest[open_[rest]]
             bound = np.minimum(at[rest], v).sum(1)
             rest = rest[(100 + percent) * bound >= percent * (s + size[rest])]
+            if fine is not None and len(rest):
+                apart = np.bitwise_count(fine[order[rest]] ^ fine[order[q]]).sum(1, dtype=np.int64)
+                rest = rest[(100 + percent) * (s + size[rest] - apart) >= 2 * percent * (s + size[rest])]
             for p in rest.tolist():
                 if verify is None or verify(order[q], order[p]):
                     open_[p] = False
@@ -238,7 +254,7 @@ def _verified(percent: int) -> Callable:
                     return 100 * common >= percent * (len(x) + len(y) - common)
 
                 points = vectors(np.concatenate(own), np.concatenate([[0], np.cumsum(n)]))
-                links += [(int(cls[a + i]), int(cls[a + j])) for i, j in spanning_links(n, points, percent, alike)]
+                links += [(int(cls[a + i]), int(cls[a + j])) for i, j in spanning_links(n, points, percent, alike, parities(own) if b - a > PAGE else None)]
             p = np.array(links, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(p.max(1) if len(p) else p[:, 0]), pa.array(p.min(1) if len(p) else p[:, 1])], ["a", "b"])
 
