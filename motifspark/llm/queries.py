@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, line_dedup, mixing, ngram_join, quality, substring_dedup, suffix_dedup
+from . import chat_format, decontamination, language_model, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, suffix_dedup
 from .storage import read_table
 
 
@@ -50,6 +50,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", F.expr(_REMOVED).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read_table(spark, sf_dir, "documents"))
+    kinds = [*pii.BASE_KINDS, *pii.ADDED_KINDS]
+    rank = lambda s: F.array_position(F.array(*map(F.lit, kinds)), s["kind"])
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.transform(c, lambda s: F.struct(rank(s), s["start"], s["end"], s["kind"]))), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.expr(_REMOVED).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -129,6 +142,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
