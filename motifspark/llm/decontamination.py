@@ -6,7 +6,8 @@ some stretch of it is within ``floor(rate * item words)`` edits.
 
 Item-sized windows are placed where a document shares a run of ``SEED`` words with
 an item: within that many edits an item always keeps such a run whole, so placing
-loses nothing. Each window and item is embedded by CGK random walks: a walk of 3n
+loses nothing; nor does asking for as many shared runs near one diagonal as that
+many edits leave. Each window and item is embedded by CGK random walks: a walk of 3n
 steps reads a symbol, repeats it or moves on by a random bit of (step, symbol), so
 strings at a small edit distance end at a small Hamming distance. Each repetition
 samples ``bits`` of the walk's places; a window is a candidate if one repetition
@@ -62,21 +63,25 @@ def repetitions(recall: float, bits: int, far: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - far) ** bits))
 
 
-def cgk_samples(rows: np.ndarray, lengths: np.ndarray, size: int, repeats: int, bits: int, seed: int) -> np.ndarray:
-    """For each padded row of symbols a hash of each repetition's sampled places of its walk; places depend on size alone."""
-    rng = np.random.default_rng([seed, size])
-    steps = 3 * size
-    out = np.zeros((repeats, len(rows)), np.uint64)
-    each = np.arange(len(rows))
-    for r in range(repeats):
-        place = np.sort(rng.choice(steps, min(bits, steps), replace=False))
-        salts = rng.integers(0, 2**63, steps, dtype=np.uint64)
-        at = np.zeros(len(rows), np.int64)
-        for step in range(int(place[-1]) + 1):
-            symbol = np.where(at < lengths, rows[each, np.minimum(at, rows.shape[1] - 1)], tx.U(0))
-            if step in place:
-                out[r] = tx.mix(out[r] ^ symbol) + tx.U(1)
-            at += (tx.mix(symbol ^ salts[step]) & tx.U(1)).astype(np.int64)
+def cgk_samples(rows: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, repeats: int, bits: int, seed: int) -> np.ndarray:
+    """For each padded row of symbols and each repetition a hash of the sampled places of its walk.
+
+    sizes: the item's size for each row, on which the walk's length and the sampled places depend.
+    """
+    steps = 3 * int(sizes.max())
+    salts = np.random.default_rng(seed).integers(0, 2**63, (steps, repeats), dtype=np.uint64)
+    sampled = np.zeros((steps, len(rows), repeats), bool)
+    for size in np.unique(sizes).tolist():
+        rng = np.random.default_rng([seed, size])
+        mine = np.flatnonzero(sizes == size)
+        for r in range(repeats):
+            sampled[rng.choice(3 * size, min(bits, 3 * size), replace=False)[:, None], mine, r] = True
+    each = np.arange(len(rows))[:, None]
+    at, out = np.zeros((len(rows), repeats), np.int64), np.zeros((len(rows), repeats), np.uint64)
+    for step in range(steps):
+        symbol = np.where(at < lengths[:, None], rows[each, np.minimum(at, rows.shape[1] - 1)], tx.U(0))
+        out = np.where(sampled[step], tx.mix(out ^ symbol) + tx.U(1), out)
+        at += (tx.mix(symbol ^ salts[step]) & tx.U(1)).astype(np.int64)
     return out
 
 
@@ -113,7 +118,12 @@ class Items:
         at, grams = tx.ngrams(word, doc, SEED)
         order = np.argsort(grams, kind="stable")
         self.gram, self.gram_item, self.gram_at = grams[order], doc[at][order], (at - bounds[doc[at]])[order]
-        self.samples = [cgk_samples(w[None, :], np.array([len(w)]), len(w), self.repeats, bits, seed)[:, 0] if len(w) >= SEED else None for w in self.words]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.need = self.sizes - SEED + 1 - SEED * np.array(self.edits, np.int64)
+        padded = np.zeros((len(texts), max([1, *self.sizes.tolist()])), np.uint64)
+        for row, w in zip(padded, self.words, strict=True):
+            row[: len(w)] = w
+        self.samples = np.concatenate([cgk_samples(padded[a : a + 256], self.sizes[a : a + 256], np.maximum(self.sizes[a : a + 256], 1), self.repeats, bits, seed) for a in range(0, len(texts), 256)])
 
     def hits(self, word: np.ndarray, doc: np.ndarray, n_docs: int) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, distance, start word, end word) of the best stretch of each pair."""
@@ -127,21 +137,32 @@ class Items:
         entry = np.repeat(low[met], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
         item, place = self.gram_item[entry], np.repeat(at[met], many) - self.gram_at[entry]
         owner = np.repeat(doc[at[met]], many)
-        cand = np.unique(np.stack([item, owner, place], 1), axis=0)
+        # Within e edits an item keeps size - SEED + 1 - SEED * e of its runs, on diagonals at most e apart.
+        edits = np.array(self.edits, np.int64)[item]
+        wide = 4 * (len(word) + int(self.sizes.max()) + 1)
+        key = (item * n_docs + owner) * wide + place + wide // 2
+        order = np.argsort(key)
+        item, owner, place, key, edits = item[order], owner[order], place[order], key[order], edits[order]
+        enough = np.searchsorted(key, key + edits, side="right") - np.searchsorted(key, key - edits) >= self.need[item]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        pick = np.flatnonzero(enough & fresh)
         best: dict = {}
-        for i in np.unique(cand[:, 0]).tolist():
-            mine = cand[cand[:, 0] == i]
-            size, edits = len(self.words[i]), self.edits[i]
-            a, b = np.maximum(mine[:, 2], bounds[mine[:, 1]]), np.minimum(mine[:, 2] + size, bounds[mine[:, 1] + 1])
-            rows = word[np.minimum(a[:, None] + np.arange(size), len(word) - 1)]
-            same = (cgk_samples(rows, b - a, size, self.repeats, self.bits, self.seed) == self.samples[i][:, None]).any(0)
-            for (_, d, at_word), lo in zip(mine[same].tolist(), bounds[mine[same][:, 1]].tolist(), strict=True):
-                left, right = max(lo, at_word - edits), min(int(bounds[d + 1]), at_word + size + edits)
-                if (have := best.get((d, i))) and (have[0] == 0 or have[1] >= left - lo and have[2] <= right - lo):
+        for part in np.split(pick, range(512, len(pick), 512)):
+            i, d, p = item[part], owner[part], place[part]
+            if not len(i):
+                continue
+            size = self.sizes[i]
+            a, b = np.maximum(p, bounds[d]), np.minimum(p + size, bounds[d + 1])
+            rows = word[np.minimum(a[:, None] + np.arange(int(size.max())), len(word) - 1)]
+            same = (cgk_samples(rows, b - a, size, self.repeats, self.bits, self.seed) == self.samples[i]).any(1)
+            for i_, d_, p_ in zip(i[same].tolist(), d[same].tolist(), p[same].tolist(), strict=True):
+                lo, n, e = int(bounds[d_]), len(self.words[i_]), self.edits[i_]
+                left, right = max(lo, p_ - e), min(int(bounds[d_ + 1]), p_ + n + e)
+                if (have := best.get((d_, i_))) and (have[0] == 0 or have[1] >= left - lo and have[2] <= right - lo):
                     continue
-                distance, s, e = best_stretch(self.words[i], word[left:right])
-                if distance <= edits and (have is None or distance < have[0]):
-                    best[d, i] = (distance, left - lo + s, left - lo + e)
+                distance, s, t = best_stretch(self.words[i_], word[left:right])
+                if distance <= e and (have is None or distance < have[0]):
+                    best[d_, i_] = (distance, left - lo + s, left - lo + t)
         for (d, i), (distance, s, e) in sorted(best.items()):
             yield d, i, distance, s, e
 
