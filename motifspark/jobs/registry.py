@@ -1,4 +1,210 @@
-"""The queries of the motif jobs by name, and their SQL."""
+"""The queries of the motif jobs by name, and their SQL where it is fast on whole tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import ScanConfig
+from ..functions import alphabet as al
+from ..operators import scan, strand
+from ..sources import reads as rd
+
+CFG = ScanConfig()
+_ENC = "translate(upper(seq), 'TGCA', '0123')"
+_READS = f"with reads as ({rd.SHORT_SQL}) "
+_LONG = f"with reads as ({rd.LONG_SQL}) "
+
+
+def _simple(columns: str, where: str = "true", long: bool = False):
+    """A projection over the reads in SQL that both engines run."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return (rd.long_reads if long else rd.short_reads)(spark, sf_dir).where(where).selectExpr(*columns.split("; "))
+
+    return query, (_LONG if long else _READS) + f"select {columns.replace('; ', ', ')} from reads where {where}"
+
+
+_PROJECTIONS = {
+    "reads_scan": _simple("read_id; seq"),
+    "reads_long_filter": _simple("read_id; seq", f"length(seq) >= {CFG.slice_length}", long=True),
+    "encode_bases": _simple(f"read_id; {_ENC} as enc"),
+    "decode_bases": _simple(f"read_id; translate({_ENC}, '0123', 'TGCA') as seq"),
+    "length_gates": _simple("read_id; length(seq) as n", f"length(seq) >= {4 * CFG.min_mer} and {4 * CFG.max_mer} > length(seq)"),
+    "reverse_complement": _simple(f"read_id; reverse(translate({_ENC}, '0123', '3210')) as rc"),
+}
+
+
+def _split_halves(spark, sf_dir):
+    r, half = rd.short_reads(spark, sf_dir), F.floor(F.length("seq") / 2).cast("int")
+    return r.select("read_id", F.inline(F.array(F.struct(F.lit("L").alias("seg"), F.substr("seq", F.lit(1), half).alias("part")), F.struct(F.lit("R").alias("seg"), F.substr("seq", half + 1).alias("part")))))
+
+
+_HALVES_SQL = _READS + "select read_id, 'L' as seg, substr(seq, 1, length(seq) // 2) as part from reads union all select read_id, 'R', substr(seq, length(seq) // 2 + 1) from reads"
+
+
+def _paired(spark, sf_dir):
+    return rd.paired_reads(spark, sf_dir)
+
+
+_PAIRED_SQL = f"with reads as ({rd.SHORT_SQL}), pairs as ({rd.PAIRED_SQL}) "
+
+
+def _split_pair(spark, sf_dir):
+    h = lambda c: F.floor(F.length(c) / 2).cast("int")
+    part = lambda n, p: F.struct(F.lit(n).alias("seg"), p.alias("part"))
+    return _paired(spark, sf_dir).select("read_id", F.inline(F.array(part(1, F.substr("seq1", F.lit(1), h("seq1"))), part(2, F.substr("seq1", h("seq1") + 1)), part(3, F.substr("seq2", h("seq2") + 1)), part(4, F.substr("seq2", F.lit(1), h("seq2"))))))
+
+
+_SPLIT_PAIR_SQL = _PAIRED_SQL + " union all ".join(f"select read_id, {n} as seg, {p} as part from pairs" for n, p in enumerate(("substr(seq1, 1, length(seq1) // 2)", "substr(seq1, length(seq1) // 2 + 1)", "substr(seq2, length(seq2) // 2 + 1)", "substr(seq2, 1, length(seq2) // 2)"), 1))
+
+
+def _slice_long(spark, sf_dir):
+    s = CFG.slice_length
+    r = rd.long_reads(spark, sf_dir).where(F.length("seq") >= s).selectExpr("read_id", "seq", f"length(seq) div {s} as n", f"cast(length(seq) % {s} as int) as over")
+    r = r.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("slice"))
+    mid = F.expr("(n + 1) div 2")
+    start = (F.col("slice") - 1) * s + F.when(F.col("slice") > mid, F.col("over")).otherwise(0) + 1
+    return r.select("read_id", "slice", F.substr("seq", start, F.lit(s) + F.when(F.col("slice") == mid, F.col("over")).otherwise(0)).alias("seg"))
+
+
+_SLICE_SQL = _LONG + f"""select read_id, slice::int as slice, substr(seq, (slice - 1) * 150 + case when slice > (n + 1) // 2 then over else 0 end + 1, 150 + case when slice = (n + 1) // 2 then over else 0 end) as seg
+from (select read_id, seq, n, over, unnest(range(1, n + 1)) as slice from (select *, length(seq) // 150 as n, length(seq) % 150 as over from reads where length(seq) >= 150))"""
+
+
+def _k_ranges(spark, sf_dir):
+    r = rd.short_reads(spark, sf_dir).selectExpr("read_id", f"cast(least(length(seq) div 4, {CFG.max_mer}) as int) as hi").where(f"hi >= {CFG.min_mer}")
+    return r.select("read_id", F.explode(F.sequence(F.lit(CFG.min_mer), F.col("hi"))).alias("k"))
+
+
+_K_SQL = _READS + f"select read_id, unnest(range({CFG.min_mer}, least(length(seq) // 4, {CFG.max_mer}) + 1))::int as k from reads"
+
+
+def _windows(spark, sf_dir, k=6):
+    """Valid windows of one length over all reads, as digits."""
+    r = rd.short_reads(spark, sf_dir).select("read_id", al.encode(F.col("seq")).alias("enc")).where(F.length("enc") >= k)
+    r = r.select("read_id", "enc", F.explode(F.sequence(F.lit(1), F.length("enc") - k + 1)).alias("pos"))
+    return r.select("read_id", "pos", F.substr("enc", F.col("pos"), F.lit(k)).alias("kmer")).where(~F.col("kmer").rlike("[^0-3]"))
+
+
+_WINDOWS_SQL = _READS + f""", w as (select read_id, pos::int as pos, substr(enc, pos, 6) as kmer from (select read_id, enc, unnest(range(1, length(enc) - 4)) as pos from (select read_id, {_ENC} as enc from reads)))
+, v as (select * from w where not regexp_matches(kmer, '[^0-3]'))
+, m as (select kmer, list_min(list_transform(range(0, 6), lambda i: substr(kmer || kmer, i + 1, 6))) as canon from (select distinct kmer from v))
+, f as (select kmer, list_min(list_transform(range(0, 6), lambda i: substr(flip || flip, i + 1, 6))) as other from (select kmer, reverse(translate(kmer, '0123', '3210')) as flip from (select distinct canon as kmer from m))) """
+
+
+def _distinct_canonical(spark, sf_dir):
+    # first() keeps filters on the motif above the aggregation, so they see each motif once.
+    canon = _windows(spark, sf_dir).select("kmer").distinct().select(al.canonical(F.col("kmer")).alias("key"))
+    return canon.groupBy("key").agg(F.first("key").alias("kmer")).select("kmer")
+
+
+def _segment_mode(spark, sf_dir):
+    """Each read's commonest canonical 6-mer; of equals the one that reached the maximum first."""
+    c = _windows(spark, sf_dir).groupBy("read_id", al.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("cnt"), F.max("pos").alias("last"))
+    return c.groupBy("read_id").agg(F.sum("cnt").alias("total"), F.max("cnt").alias("most"), F.min_by("kmer", F.struct(-F.col("cnt"), "last")).alias("kmer"))
+
+
+_COUNTS_SQL = _WINDOWS_SQL + ", c as (select read_id, canon as kmer, count(*) as cnt, max(pos) as last from v join m using (kmer) group by 1, 2) "
+
+
+def _window_totals(spark, sf_dir):
+    r = rd.short_reads(spark, sf_dir).select("read_id", F.explode(F.split(al.encode(F.col("seq")), "[^0-3]+")).alias("run"))
+    r = r.select("read_id", F.length("run").alias("n"), F.explode(F.sequence(F.lit(CFG.min_mer), F.lit(CFG.max_mer))).alias("k"))
+    return r.groupBy("read_id", "k").agg(F.sum(F.greatest(F.col("n") - F.col("k") + 1, F.lit(0))).cast("long").alias("total"))
+
+
+_TOTALS_SQL = _READS + f"select read_id, k::int as k, sum(greatest(length(run) - k + 1, 0))::bigint as total from (select read_id, unnest(regexp_split_to_array({_ENC}, '[^0-3]+')) as run from reads), range({CFG.min_mer}, {CFG.max_mer + 1}) t(k) group by 1, 2"
+
+
+def _fold(kind: str):
+    def query(spark, sf_dir):
+        rows = {"short": lambda: scan.scan_short(rd.short_reads(spark, sf_dir), CFG), "paired": lambda: scan.scan_paired(rd.paired_reads(spark, sf_dir), CFG), "long": lambda: scan.scan_long(rd.long_reads(spark, sf_dir), CFG)}
+        return rows[kind]()
+
+    return query
+
+
+def _folded(spark, sf_dir):
+    return strand.strand_fold(_fold("short")(spark, sf_dir), CFG)
+
+
+def _by_file(spark, sf_dir):
+    """The short and the long scan as two files."""
+    files = [_fold(kind)(spark, sf_dir).withColumn("file", F.lit(kind)) for kind in ("short", "long")]
+    return strand.strand_fold(files[0].unionByName(files[1]), CFG, ("file",))
+
+
+def _merged(spark, sf_dir):
+    return strand.merge_files(_by_file(spark, sf_dir))
+
+
+def _slices(spark, sf_dir):
+    return scan.segment_targets(_slice_long(spark, sf_dir), ["read_id", "slice"], CFG)
+
+
+def _run_length(last: bool):
+    def query(spark, sf_dir):
+        w = Window.partitionBy("read_id", "level").orderBy(F.desc("slice") if last else F.col("slice"))
+        rows = _slices(spark, sf_dir).withColumn("same", (F.col("k") == F.first("k").over(w)) & (F.col("k") > 0))
+        rows = rows.withColumn("broken", F.max((~F.col("same")).cast("int")).over(w))
+        return rows.groupBy("read_id", "level").agg(F.sum(1 - F.col("broken")).cast("long").alias("run"))
+
+    return query
+
+
+def _read_target(spark, sf_dir):
+    halves = _split_halves(spark, sf_dir).withColumnRenamed("part", "seg_text").withColumnRenamed("seg", "side")
+    return scan.segment_targets(halves.withColumnRenamed("seg_text", "seg"), ["read_id", "side"], CFG)
+
+
+QUERIES = {name: q for name, (q, _) in _PROJECTIONS.items()} | {
+    "split_halves": _split_halves,
+    "reads_paired": _paired,
+    "split_pair": _split_pair,
+    "slice_long": _slice_long,
+    "k_ranges": _k_ranges,
+    "kmer_windows": _windows,
+    "valid_windows": lambda s, d: _windows(s, d).groupBy("read_id").agg(F.count("*").alias("windows")),
+    "window_totals": _window_totals,
+    "canonical_rotation": lambda s, d: _windows(s, d).select("kmer").distinct().select("kmer", al.canonical(F.col("kmer")).alias("canon")),
+    "strand_canonical": lambda s, d: _distinct_canonical(s, d).select("kmer", al.strand_canonical(F.col("kmer")).alias("strand")),
+    "palindromes": lambda s, d: _distinct_canonical(s, d).where(al.is_palindrome(F.col("kmer"))),
+    "distinct_bases": lambda s, d: _distinct_canonical(s, d).select("kmer", al.distinct_bases(F.col("kmer")).alias("bases")),
+    "homopolymer_filter": lambda s, d: _distinct_canonical(s, d).where(~al.is_homopolymer(F.col("kmer"))),
+    "short_period_filter": lambda s, d: _distinct_canonical(s, d).where(~al.has_short_period(F.col("kmer"), CFG.min_mer)),
+    "kmer_counts": lambda s, d: _windows(s, d).groupBy("read_id", al.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("cnt")),
+    "segment_mode": _segment_mode,
+    "target_k": _read_target,
+    "segment_check": _slices,
+    "prefix_run": _run_length(False),
+    "suffix_run": _run_length(True),
+    "short_scan": _fold("short"),
+    "paired_scan": _fold("paired"),
+    "long_scan": _fold("long"),
+    "strand_fold": _folded,
+    "merge_files": _merged,
+    "motif_report": lambda s, d: strand.report(_by_file(s, d), ("file",)),
+    "vote_scores": lambda s, d: strand.vote_scores(_merged(s, d)),
+    "direction_call": lambda s, d: strand.direction_call(_merged(s, d)),
+    "putative_trm": lambda s, d: strand.putative(_merged(s, d)),
+}
+
+ORACLE_SQL = {name: sql for name, (_, sql) in _PROJECTIONS.items()} | {
+    "split_halves": _HALVES_SQL,
+    "reads_paired": _PAIRED_SQL + "select * from pairs",
+    "split_pair": _SPLIT_PAIR_SQL,
+    "slice_long": _SLICE_SQL,
+    "k_ranges": _K_SQL,
+    "kmer_windows": _WINDOWS_SQL + "select read_id, pos, kmer from v",
+    "valid_windows": _WINDOWS_SQL + "select read_id, count(*) as windows from v group by 1",
+    "window_totals": _TOTALS_SQL,
+    "canonical_rotation": _WINDOWS_SQL + "select kmer, canon from m",
+    "strand_canonical": _WINDOWS_SQL + "select kmer, least(kmer, other) as strand from f",
+    "palindromes": _WINDOWS_SQL + "select kmer from f where kmer = other",
+    "distinct_bases": _WINDOWS_SQL + "select kmer, " + " + ".join(f"contains(kmer, '{d}')::int" for d in "0123") + " as bases from f",
+    "homopolymer_filter": _WINDOWS_SQL + "select kmer from f where kmer <> repeat(kmer[1], 6)",
+    "short_period_filter": _WINDOWS_SQL + "select kmer from f where kmer[1:3] <> kmer[4:6] and kmer[1:2] <> kmer[5:6]",
+    "kmer_counts": _COUNTS_SQL + "select read_id, kmer, cnt from c",
+    "segment_mode": _COUNTS_SQL + "select read_id, sum(cnt)::bigint as total, max(cnt) as most, arg_min(kmer, {'a': -cnt, 'b': last}) as kmer from c group by 1",
+}
