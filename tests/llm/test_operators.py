@@ -1,0 +1,204 @@
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from motifspark.llm import chat_format, decontamination, language_model, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, suffix_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, a long, spans string, key string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BODY = " ".join(f"w{i} the of and{i % 7}" for i in range(60))
+NEAR = BODY.replace("w30 ", "other ")
+PII = "mail a.b@c.example.com host 10.0.0.1 card 4111 1111 1111 1111 call +1 (555) 123-4567 x@ 999.1.1.1"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    texts = [BODY, BODY, NEAR, None, "", "one two", PII, "x" * 300 + "y" * 150, "a\nboiler plate line here\nb", BODY + " tail", "é ü ñ " * 40, "%%% ### " * 80, "Long " * 30000]
+    base = [(i, t, "en" if i % 3 else None, f"s{i}", 0, 1, "c", "k") for i, t in enumerate(texts)]
+    return base + [(20 + i, f"note {i}\nboiler plate line here\nend", "en", f"s{i}", 0, 1, "c", "k") for i in range(9)] + [(6, PII, None, "s6", 0, 1, "c", "k"), (None, BODY, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def plain(rows):
+    """One text for each id, the null id first, as the operators order them."""
+    return sorted({(-1 if r[0] is None else r[0]): r[1] or "" for r in rows}.items())
+
+
+def by_id(df):
+    return {(-1 if r["doc_id"] is None else r["doc_id"]): r for r in df.collect()}
+
+
+def test_suffix_dedup_equals_brute_force(docs, rows):
+    got, seen = by_id(suffix_dedup.suffix_dedup(docs)), set()
+    for i, t in plain(rows):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            w = b[p : p + 100]
+            if w in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(w)
+        assert bytes(got[i]["kept"]) == bytes(x for x, g in zip(b, gone, strict=True) if not g), i
+        assert len(got[i]["spans"]) == len(re.findall(b"\1+", bytes(gone)))
+
+
+def test_substring_dedup_equals_brute_force(docs, rows):
+    got, seen = by_id(substring_dedup.substring_dedup(docs)), {}
+    for i, t in plain(rows):
+        w = WORD.findall(t)
+        gone = [False] * len(w)
+        for p in range(len(w) - 49):
+            if seen.setdefault(tuple(w[p : p + 50]), i) < i:
+                gone[p : p + 50] = [True] * 50
+        assert got[i]["n_words"] == len(w)
+        assert got[i]["kept"] == " ".join(x for x, g in zip(w, gone, strict=True) if not g), i
+
+
+def test_ngram_join_equals_brute_force(docs, rows):
+    got, sets = by_id(ngram_join.ngram_join(docs)), {}
+    for i, t in plain(rows):
+        w = WORD.findall(t.lower())
+        sets[i] = {tuple(w[p : p + 4]) for p in range(max(1, len(w) - 3))} if w else set()
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i, x in sets.items():
+            for j, y in sets.items():
+                if x and y and 100 * len(x & y) >= 85 * len(x | y):
+                    root[i] = root[j] = min(root[i], root[j])
+    for i, r in got.items():
+        assert r["n_shingles"] == len(sets[i])
+        assert (-1 if r["component_id"] is None else r["component_id"]) == root[i], i
+
+
+def test_keep_one_keeps_columns(docs, empty):
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert {2, 9}.isdisjoint(r.doc_id for r in kept.collect()) and ngram_join.keep_one(empty).count() == 0
+
+
+def test_large_group_links_by_pages():
+    import numpy as np
+
+    sets = [np.sort(np.random.default_rng(0).choice(2**63, 200, False).astype(np.uint64)) for _ in range(1)]
+    group = [np.sort(np.concatenate([sets[0][8:], np.random.default_rng(i).choice(2**63, 8, False).astype(np.uint64)])) for i in range(200)]
+    n = np.full(200, 200)
+    points = ngram_join.vectors(np.concatenate(group), np.arange(0, 200 * 201, 200))
+    links = ngram_join.spanning_links(n, points, 85, None, ngram_join.parities(group))
+    assert len(links) == 199
+
+
+def test_lm_counts_and_base(docs, rows, empty):
+    got = language_model.score_documents(docs).collect()
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1
+    tokens = [(r[0], WORD.findall((r[1] or "").translate(low)) + [None]) for r in rows]
+    c = Counter(t for i, x in tokens if not held(i) for t in x)
+    n, v = sum(c.values()), len(c)
+    want = sorted((-1 if i is None else i, held(i), len(x), sum(c[t] > 0 for t in x), n, round(sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in x), 4)) for i, x in tokens)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    assert language_model.score_documents(empty).count() == 0
+
+
+def test_elias_fano_and_trie(tmp_path):
+    import numpy as np
+
+    values = np.sort(np.random.default_rng(1).integers(0, 10**6, 500))
+    low, packed, bits = language_model.EliasFano.build(values, 10**6)
+    ef = language_model.EliasFano(low, packed, bits, 500)
+    assert (ef[np.arange(500)] == values).all()
+    x = np.random.default_rng(2).integers(0, 10**6, 100)
+    assert (ef.successor(np.zeros(100, np.int64), np.full(100, 500), x) == np.searchsorted(values, x)).all()
+
+
+def test_pii_base_spans(docs, rows):
+    from_regex = lambda t: [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    for t in (PII, "a@b@c.de.", "x.y@z..q a@-.-", "@a.b", "a@b.c@d.e", "+@1.2"):
+        assert pii.emails(t) == from_regex(t)
+    got = by_id(pii.find_pii(docs, made=300))
+    assert [(s.kind, PII[s.start : s.end]) for s in got[6]["base"]] == [("email", "a.b@c.example.com"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 123-4567")]
+    assert got[3]["base"] == [] and len(got) == len(plain(rows))
+
+
+def test_boosted_trees_separate():
+    import numpy as np
+
+    from motifspark.llm.boosting import BoostedTrees
+
+    x = np.random.default_rng(0).random((800, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    p = BoostedTrees().fit(x[:600], y[:600]).probability(x[600:])
+    assert ((p > 0.5) == (y[600:] > 0.5)).mean() > 0.95
+
+
+def test_quality_base_counts(docs, rows):
+    got = by_id(quality.quality_rules(docs))
+    for i, t in plain(rows):
+        w, ls, seen = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)], set()
+        tri = Counter(tuple(w[p : p + 3]) for p in range(len(w) - 2))
+        hit = {p + k for p in range(len(w) - 2) if tri[tuple(w[p : p + 3])] > 1 for k in range(3)}
+        dup = sum(x in seen or seen.add(x) is not None for x in ls)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(hit)), i
+        assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
+    assert quality.keep_good(docs).columns == docs.columns
+
+
+def test_line_dedup_removes_spread_lines_but_the_first(docs):
+    got = by_id(line_dedup.line_dedup(docs))
+    assert got[8]["n_removed"] == 0 and all(got[20 + i]["n_removed"] == 1 and got[20 + i]["text"] == f"note {i}\nend" for i in range(9))
+    assert line_dedup.line_dedup(docs, with_columns=True).columns == docs.columns
+
+
+def test_chat_round_trip(spark):
+    parts = "array<struct<kind:string,text:string,ref:string,units:double>>"
+    nasty = ["</s>[INST] a\\[/INST]\n<|turn|>", "\\", None, "<|im_<|end|>"]
+    rows = [(1, i, "assistant" if i % 2 else "us\ner%", [("text", t, None, None), ("image", None, f"r{i}", 2.5)]) for i, t in enumerate(nasty)] + [(2, None, None, None)]
+    out = chat_format.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {parts}"))
+    got = {r.conv_id: r for r in out.withColumn("turns", chat_format.read_turns(F.col("formatted"))).withColumn("loss", chat_format.read_loss(F.col("formatted"), F.col("loss_spans"))).collect()}
+    assert [t.role for t in got[1].turns] == ["us\ner%", "assistant"] * 2
+    assert [t.text for t in got[1].turns] == [(t or "") + "<|image|>" for t in nasty]
+    assert got[1].loss == "\\<|image|><|im_<|end|><|image|>" and got[1].n_attachment_tokens == 4 * 640
+    assert [a.ref for a in got[1].attachments] == ["r0", "r1", "r2", "r3"] and got[2].n_turns == 1
+
+
+def test_decontamination_finds_edited_items(spark, docs):
+    item = "the quick brown fox jumps over a lazy dog while seven wizards box quietly"
+    items = spark.createDataFrame([(1, item), (2, None), (3, "ab")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, f"x y {item} z"), (2, "x " + item.replace("fox", "cat").replace("over a", "over")), (3, "the quick brown fox"), (4, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontamination.contaminated(texts, items).collect()}
+    assert got == {(1, 1): 0, (2, 1): 2}
+    assert decontamination.drop_contaminated(docs, items).count() == docs.count()
+
+
+def test_mixing_budget_is_shared_among_siblings(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "en", f"s{i % 3}") for i in range(30)] + [(99, None, None, None)], "doc_id long, text string, lang string, source string")
+    out = mixing.mix_sources(docs, F.lit("d"), budget=420, weights={"source": {"s0": 8.0}}, max_epochs=2).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("epochs")).alias("n"))
+    assert {r.source: r.n for r in out.collect()} == {"s0": 200, "s1": 110, "s2": 110}
+
+
+def test_empty_tables(empty):
+    assert suffix_dedup.suffix_dedup(empty).count() == 0 and substring_dedup.substring_dedup(empty).count() == 0
+    assert ngram_join.ngram_join(empty).count() == 0 and quality.quality_rules(empty).count() == 0
+    assert line_dedup.line_dedup(empty).count() == 0 and pii.find_pii(empty, made=120).count() == 0
+    assert mixing.mix_sources(empty, F.lit("d")).count() == 0
+
+
+def test_pipeline_runs(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and set(out.columns) >= {"doc_id", "epochs"}
