@@ -92,8 +92,9 @@ def test_keep_one_keeps_columns(docs, empty):
 def test_large_group_links_by_pages():
     import numpy as np
 
-    sets = [np.sort(np.random.default_rng(0).choice(2**63, 200, False).astype(np.uint64)) for _ in range(1)]
-    group = [np.sort(np.concatenate([sets[0][8:], np.random.default_rng(i).choice(2**63, 8, False).astype(np.uint64)])) for i in range(200)]
+    some = lambda seed, n: np.random.default_rng(seed).integers(0, 2**63, n).astype(np.uint64)
+    common = some(1000, 192)
+    group = [np.sort(np.concatenate([common, some(i, 8)])) for i in range(200)]
     n = np.full(200, 200)
     points = ngram_join.vectors(np.concatenate(group), np.arange(0, 200 * 201, 200))
     links = ngram_join.spanning_links(n, points, 85, None, ngram_join.parities(group))
