@@ -39,12 +39,13 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .anchors import NO_ID, ids, own_columns
 from .components import components
-from .storage import materialize
+from .storage import arrow_rows, materialize
 
 GROUPS = 32
 SKETCH = 1 << 18
 PAGE = 64
 BLOCK = 4096
+ARROW_ROWS = 1000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,14 +128,45 @@ def _points(k: int) -> Callable:
     return run
 
 
+def _slices(sets: list[np.ndarray], grams: int = 1 << 18, most: int = 256) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of sets with about so many grams and so many sets at most, for memory that follows neither a group nor its longest text."""
+    a = size = 0
+    for i, x in enumerate(sets):
+        if i > a and (size + len(x) > grams or i - a == most):
+            yield a, i
+            a, size = i, 0
+        size += len(x)
+    if sets:
+        yield a, len(sets)
+
+
+def points_of(sets: list[np.ndarray]) -> np.ndarray:
+    """The count vectors of sets."""
+    out = np.empty((len(sets), GROUPS), np.int32)
+    for a, b in _slices(sets):
+        out[a:b] = vectors(np.concatenate(sets[a:b]), np.concatenate([[0], np.cumsum([len(x) for x in sets[a:b]])]))
+    return out
+
+
 def parities(sets: list[np.ndarray], bits: int = 4096) -> np.ndarray:
     """For each set the parity of its count in each of ``bits`` finer groups, packed. Where two differ, so do the sets."""
     out = np.empty((len(sets), bits // 64), np.uint64)
-    for a in range(0, len(sets), 256):
-        part = sets[a : a + 256]
+    for a, b in _slices(sets):
+        part = sets[a:b]
         owner = np.repeat(np.arange(len(part)), [len(x) for x in part])
         odd = np.bincount(owner * bits + (np.concatenate(part) >> tx.U(20) & tx.U(bits - 1)).astype(np.int64), minlength=len(part) * bits) & 1
-        out[a : a + 256] = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(part), -1)
+        out[a:b] = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(part), -1)
+    return out
+
+
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Each binary value as uint64, without a copy."""
+    out = []
+    for chunk in column.chunks:
+        chunk = chunk.cast(pa.large_binary())
+        off = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = np.frombuffer(chunk.buffers()[2], np.uint8)
+        out += [data[a:b].view(np.uint64) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
     return out
 
 
@@ -239,7 +271,7 @@ def _verified(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 1 << 22):
             task, cls = t.column("task").to_numpy(), t.column("class_id").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("data").to_pylist()]
+            sets = _views(t.column("data"))
             start = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])).tolist() + [len(task)]
             links: list = []
             for a, b in zip(start, start[1:], strict=False):
@@ -253,8 +285,7 @@ def _verified(percent: int) -> Callable:
                     common = int((both[1:] == both[:-1]).sum())
                     return 100 * common >= percent * (len(x) + len(y) - common)
 
-                points = vectors(np.concatenate(own), np.concatenate([[0], np.cumsum(n)]))
-                links += [(int(cls[a + i]), int(cls[a + j])) for i, j in spanning_links(n, points, percent, alike, parities(own) if b - a > PAGE else None)]
+                links += [(int(cls[a + i]), int(cls[a + j])) for i, j in spanning_links(n, points_of(own), percent, alike, parities(own) if b - a > PAGE else None)]
             p = np.array(links, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(p.max(1) if len(p) else p[:, 0]), pa.array(p.min(1) if len(p) else p[:, 1])], ["a", "b"])
 
@@ -263,6 +294,12 @@ def _verified(percent: int) -> Callable:
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, one row for each row of docs. percent: the least Jaccard similarity."""
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return _joined(docs, id_col, text_col, k, percent)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """All Python runs in here (what it makes is written); what is returned is a join of tables."""
     spark = docs.sparkSession
     own = own_columns(docs, id_col, text_col)
     seen = materialize(own.mapInArrow(_sets_and_sketch(k), "kind int, a long, b long, doc_id long, n long"))
