@@ -101,6 +101,20 @@ def test_large_group_links_by_pages():
     assert len(links) == 199
 
 
+def test_points_in_slices_and_views_equal_whole_ones():
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = [0, 5, 300_000, 1, 0, 700, *[3] * 600]
+    sets = [np.random.default_rng(i).integers(0, 2**64, n, dtype=np.uint64) for i, n in enumerate(sizes)]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    assert (ngram_join.points_of(sets) == ngram_join.vectors(np.concatenate(sets), bounds)).all()
+    assert ngram_join.points_of([]).shape == (0, ngram_join.GROUPS)
+    data = pa.chunked_array([pa.array([x.tobytes() for x in sets[a : a + 9]], pa.binary()) for a in range(0, len(sets), 9)])
+    for column in (data, data.slice(4, 20)):
+        assert [x.tobytes() for x in ngram_join._views(column)] == column.to_pylist()
+
+
 def test_lm_counts_and_base(docs, rows, empty):
     got = language_model.score_documents(docs).collect()
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
