@@ -153,7 +153,7 @@ def _run_length(last: bool):
     return query
 
 
-def _read_target(spark, sf_dir):
+def _half_targets(spark, sf_dir):
     halves = _split_halves(spark, sf_dir).withColumnRenamed("part", "seg_text").withColumnRenamed("seg", "side")
     return scan.segment_targets(halves.withColumnRenamed("seg_text", "seg"), ["read_id", "side"], CFG)
 
@@ -175,7 +175,8 @@ QUERIES = {name: q for name, (q, _) in _PROJECTIONS.items()} | {
     "short_period_filter": lambda s, d: _distinct_canonical(s, d).where(~al.has_short_period(F.col("kmer"), CFG.min_mer)),
     "kmer_counts": lambda s, d: _windows(s, d).groupBy("read_id", al.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("cnt")),
     "segment_mode": _segment_mode,
-    "target_k": _read_target,
+    "target_k": _half_targets,
+    "read_target": lambda s, d: scan.scan(rd.short_reads(s, d), ["seq"], scan.whole_read, CFG),
     "segment_check": _slices,
     "prefix_run": _run_length(False),
     "suffix_run": _run_length(True),

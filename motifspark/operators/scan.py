@@ -148,6 +148,18 @@ def short_read(s: str, cfg: ScanConfig) -> Iterator[tuple[str, str, Counter]]:
             yield level, "both", whole[level].counts
 
 
+def whole_read(s: str, cfg: ScanConfig) -> Iterator[tuple[str, str, Counter]]:
+    """(level, "both", counts) of a read whose halves select one period: its strand-canonical counts at that period."""
+    n = len(s)
+    if n < 4 * cfg.min_mer:
+        return
+    hi = min(n // 4, cfg.max_mer)
+    left, right = check(s[: n // 2], cfg.min_mer, hi, cfg), check(s[n // 2 :], cfg.min_mer, hi, cfg)
+    for level in LEVELS:
+        if left[level].k and left[level].k == right[level].k:
+            yield level, "both", target(s, left[level].k, cfg.baselines[level])
+
+
 def read_pair(s1: str, s2: str, cfg: ScanConfig) -> Iterator[tuple[str, str, Counter]]:
     """(level, direction, counts) of a pair: four half reads from the outer end of one mate to that of the other."""
     n = min(len(s1), len(s2))

@@ -65,6 +65,23 @@ def test_short_read_gates():
     assert set(got) == {("high", "both"), ("low", "both")}
 
 
+@pytest.mark.parametrize("motif", ["TTAGGG", "CCCTAA", "ATCGAT", "TTTAGGG"])
+def test_read_target_counts_strand_canonical_windows(motif):
+    s = scan.encode(motif * 15 + "N" + motif * 6)
+    k = len(motif)
+    windows = [scan.canon(s[i : i + k]) for i in range(len(s) - k + 1) if "x" not in s[i : i + k]]
+    want = Counter(min(w, scan.other_strand(w)) for w in windows)
+    assert list(scan.whole_read(s, CFG)) == [(level, "both", want) for level in scan.LEVELS]
+    assert not list(scan.whole_read("0" * 100, CFG)) and not list(scan.whole_read(s[:19], CFG))
+
+
+def test_read_target_over_reads_is_part_of_the_scan(spark):
+    reads = rd.short_reads(spark, "/root/testdata/sf0.001").where("read_id < 40")
+    got = {(r.level, r.k, r.kmer): r.cnt for r in scan.scan(reads, ["seq"], scan.whole_read, CFG).collect()}
+    both = {(r.level, r.k, r.kmer): r.cnt for r in scan.scan_short(reads, CFG).where("direction = 'both'").collect()}
+    assert got and all(both[key] >= c for key, c in got.items())
+
+
 def test_reads_of_the_fixture_give_its_table(spark):
     reads = rd.short_reads(spark, "/root/testdata/sf0.01").where("read_id < 2000")
     folded = strand.strand_fold(scan.scan_short(reads, CFG), CFG)
