@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions import alphabet as al
 from ..operators import scan, strand
+from ..sources import fastq
 from ..sources import reads as rd
 
 CFG = ScanConfig()
@@ -143,6 +146,13 @@ def _slices(spark, sf_dir):
     return scan.segment_targets(_slice_long(spark, sf_dir), ["read_id", "slice"], CFG)
 
 
+def _fastq_scan(spark, sf_dir):
+    """The short reads, written as FASTQ files and scanned from them: how often each sequence comes."""
+    path = f"{fastq.scratch_dir(spark)}/fastq/{uuid.uuid4().hex}"
+    fastq.write_fastq(rd.short_reads(spark, sf_dir), path)
+    return fastq.short_reads(spark, path).groupBy("seq").agg(F.count("*").alias("reads"))
+
+
 def _run_length(last: bool):
     def query(spark, sf_dir):
         w = Window.partitionBy("read_id", "level").orderBy(F.desc("slice") if last else F.col("slice"))
@@ -159,6 +169,7 @@ def _half_targets(spark, sf_dir):
 
 
 QUERIES = {name: q for name, (q, _) in _PROJECTIONS.items()} | {
+    "fastq_scan": _fastq_scan,
     "split_halves": _split_halves,
     "reads_paired": _paired,
     "split_pair": _split_pair,
@@ -192,6 +203,7 @@ QUERIES = {name: q for name, (q, _) in _PROJECTIONS.items()} | {
 }
 
 ORACLE_SQL = {name: sql for name, (_, sql) in _PROJECTIONS.items()} | {
+    "fastq_scan": _READS + "select seq, count(*) as reads from reads group by seq",
     "split_halves": _HALVES_SQL,
     "reads_paired": _PAIRED_SQL + "select * from pairs",
     "split_pair": _SPLIT_PAIR_SQL,
