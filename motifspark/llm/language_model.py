@@ -1,16 +1,17 @@
 """LM scoring with Elias-Fano n-gram tries.
 
 Tokens are words (A-Z lower-cased) and one end for each text. Base probabilities
-are add-half unigrams over all training tokens. The model is a trigram over
-symbols: the frequent words, those with at least one in ``frequent`` training
-tokens (so there are ``frequent`` of them at most), and one symbol for all others,
-which is then split by base probability. Conditional probabilities are smoothed
-towards the shorter context with a Dirichlet prior of ``strength``.
+are add-half unigrams over all training tokens. The model is a trigram over all
+words, whatever their counts. Conditional probabilities are smoothed towards the
+shorter context with a Dirichlet prior of ``strength``.
 
 All counts are taken over all training documents. Documents go to blocks by a hash
-of their id. A block asks for the distinct words and n-grams that it holds; the
-same rows carry its own counts, so one shuffle by n-gram both sums and answers. The
-answers of a block make its trie: sorted levels of n-grams, symbols and
+of their id. A block asks for the distinct words and n-grams that it holds, by their
+hashes; the same rows carry its own counts, so one shuffle by n-gram both sums and
+answers. The hashes of a block travel sorted, a run of them to each range of hashes,
+and only what other blocks hold too is answered: the rest is the block's own. As every text has an end, a context's count is that of its own n-gram (at
+a text's start, the number of texts), so contexts need no rows. A block numbers its
+own words; its answers make its trie: sorted levels of n-grams, symbols and
 child pointers in Elias-Fano code, probabilities quantised to 16 bits, in one
 memory-mapped file that the block's task removes after use. A lookup walks from
 context to context: the successor of a symbol inside its parent's range. No task
@@ -18,7 +19,7 @@ holds more of the model than its block uses.
 
 Defined results: null text has its end token only; a null id is hashed as empty;
 repeated rows each count and each get their row; with no training text N and V are
-0 and unseen words share the whole mass. Words compare by 64-bit hashes.
+0 and unseen words share the whole mass. Words and n-grams compare by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,11 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .storage import materialize
 
 END = tx.mix(np.array([0x0E4D], np.uint64))[0]
-BITS = 14  # of a symbol; 0 is the start, 1 every rare word
-PAD, RARE = 0, 1
+PAD = 0  # the symbol and the hash of a place before the text
 
 
 class EliasFano:
@@ -82,20 +81,18 @@ class Trie:
         return np.round(np.clip(log10p, cls.LOW, 0) / cls.LOW * 65535).astype(np.uint16)
 
     @classmethod
-    def write(cls, path: str, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """levels: for each order its sorted keys (symbols packed, oldest first) and their log10 probabilities."""
+    def write(cls, path: str, bits: int, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """levels: for each order its sorted keys (parent place << bits | symbol) and their log10 probabilities."""
         parts: list[np.ndarray] = []
-        head: list[int] = []
-        above = np.zeros(1, np.int64)
+        head: list[int] = [bits]
+        above = 1
         for keys, logp in levels:
-            parent = np.searchsorted(above, keys >> BITS)
-            placed = (parent << BITS) | (keys & ((1 << BITS) - 1))
-            low, packed, bits = EliasFano.build(placed, max(len(above), 1) << BITS)
-            first = np.searchsorted(parent, np.arange(len(above) + 1))
+            low, packed, low_bits = EliasFano.build(keys, above << bits)
+            first = np.searchsorted(keys >> bits, np.arange(above + 1))
             p_low, p_packed, p_bits = EliasFano.build(first, len(keys) + 1)
             parts += [low.view(np.uint8), packed, p_low.view(np.uint8), p_packed, cls.quantised(logp).view(np.uint8)]
-            head += [len(keys), bits, len(low) * 4, len(packed), len(first), p_bits, len(p_low) * 4, len(p_packed), len(keys) * 2]
-            above = keys
+            head += [len(keys), low_bits, len(low) * 4, len(packed), len(first), p_bits, len(p_low) * 4, len(p_packed), len(keys) * 2]
+            above = len(keys)
         with open(path, "wb") as f:
             f.write(np.array(head, np.int64).tobytes())
             for p in parts:
@@ -103,8 +100,9 @@ class Trie:
 
     def __init__(self, path: str, orders: int = 3):
         data = np.memmap(path, np.uint8, "r")
-        head = data[: orders * 72].view(np.int64).reshape(orders, 9)
-        at, self.levels = orders * 72, []
+        self.bits = int(data[:8].view(np.int64)[0])
+        head = data[8 : 8 + orders * 72].view(np.int64).reshape(orders, 9)
+        at, self.levels = 8 + orders * 72, []
         for n, bits, a, b, n_first, p_bits, c, d, e in head.tolist():
             low, packed, p_low, p_packed, q = np.split(data[at : at + a + b + c + d + e], np.cumsum([a, b, c, d]))
             self.levels.append((EliasFano(np.frombuffer(low.tobytes(), np.uint32), packed, bits, n), EliasFano(np.frombuffer(p_low.tobytes(), np.uint32), p_packed, p_bits, n_first), np.frombuffer(q.tobytes(), np.uint16), n))
@@ -116,7 +114,7 @@ class Trie:
         found = np.ones(len(parent), bool)
         for depth, s in enumerate(symbols):
             level, first, q, n = self.levels[depth]
-            x = (parent << BITS) | s
+            x = (parent << self.bits) | s
             hi = first[parent + 1]
             at = level.successor(first[parent], hi, x)
             inside = np.minimum(at, max(n - 1, 0))
@@ -135,41 +133,66 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([word, np.full(n, END)])[order], all_doc[order]
 
 
-class Symbols:
-    """The frequent words by hash; every other word is RARE."""
+def _before(token: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """For each token the one k places before it in its document, else PAD."""
+    out = np.full(len(token), PAD, token.dtype)
+    out[k:] = np.where(doc[k:] == doc[:-k], token[:-k], token.dtype.type(PAD))
+    return out
 
-    def __init__(self, frequent: np.ndarray):
-        self.hashes = np.sort(frequent.view(np.uint64))
 
-    def __call__(self, token: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(token), RARE)
-        at = np.minimum(np.searchsorted(self.hashes, token), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == token, at + 2, RARE)
+def gram_hash(*words: np.ndarray) -> np.ndarray:
+    """Hash of the n-grams whose word hashes are given as columns, oldest first."""
+    total = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        total = total * tx.U(0xD6E8FEB86659FD93) + w
+    return tx.mix(total)
 
 
-def _trigram(symbol: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's symbol with the two before it in its document, oldest first."""
-    back = lambda k: np.where(np.concatenate([np.full(k, -1), doc[:-k]])[: len(doc)] == doc, np.concatenate([np.zeros(k, np.int64), symbol[:-k]])[: len(doc)], PAD)
-    return back(2), back(1), symbol
+def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k, inverse = np.unique(keys, return_inverse=True)
+    return k, np.bincount(inverse, weight, len(k)).astype(np.int64)
 
 
-def _grams(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
-    """The packed n-grams of orders 1 to 3 and the contexts of orders 1 and 2, each with its order above the key."""
-    one = 1 << (3 * BITS)
-    return [w + one, (v << BITS | w) + 2 * one, (u << 2 * BITS | v << BITS | w) + 3 * one, v + 4 * one, (u << BITS | v) + 5 * one]
+def _own(token: np.ndarray, doc: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of words, bigrams and trigrams, and their counts in training texts."""
+    u, v = _before(token, doc, 2), _before(token, doc, 1)
+    return _counted(np.concatenate([token, gram_hash(v, token), gram_hash(u, v, token)]), np.tile(train.astype(float), 3))
 
 
-def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k, inverse = np.unique(keys, return_inverse=True)
-    return k, np.bincount(inverse, weight, len(k)).astype(np.int64)
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit values byte by byte, highest first: sorted or small ones compress well."""
+    return x.view(np.uint8).reshape(-1, 8).T[::-1].tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1)[::-1].T).view(kind).ravel()
+
+
+def _answered(key: tuple, t: pa.Table) -> pa.Table:
+    """One range of hashes: for each block which of its hashes other blocks hold too, and their sums."""
+    keys = [_from_planes(x, np.uint64) for x in t.column("keys").to_pylist()]
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).tolist()
+    k = np.concatenate(keys)
+    c = np.concatenate([_from_planes(x, np.int64) for x in t.column("c").to_pylist()])
+    order = np.argsort(k)
+    new = np.concatenate([[True], k[order][1:] != k[order][:-1]])
+    start = np.flatnonzero(new)
+    group = np.empty(len(k), np.int64)
+    group[order] = np.cumsum(new) - 1
+    sums, many = np.add.reduceat(c[order], start)[group], (np.diff(np.append(start, len(k))) > 1)[group]
+    spans = list(zip(cut[:-1], cut[1:], strict=True))
+    return pa.table({
+        "block": t.column("block"), "part": t.column("part"), "n": pa.array([b - a for a, b in spans], pa.int32()),
+        "shared": pa.array([np.packbits(many[a:b]).tobytes() for a, b in spans], pa.binary()),
+        "c": pa.array([_planes(sums[a:b][many[a:b]]) for a, b in spans], pa.binary()),
+    })
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 10000, strength: float = 40.0, block_rows: int = 4096, fold: int = 5, held: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 40.0, block_rows: int = 4096, fold: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     A document is held out of training where crc32 of its id as text, modulo fold, is held.
@@ -199,96 +222,86 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if parts:
             yield send(parts)
 
-    counts = materialize(own.mapInArrow(words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    often = counts.where((F.col("c") * frequent >= total) & (F.col("c") > 0)).select("word", "c").toArrow()  # ``frequent`` rows at most
-    symbols = Symbols(often.column("word").to_numpy())
+    counts = own.mapInArrow(words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    ends = F.sum(F.when(F.col("word") == int(END.view(np.int64)), F.col("c")))
+    total, distinct, texts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(ends, F.lit(0))).first()
     mass = total + 0.5 * (distinct + 1)
-    sure = float(((often.column("c").to_numpy() + 0.5) / mass).sum())
     blocks = max(1, -(-own.count() // block_rows))
     placed = own.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
 
+    ranges = max(16, 2 * blocks)
+
     def asked(key: tuple, t: pa.Table) -> pa.Table:
-        uni, grams = [], []
+        parts = []
         for batch, buf, off in tx.chunks(t.to_batches()):
             token, doc = tokens(buf, off)
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            weight = train[doc].astype(float)
-            uni.append(np.unique(token))
-            keys = _grams(*_trigram(symbols(token), doc))
-            grams.append(_counted(np.concatenate(keys), np.tile(weight, 5)))
-        u = np.unique(np.concatenate(uni))
-        k, c = _merge(grams)
-        return pa.table({"block": pa.array(np.full(len(u) + len(k), key[0].as_py(), np.int32)), "gram": pa.array(np.concatenate([np.zeros(len(u), bool), np.ones(len(k), bool)])), "key": pa.array(np.concatenate([u.view(np.int64), k])), "c": pa.array(np.concatenate([np.zeros(len(u), np.int64), c]))})
-
-    rows = placed.groupBy("block").applyInArrow(asked, "block int, gram boolean, key long, c long")
-    # The words' own counts come as rows without a block; one shuffle by key sums and answers.
-    known = counts.selectExpr("cast(null as int) as block", "false as gram", "word as key", "c")
-    answers = rows.unionByName(known).selectExpr("block", "gram", "key", "sum(c) over (partition by gram, key) as c").where("block is not null")
+            parts.append(_own(token, doc, train[doc]))
+        k, c = _merge(parts)
+        part = ((k >> tx.U(40)) * tx.U(ranges) >> tx.U(24)).astype(np.int32)
+        cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        planes = lambda x: pa.array([_planes(x[a:b]) for a, b in spans], pa.binary())
+        return pa.table({"block": pa.array(np.full(len(spans), key[0].as_py(), np.int32)), "part": pa.array(part[cut[:-1]]), "keys": planes(k), "c": planes(c)})
+
+    rows = placed.groupBy("block").applyInArrow(asked, "block int, part int, keys binary, c binary")
+    answers = rows.groupBy("part").applyInArrow(_answered, "block int, part int, n int, shared binary, c binary")
 
     def scored(key: tuple, t: pa.Table, a: pa.Table) -> pa.Table:
-        return _scored(t, a, symbols, total, mass, sure, strength)
+        return _scored(t, a, total, texts, mass, strength)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
 
 
-def _level_probabilities(k: np.ndarray, c: np.ndarray, symbols: Symbols, uni_log: np.ndarray, strength: float, total: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    one = 1 << (3 * BITS)
-    of = {o: (k[a:b] - o * one, c[a:b]) for o in range(1, 6) for a, b in [np.searchsorted(k, [o * one, (o + 1) * one])]}
-    low = (1 << BITS) - 1
-
-    def count(order: int, key: np.ndarray) -> np.ndarray:
-        have, n = of[order]
-        at = np.minimum(np.searchsorted(have, key), len(have) - 1)
-        return np.where(have[at] == key, n[at], 0)
-
-    p1 = 10.0**uni_log
-    keys2, n2 = of[2]
-    p2 = (n2 + strength * p1[keys2 & low]) / (count(4, keys2 >> BITS) + strength)
-    keys3, n3 = of[3]
-    p3 = (n3 + strength * p2[np.searchsorted(keys2, keys3 & (low << BITS | low))]) / (count(5, keys3 >> BITS) + strength)
-    keys1 = np.unique(np.concatenate([of[1][0], keys2 >> BITS, keys3 >> 2 * BITS]))
-    above = np.unique(np.concatenate([keys2, keys3 >> BITS]))
-    pad = np.full(len(above), 1.0)
-    pad[np.searchsorted(above, keys2)] = p2
-    return [(keys1, uni_log[keys1]), (above, np.log10(pad)), (keys3, np.log10(p3))]
-
-
-def _scored(t: pa.Table, a: pa.Table, symbols: Symbols, total: int, mass: float, sure: float, strength: float) -> pa.Table:
-    gram = a.column("gram").to_numpy()
-    key, c = a.column("key").to_numpy(), a.column("c").to_numpy()
-    word = key[~gram].view(np.uint64)
-    order = np.argsort(word)
-    word, word_c = word[order], c[~gram][order]
-    order = np.argsort(key[gram])
-    k, kc = key[gram][order], c[gram][order]
+def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, strength: float) -> pa.Table:
+    """texts: the number of training texts."""
     if not t.num_rows:
         return pa.table({n: pa.array([], kind) for n, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-    rare = max(1e-12, 1 - sure)
-    uni = np.zeros(1 << BITS)
-    uni[RARE] = np.log10(rare)
-    place = symbols(word)
-    uni[place[place > RARE]] = np.log10((word_c[place > RARE] + 0.5) / mass)
+    token, doc, train = [], [], []
+    n = 0
+    for batch, buf, off in tx.chunks(t.to_batches()):
+        of_chunk, row = tokens(buf, off)
+        token.append(of_chunk)
+        doc.append(row + n)
+        train.append(~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
+        n += batch.num_rows
+    token, doc, train = np.concatenate(token), np.concatenate(doc), np.concatenate(train)
+    key, c = _own(token, doc, train[doc])  # in order, as the ranges of hashes are
+    a = a.sort_by("part")
+    shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(a.column("shared").to_pylist(), a.column("n").to_pylist(), strict=True)])
+    c[shared.astype(bool)] = np.concatenate([_from_planes(x, np.int64) for x in a.column("c").to_pylist()])
+    count = lambda h: c[np.searchsorted(key, h)]
+
+    # Symbols 1.. are the block's words; a level's place 0 is that of texts' starts.
+    word, symbol = np.unique(token, return_inverse=True)
+    symbol += 1
+    word_c = count(word)
+    bits = int(len(word)).bit_length()
+    base = np.log10((word_c + 0.5) / mass)
+    p1 = np.concatenate([[1.0], (word_c + 0.5) / mass])
+    c1 = np.concatenate([[texts], word_c])
+    v = _before(symbol, doc, 1)
+    keys2, at, pair = np.unique(v << bits | symbol, return_index=True, return_inverse=True)
+    n2 = count(gram_hash(_before(token, doc, 1)[at], token[at]))
+    p2 = np.concatenate([[1.0], (n2 + strength * p1[keys2 & ((1 << bits) - 1)]) / (c1[keys2 >> bits] + strength)])
+    c2 = np.concatenate([[texts], n2])
+    keys2 = np.concatenate([[0], keys2])
+    pair += 1
+    above = _before(pair, doc, 1)
+    keys3, at, each = np.unique(above << bits | symbol, return_index=True, return_inverse=True)
+    n3 = count(gram_hash(_before(token, doc, 2)[at], _before(token, doc, 1)[at], token[at]))
+    p3 = (n3 + strength * p2[pair[at]]) / (c2[keys3 >> bits] + strength)
+    columns = [_before(symbol, doc, 2)[at], v[at], symbol[at]]
+    del v, pair, above
+
     handle, path = tempfile.mkstemp(suffix=".trie")
     os.close(handle)
-    out = []
     try:
-        Trie.write(path, _level_probabilities(k, kc, symbols, uni, strength, total))
-        trie = Trie(path)
-        for batch, buf, off in tx.chunks(t.to_batches()):
-            token, doc = tokens(buf, off)
-            n = batch.num_rows
-            count = word_c[np.searchsorted(word, token)]
-            base = np.log10((count + 0.5) / mass)
-            symbol = symbols(token)
-            u, v, w = _trigram(symbol, doc)
-            each, back = np.unique(u << 2 * BITS | v << BITS | w, return_inverse=True)
-            low = (1 << BITS) - 1
-            found, p = (x[back] for x in trie.lookup([each >> 2 * BITS, each >> BITS & low, each & low]))
-            p = np.where(found, p, uni[symbol]) + np.where(symbol == RARE, base - np.log10(rare), 0)
-            sums = lambda v: np.bincount(doc, v, n)  # noqa: B023,E731
-            out.append(pa.table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(np.bincount(doc, minlength=n)), "n_known": pa.array(sums(count > 0).astype(np.int64)), "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(sums(base)), "score": pa.array(sums(p))}))
+        Trie.write(path, bits, [(np.arange(len(word) + 1), np.log10(p1)), (keys2, np.log10(p2)), (keys3, np.log10(p3))])
+        _, p = Trie(path).lookup(columns)  # a block's trie holds all of its n-grams
     finally:
         os.unlink(path)
-    return pa.concat_tables(out)
+    sums = lambda x: np.bincount(doc, x, n)
+    known = sums((word_c > 0)[symbol - 1]).astype(np.int64)
+    return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(np.bincount(doc, minlength=n)), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(sums(base[symbol - 1])), "score": pa.array(sums(p[each]))})

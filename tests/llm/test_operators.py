@@ -128,6 +128,32 @@ def test_lm_counts_and_base(docs, rows, empty):
     assert language_model.score_documents(empty).count() == 0
 
 
+def test_lm_scores_every_word_by_its_own_ngrams(spark):
+    """A large corpus, in which each word is far below one token in 10,000, against plain counting."""
+    texts = [f"a{i} b{i} c{i} b{i} a{i}" if i % 2 else f"a{i} b{i} c{i}" for i in range(6000)] * 2 + [None, "", "new a1 b1"]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    words = [(t or "").split() + [None] for t in texts]
+    uni, bi, tri, one, two = Counter(), Counter(), Counter(), Counter(), Counter()
+    grams = lambda x: list(zip(["<"] * 2 + x, ["<"] + x, x, strict=False))
+    for i, x in enumerate(words):
+        for u, v, w in grams(x) if not held(i) else []:
+            for c, k in ((uni, w), (bi, (v, w)), (tri, (u, v, w)), (one, v), (two, (u, v))):
+                c[k] += 1
+    n = sum(uni.values())
+    mass = n + 0.5 * (len(uni) + 1)
+
+    def score(x):
+        s = 0.0
+        for u, v, w in grams(x):
+            p2 = (bi[v, w] + 40 * (uni[w] + 0.5) / mass) / (one[v] + 40)
+            s += math.log10((tri[u, v, w] + 40 * p2) / (two[u, v] + 40))
+        return s
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in language_model.score_documents(docs).collect()}
+    assert len(got) == len(texts) and all(abs(got[i] - score(x)) < 2e-4 * len(x) for i, x in enumerate(words))
+
+
 def test_elias_fano_and_trie(tmp_path):
     import numpy as np
 
