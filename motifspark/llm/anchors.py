@@ -18,8 +18,9 @@ Before the first shuffle, each chunk of documents keeps one row for each equal
 context; the others are known copies and are spread at random. Anchors that occur
 often in a chunk send one row to the anchor's key and spread the rest by context.
 
-Documents are ordered by id; a null id comes first. Rows that share an id count as
-one document: what is found at a place in one is a copy in all of them there.
+Each row is a document, told apart by its id and a 64-bit hash of its text, and
+ordered by them; a null id comes first. Of rows equal in both one is searched, and
+each of the others is a later copy from its beginning to its end.
 """
 
 from __future__ import annotations
@@ -113,8 +114,17 @@ def own_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def own_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, row: a document is told by doc_id and row."""
+    return own_columns(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
+
+
+def row_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("row").to_numpy(zero_copy_only=False)
+
+
 def _keyed(unit: Unit) -> Callable:
-    """Arrow batches of doc_id, text to key, ctx, doc_id, at (position, window count, state)."""
+    """Arrow batches of doc_id, text, row to key, ctx, doc_id, row, at (position, window count, state)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, off in tx.chunks(batches, chunk_bytes=1 << 21):
@@ -123,15 +133,13 @@ def _keyed(unit: Unit) -> Callable:
             if not len(doc):
                 continue
             ident = ids(batch)[doc]
-            order = np.lexsort((pos, ident, ctx))
-            ordered_ctx, ordered_id = ctx[order], ident[order]
-            again = np.zeros(len(order), bool)
-            same = ordered_ctx[1:] == ordered_ctx[:-1]
+            text = row_hashes(batch)[doc]
+            order = np.lexsort((pos, text, ident, ctx))
+            new = np.concatenate([[True], ctx[order][1:] != ctx[order][:-1]])
+            head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            again = (ident[order] != ident[head]) | (text[order] != text[head])  # a copy has an equal context in a document before its own
             if unit.same_document:
-                again[1:] = same
-            else:  # a copy has an equal context in a document before its own
-                head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
-                again = ordered_id > ordered_id[head]
+                again |= pos[order] != pos[head]
             state = np.full(len(doc), FIRST)
             state[order[again]] = COPY
             left = np.flatnonzero(state == FIRST)
@@ -144,33 +152,32 @@ def _keyed(unit: Unit) -> Callable:
             rest = left[often & (head[inverse] != np.arange(len(left)))]
             key[rest] = tx.mix(ctx[rest])
             copies = state == COPY
-            key[copies] = tx.mix(ident[copies].astype(np.uint64) * tx.U(0x9E3779B97F4A7C15) + pos[copies].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(key)), pa.array(tx.signed(ctx)), pa.array(ident), pa.array((pos << 10) | (count << 2) | state)], ["key", "ctx", "doc_id", "at"])
+            key[copies] = tx.mix(ident[copies].astype(np.uint64) * tx.U(0x9E3779B97F4A7C15) + text[copies].view(np.uint64) + pos[copies].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(key)), pa.array(tx.signed(ctx)), pa.array(ident), pa.array(text), pa.array((pos << 10) | (count << 2) | state)], ["key", "ctx", "doc_id", "row", "at"])
 
     return run
 
 
 def candidates(own: DataFrame, unit: Unit) -> DataFrame:
-    """doc_id, pos, windows, key, copy, alone: the contexts that are copies, and those to be compared.
+    """doc_id, row, pos, windows, key, copy, alone: the contexts that are copies, and those to be compared.
 
     alone: their windows travel one by one. Written to the shared folder, as it is read twice.
     """
-    rows = own.mapInArrow(_keyed(unit), "key long, ctx long, doc_id long, at long")
-    in_order = "doc_id, at" if unit.same_document else "doc_id"
-    rank = "row_number()" if unit.same_document else "rank()"
+    rows = own.mapInArrow(_keyed(unit), "key long, ctx long, doc_id long, row long, at long")
+    in_order = "doc_id, row, at >> 10" if unit.same_document else "doc_id, row"
     seen = rows.selectExpr(
-        "key", "ctx", "doc_id", "at", "cast(at & 3 as int) as state",
-        f"{rank} over (partition by key, ctx order by {in_order}) as nth",
+        "key", "ctx", "doc_id", "row", "at", "cast(at & 3 as int) as state",
+        f"rank() over (partition by key, ctx order by {in_order}) as nth",
         "count(*) over (partition by key) as n", "max(at & 3) over (partition by key) as state_of_key",
         "min(ctx) over (partition by key) as low", "max(ctx) over (partition by key) as high",
     )
     copy = f"(state = {COPY} or nth > 1)"
     kept = seen.where(f"{copy} or state_of_key = {SPREAD} or low <> high")
-    return materialize(kept.selectExpr("doc_id", "at >> 10 as pos", "cast((at >> 2) & 255 as int) as windows", "key", f"{copy} as copy", f"(state_of_key = {SPREAD} or n > {MANY_CONTEXTS}) as alone"))
+    return materialize(kept.selectExpr("doc_id", "row", "at >> 10 as pos", "cast((at >> 2) & 255 as int) as windows", "key", f"{copy} as copy", f"(state_of_key = {SPREAD} or n > {MANY_CONTEXTS}) as alone"))
 
 
 def _sent(unit: Unit) -> Callable:
-    """Arrow batches of doc_id, text, todo to the symbols of the contexts to be compared."""
+    """Arrow batches of doc_id, text, row, todo to the symbols of the contexts to be compared."""
     w = unit.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +189,7 @@ def _sent(unit: Unit) -> Callable:
                 row = np.repeat(np.arange(batch.num_rows), np.diff(todo.offsets.to_numpy()))
                 flat = todo.flatten()
                 pos, count, key, alone = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "windows", "key", "alone"))
-                fits = bounds[row] + pos + count + w - 1 <= bounds[row + 1]  # rows that share an id have texts of their own
+                fits = bounds[row] + pos + count + w - 1 <= bounds[row + 1]
                 row, pos, count, key, alone = (x[fits] for x in (row, pos, count.astype(np.int64), key, alone.astype(bool)))
                 # The windows of "alone" contexts become contexts of one window, keyed by their hash, equal ones once.
                 each = np.repeat(np.flatnonzero(alone), count[alone])
@@ -193,38 +200,47 @@ def _sent(unit: Unit) -> Callable:
                 row, pos, key = np.concatenate([row[~alone], one_row]), np.concatenate([pos[~alone], one_pos]), np.concatenate([key[~alone], tx.signed(one_key)])
                 count = np.concatenate([count[~alone], np.ones(len(each), np.int64)])
                 known = np.zeros(len(row), bool)
-                ident = ids(batch)[row]
+                ident, text = ids(batch)[row], row_hashes(batch)[row]
                 mine = np.arange(len(row) - len(each), len(row))
-                order = mine[np.lexsort((pos[mine], ident[mine], key[mine]))]
+                order = mine[np.lexsort((pos[mine], text[mine], ident[mine], key[mine]))]
                 if len(order):
                     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-                    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-                    known[order] = ~new if unit.same_document else ident[order] > ident[order][head]
+                    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+                    known[order] = (ident[order] != ident[head]) | (text[order] != text[head])
+                    if unit.same_document:
+                        known[order] |= pos[order] != pos[head]
                 a = bounds[row] + pos
                 b = a + count + w - 1
                 a, b = (a, b) if starts is None else (starts[np.minimum(a, len(starts) - 1)], ends[np.maximum(b - 1, 0)] if len(ends) else b)
                 data = pa.array([None if k else buf[i:j].tobytes() for i, j, k in zip(a.tolist(), b.tolist(), known.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident), pa.array(pos), pa.array(count.astype(np.int32)), data], ["key", "doc_id", "pos", "windows", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident), pa.array(text), pa.array(pos), pa.array(count.astype(np.int32)), data], ["key", "doc_id", "row", "pos", "windows", "data"])
 
     return run
 
 
 def _compared(unit: Unit, kernel: Callable, block_bytes: int) -> Callable:
     """Blocks of whole keys to the windows that stand earlier, as runs."""
-    names = ["key", "doc_id", "pos", "windows", "data"]
+    names = ["key", "doc_id", "row", "pos", "windows", "data"]
 
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
-        key, ident, pos, count = (t.column(c).to_numpy() for c in names[:4])
+        key, ident, text, pos, count = (t.column(c).to_numpy() for c in names[:5])
         known = t.column("data").is_null().to_numpy()
-        at = np.flatnonzero(~known)
-        out = [np.stack([ident[known], pos[known], pos[known] + unit.window])]
+        order = np.lexsort((pos, text, ident, known, key))
+        same = lambda x: x[order][1:] == x[order][:-1]
+        first = np.zeros(len(key), bool)
+        first[order] = np.concatenate([[True], ~(same(key) & same(known) & same(ident) & same(text) & same(pos))])  # equal rows send the same
+        at = np.flatnonzero(~known & first)
+        known = np.flatnonzero(known & first)
+        out = [np.stack([ident[known], text[known], pos[known], pos[known] + unit.window])]
         if len(at):
-            buf, off = tx.raw(t.column("data").filter(t.column("data").is_valid()).cast(pa.large_binary()).combine_chunks().view(pa.large_string()))
-            c, p = kernel(key[at], ident[at], pos[at], count[at].astype(np.int64), buf, off)
-            out.append(np.stack([ident[at][c], pos[at][c] + p, pos[at][c] + p + unit.window]))
-        ident, start, end = np.hstack(out)
-        return pa.RecordBatch.from_arrays([pa.array(ident), pa.array(start), pa.array(end)], ["doc_id", "start", "end"])
+            buf, off = tx.raw(t.column("data").take(pa.array(at)).cast(pa.large_binary()).combine_chunks().view(pa.large_string()))
+            document = np.empty(len(at), np.int64)  # its place in the order of documents
+            order = np.lexsort((text[at], ident[at]))
+            document[order] = np.cumsum(np.concatenate([[False], (ident[at][order][1:] != ident[at][order][:-1]) | (text[at][order][1:] != text[at][order][:-1])]))
+            c, p = kernel(key[at], document, pos[at], count[at].astype(np.int64), buf, off)
+            out.append(np.stack([ident[at][c], text[at][c], pos[at][c] + p, pos[at][c] + p + unit.window]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.hstack(out)], ["doc_id", "row", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -263,16 +279,16 @@ def merged(ident: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 
 def copied_spans(own: DataFrame, unit: Unit, kernel: Callable, block_bytes: int = 1 << 21) -> DataFrame:
-    """doc_id, spans: for each document with copied windows, spans of symbols that they cover (not merged)."""
+    """doc_id, row, spans: for each document with copied windows, spans of symbols that they cover (not merged)."""
     found = candidates(own, unit)
-    todo = found.where("not copy").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "windows", "key", "alone")).alias("todo"))
-    sent = own.join(todo, "doc_id", "left").mapInArrow(_sent(unit), "key long, doc_id long, pos long, windows int, data binary")
-    spans = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(unit, kernel, block_bytes), "doc_id long, start long, end long")
-    outright = found.where("copy").selectExpr("doc_id", "pos as start", f"pos + windows + {unit.window - 1} as end")
-    return spans.unionByName(outright).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    todo = found.where("not copy").groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "windows", "key", "alone")).alias("todo"))
+    sent = own.join(todo, ["doc_id", "row"], "left").mapInArrow(_sent(unit), "key long, doc_id long, row long, pos long, windows int, data binary")
+    spans = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(unit, kernel, block_bytes), "doc_id long, row long, start long, end long")
+    outright = found.where("copy").selectExpr("doc_id", "row", "pos as start", f"pos + windows + {unit.window - 1} as end")
+    return spans.unionByName(outright).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def per_document(own: DataFrame, spans: DataFrame, judge: Callable, schema: str) -> DataFrame:
+def per_document(own: DataFrame, unit: Unit, spans: DataFrame, judge: Callable, schema: str) -> DataFrame:
     """judge(batch, buf, off, row, start, end) over all documents with the spans (row numbers in the chunk) found in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +296,17 @@ def per_document(own: DataFrame, spans: DataFrame, judge: Callable, schema: str)
             col = batch.column("spans")
             lens = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0))
             flat = col.flatten()
-            yield judge(batch, buf, off, *merged(np.repeat(np.arange(batch.num_rows), lens), *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))))
-
-    return own.join(spans, "doc_id", "left").mapInArrow(run, schema)
+            row = np.repeat(np.arange(batch.num_rows), lens)
+            start, end = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+            later = np.flatnonzero(batch.column("nth").to_numpy() > 1)
+            if len(later):
+                size = np.diff(unit.symbols(buf, off)[1])[later]
+                later, size = later[size >= unit.window], size[size >= unit.window]
+                row, start, end = np.concatenate([row, later]), np.concatenate([start, np.zeros(len(later), np.int64)]), np.concatenate([end, size])
+            yield judge(batch, buf, off, *merged(row, start, end))
+
+    numbered = own.join(spans, ["doc_id", "row"], "left").withColumn("nth", F.expr("row_number() over (partition by doc_id, row order by doc_id)"))
+    return numbered.mapInArrow(run, schema)
 
 
 def true_ids(batch: pa.RecordBatch) -> pa.Array:

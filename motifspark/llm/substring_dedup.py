@@ -76,7 +76,7 @@ def kernel(window: int):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 24) -> DataFrame:
     """doc_id, n_words, spans (removed word runs) and kept (words left, joined by spaces), one row for each row of docs."""
     unit = an.Unit("word", window, gram, same_document=False)
-    own = an.own_columns(docs, id_col, text_col)
+    own = an.own_rows(docs, id_col, text_col)
 
     def judge(batch, buf, off, row, start, end):
         starts, ends, doc = tx.words(buf, off)
@@ -106,4 +106,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
         return pa.RecordBatch.from_arrays([an.true_ids(batch), pa.array(np.diff(bounds)), spans, kept], ["doc_id", "n_words", "spans", "kept"])
 
-    return an.per_document(own, an.copied_spans(own, unit, kernel(window)), judge, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string")
+    return an.per_document(own, unit, an.copied_spans(own, unit, kernel(window)), judge, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string")

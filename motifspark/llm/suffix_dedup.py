@@ -80,7 +80,7 @@ def kernel(window: int):
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, gram: int = 32) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte runs) and kept (bytes left), one row for each row of docs."""
     unit = an.Unit("byte", window, gram, same_document=True)
-    own = an.own_columns(docs, id_col, text_col)
+    own = an.own_rows(docs, id_col, text_col)
 
     def judge(batch, buf, off, row, start, end):
         end = np.minimum(end, np.diff(off)[row])
@@ -94,4 +94,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
         return pa.RecordBatch.from_arrays([an.true_ids(batch), pa.array(np.diff(off)), spans, kept], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return an.per_document(own, an.copied_spans(own, unit, kernel(window)), judge, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return an.per_document(own, unit, an.copied_spans(own, unit, kernel(window)), judge, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -67,6 +67,22 @@ def test_substring_dedup_equals_brute_force(docs, rows):
         assert got[i]["kept"] == " ".join(x for x, g in zip(w, gone, strict=True) if not g), i
 
 
+def test_dedup_tells_rows_of_one_id_apart(spark):
+    """Repeated rows keep their first copy; null and shared ids don't lend their spans to other texts."""
+    own = [" ".join(f"{c}{i}" for i in range(70)) for c in "pqrs"]
+    texts = [(7, own[0]), (7, own[0]), (7, own[0]), (None, own[1]), (None, own[2]), (None, own[2]), (8, own[1] + " end"), (9, own[3]), (9, "z " + own[3][:-3] + "tail"), (5, "short"), (5, "short")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for source in (docs, docs.coalesce(1)):
+        for name, out in (("op2", suffix_dedup.suffix_dedup(source)), ("op5", substring_dedup.substring_dedup(source))):
+            kept = sorted(((r.doc_id or 0, bytes(r.kept).decode() if name == "op2" else r.kept) for r in out.collect()))
+            assert [k for i, k in kept if i == 7] == ["", "", own[0]]
+            assert sorted(k for i, k in kept if i == 0) == sorted(["", own[1], own[2]])
+            assert [k.strip() for i, k in kept if i == 8] == ["end"]
+            assert [k for i, k in kept if i == 5] == ["short", "short"]
+            nine = [k for i, k in kept if i == 9]  # of the two texts one stays whole, the other loses what they share
+            assert len(nine) == 2 and sum(k in (own[3], "z " + own[3][:-3] + "tail") for k in nine) == 1
+
+
 def test_ngram_join_equals_brute_force(docs, rows):
     got, sets = by_id(ngram_join.ngram_join(docs)), {}
     for i, t in plain(rows):
