@@ -22,9 +22,9 @@ Every link between different sets lies inside one such group and is found or
 implied by found ones, so components are exact.
 
 Defined results: a text with fewer than k words is one shingle; one without words,
-or null, has no set and is its own component; repeated rows of an id are one
-document if their sets are equal, else the id is in both sets' components, of which
-the smaller counts; a null id is kept, as least. Sets compare by 64-bit hashes.
+or null, has no set and is its own component; rows that share an id, or have none,
+each have the component of their own set; a component's id is the least of its rows',
+a null id being less than all. Classes are told apart by 64-bit set hashes.
 """
 
 from __future__ import annotations
@@ -33,11 +33,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .anchors import NO_ID, ids, own_columns
+from .anchors import NO_ID, ids, own_rows, row_hashes
 from .components import components
 from .storage import arrow_rows, materialize
 
@@ -86,16 +86,16 @@ def vectors(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _sets_and_sketch(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "b", "doc_id", "n"]
+        names = ["kind", "a", "b", "doc_id", "row", "n"]
         sketch = np.zeros(SKETCH, np.int64)
         for batch, buf, off in tx.chunks(batches):
             grams, bounds = shingle_sets(buf, off, k)
             sketch += np.bincount((grams >> tx.U(46)).astype(np.int64), minlength=SKETCH)
             a, b = _set_hash(grams, bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(tx.signed(a)), pa.array(tx.signed(b)), pa.array(ids(batch)), pa.array(np.diff(bounds))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(tx.signed(a)), pa.array(tx.signed(b)), pa.array(ids(batch)), pa.array(row_hashes(batch)), pa.array(np.diff(bounds))], names)
         at = np.flatnonzero(sketch)
         zero = np.zeros(len(at), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(sketch[at]), pa.array(zero), pa.array(zero)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(sketch[at]), pa.array(zero), pa.array(zero), pa.array(zero)], names)
 
     return run
 
@@ -113,7 +113,7 @@ def _prefixes(k: int, percent: int, sketch) -> Callable:
             order = np.lexsort((grams, rarity[(grams >> tx.U(46)).astype(np.int64)], owner))
             place = np.arange(len(grams)) - bounds[owner]
             taken = order[(place < (n + (-percent * n // 100) + 1)[owner]) & mine[owner]]
-            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(grams[taken])), pa.array(ids(batch)[owner[taken]])], ["token", "class_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(grams[taken])), pa.array(batch.column("a").to_numpy()[owner[taken]])], ["token", "class_id"])
 
     return run
 
@@ -123,7 +123,7 @@ def _points(k: int) -> Callable:
         for batch, buf, off in tx.chunks(batches):
             grams, bounds = shingle_sets(buf, off, k)
             v = vectors(grams, bounds).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids(batch)), pa.array(np.diff(bounds)), pa.array([r.tobytes() for r in v], pa.binary())], ["class_id", "n", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(np.diff(bounds)), pa.array([r.tobytes() for r in v], pa.binary())], ["class_id", "n", "point"])
 
     return run
 
@@ -262,7 +262,7 @@ def _with_sets(k: int) -> Callable:
             grams, bounds = shingle_sets(buf, off, k)
             ok = tx.signed(_set_hash(grams, bounds)[0]) == batch.column("a").to_numpy()
             data = pa.array([grams[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("task"), batch.column("doc_id"), data], ["task", "class_id", "data"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([batch.column("task"), batch.column("a"), data], ["task", "class_id", "data"]).filter(pa.array(ok))
 
     return run
 
@@ -295,48 +295,60 @@ def _verified(percent: int) -> Callable:
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, one row for each row of docs. percent: the least Jaccard similarity."""
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
-        return _joined(docs, id_col, text_col, k, percent)
+        out = _joined(docs, id_col, text_col, k, percent)
+    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    return out.select(null("doc_id"), "n_shingles", null("component_id"))
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """All Python runs in here (what it makes is written); what is returned is a join of tables."""
+    """doc_id, row, n_shingles, component (a set hash; null without a set), component_id. All Python runs in here (what it makes is written); what is returned is a join of tables."""
     spark = docs.sparkSession
-    own = own_columns(docs, id_col, text_col)
-    seen = materialize(own.mapInArrow(_sets_and_sketch(k), "kind int, a long, b long, doc_id long, n long"))
+    own = own_rows(docs, id_col, text_col)
+    seen = materialize(own.mapInArrow(_sets_and_sketch(k), "kind int, a long, b long, doc_id long, row long, n long"))
     counts = seen.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).toPandas()  # SKETCH rows at most
     rarity = np.zeros(SKETCH, np.int64)
     rarity[counts["a"].to_numpy()] = counts["n"].to_numpy()
     sketch = spark.sparkContext.broadcast(rarity)
-    sets = seen.where("kind = 0").select("doc_id", "a", "b", "n")
-    classes = materialize(sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("class_id")))
-    chosen = own.join(classes.select(F.col("class_id").alias("doc_id"), "a"), "doc_id")
+    sets = seen.where("kind = 0").select("doc_id", "row", "a", "b", "n")
+    classes = materialize(sets.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "row")).alias("least")).select("a", "b", "n", "least.*"))
+    chosen = own.join(classes.select("doc_id", "row", "a"), ["doc_id", "row"])
 
     tokens = chosen.mapInArrow(_prefixes(k, percent, sketch), "token long, class_id long")
     shared = materialize(tokens.selectExpr("*", "count(*) over (partition by token) as many").where("many > 1").select("token", "class_id"))
-    wanted = shared.select(F.col("class_id").alias("doc_id")).distinct()
-    points = own.join(wanted, "doc_id", "left_semi").mapInArrow(_points(k), "class_id long, n long, point binary").dropDuplicates(["class_id"])
+    wanted = shared.select(F.col("class_id").alias("a")).distinct()
+    points = chosen.join(wanted, "a", "left_semi").mapInArrow(_points(k), "class_id long, n long, point binary").dropDuplicates(["class_id"])
     met = shared.join(points, "class_id").select("token", "class_id", "n", "point")
     possible = met.repartition("token").sortWithinPartitions("token").mapInArrow(_possible(percent), "a long, b long")
     groups = materialize(components(possible))
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    placed = groups.join(sizes, "component").selectExpr("node as doc_id", "component", f"cast(ceil(size / {BLOCK}) as int) as blocks", f"cast(pmod(xxhash64(node), cast(ceil(size / {BLOCK}) as int)) as int) as block")
+    placed = groups.join(sizes, "component").selectExpr("node as a", "component", f"cast(ceil(size / {BLOCK}) as int) as blocks", f"cast(pmod(xxhash64(node), cast(ceil(size / {BLOCK}) as int)) as int) as block")
     other = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
     tasks = placed.withColumn("other", F.explode(other))
     task = F.when(F.col("blocks") <= 2, F.xxhash64("component")).otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
-    tasks = tasks.select("doc_id", task.alias("task"))
-    ready = chosen.join(tasks, "doc_id").mapInArrow(_with_sets(k), "task long, class_id long, data binary")
+    tasks = tasks.select("a", task.alias("task"))
+    ready = chosen.join(tasks, "a").mapInArrow(_with_sets(k), "task long, class_id long, data binary")
     links = ready.repartition("task").sortWithinPartitions("task").mapInArrow(_verified(percent), "a long, b long")
     found = components(links)
 
-    of_class = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("a", "b", "n", F.coalesce("component", "class_id").alias("component_id"))
-    out = sets.join(of_class, ["a", "b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(null("doc_id"), "n_shingles", null("component_id"))
+    of_class = classes.join(found.withColumnRenamed("node", "a"), "a", "left").select("a", "b", "n", "doc_id", F.coalesce("component", "a").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = sets.join(of_class.drop("doc_id").join(least, "component"), ["a", "b", "n"], "left")
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are first (least id) of their component, with all columns."""
-    near = ngram_join(docs, id_col, text_col, k, percent)
-    gone = near.where("component_id < doc_id or (component_id is null and doc_id is not null)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """The first row of each component (least id, then hash of its text), with all columns; rows without a set stay."""
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        near = materialize(_joined(docs, id_col, text_col, k, percent).where("component is not null").select("doc_id", "row", "component"))
+    first = near.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    gone = near.join(first, "component").where("doc_id <> least.doc_id or row <> least.row").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    again = near.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).count().where("count > 1").drop("count")
+    keys = ["__id", "__row"]
+    marked = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__row", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    left = marked.join(gone, keys, "left_anti")
+    # Rows that are equal in id and text: one of them stays.
+    others = sorted(c for c in docs.columns if c not in (id_col, text_col))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*map(F.col, others or keys)))
+    repeated = left.join(again, keys, "left_semi").withColumn("__nth", number).where("__nth = 1")
+    return left.join(again, keys, "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))

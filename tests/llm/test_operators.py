@@ -105,6 +105,28 @@ def test_keep_one_keeps_columns(docs, empty):
     assert {2, 9}.isdisjoint(r.doc_id for r in kept.collect()) and ngram_join.keep_one(empty).count() == 0
 
 
+def test_ngram_join_of_repeated_and_null_ids(spark):
+    body = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    near = lambda c: body(c).replace(f"{c}30 ", "") if c == "q" else body(c) + " end"
+    rows = [(None, body("p")), (None, body("q") + " q60"), (None, body("r")), (None, body("s")), (4, near("p")), (5, body("q")), (6, near("r")), (7, near("s")), (7, body("t")), (8, near("t")), (9, body("u")), (9, body("u")), (9, near("u")), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [{tuple(w[p : p + 5]) for p in range(len(w) - 4)} for w in ((t or "").split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                    root[i] = root[j] = min(root[i], root[j])
+    least = {}
+    for (i, _), c in zip(rows, root, strict=True):
+        least[c] = min(least.get(c, 99), -1 if i is None else i)
+    of = lambda x: -1 if x is None else x
+    got = sorted((of(r.doc_id), r.n_shingles, of(r.component_id)) for r in ngram_join.ngram_join(docs, k=5, percent=80).collect())
+    assert got == sorted((of(i), len(x), least[c]) for (i, _), x, c in zip(rows, sets, root, strict=True))
+    kept = [(of(r.doc_id), r.text) for r in ngram_join.keep_one(docs).collect()]
+    assert len(kept) == len(set(root)) and sorted(i for i, _ in kept) == sorted(least.values())
+
+
 def test_large_group_links_by_pages():
     import numpy as np
 
