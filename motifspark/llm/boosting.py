@@ -53,3 +53,18 @@ class BoostedTrees:
                 node = 2 * node + (binned[row, feature[node]] > cut[node])
             score += leaf[node]
         return 1 / (1 + np.exp(-score))
+
+
+def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (score, share of ones) of the non-decreasing step function nearest to y, by pooling adjacent violators."""
+    order = np.argsort(score, kind="stable")
+    blocks: list[list[float]] = []  # sum, weight, first and last score
+    for s, t in zip(score[order].tolist(), y[order].tolist(), strict=True):
+        blocks.append([t, 1.0, s, s])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            a, w, _, last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + a, blocks[-1][1] + w, blocks[-1][2], last]
+    if not blocks:
+        return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    x = [v for _, _, a, b in blocks for v in (a, b)]
+    return np.array(x), np.array([a / w for a, w, _, _ in blocks for _ in range(2)])
