@@ -304,13 +304,68 @@ def test_chat_round_trip(spark):
     assert [a.ref for a in got[1].attachments] == ["r0", "r1", "r2", "r3"] and got[2].n_turns == 1
 
 
-def test_decontamination_finds_edited_items(spark, docs):
+def test_decontamination_finds_edited_items(spark, docs, empty):
     item = "the quick brown fox jumps over a lazy dog while seven wizards box quietly"
-    items = spark.createDataFrame([(1, item), (2, None), (3, "ab")], "item_id long, text string")
-    texts = spark.createDataFrame([(1, f"x y {item} z"), (2, "x " + item.replace("fox", "cat").replace("over a", "over")), (3, "the quick brown fox"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item, 5), (2, None, 5), (3, "ab", 5), (4, "", 5)], "item_id long, text string, doc_id long")
+    texts = spark.createDataFrame([(1, f"x y {item} z"), (2, "x " + item.replace("fox", "cat").replace("over a", "over")), (3, "the quick brown fox"), (4, None), (5, "say, AB!")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontamination.contaminated(texts, items).collect()}
-    assert got == {(1, 1): 0, (2, 1): 2}
-    assert decontamination.drop_contaminated(docs, items).count() == docs.count()
+    assert got == {(1, 1): 0, (2, 1): 2, (5, 3): 0}
+    assert decontamination.drop_contaminated(docs, items).count() == docs.count() and decontamination.drop_contaminated(docs, items).columns == docs.columns
+    assert decontamination.contaminated(empty, items).count() == 0 and decontamination.drop_contaminated(docs, items.limit(0)).count() == docs.count()
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Items of 1 to 40 words with up to the allowed number of edits, whole ones at any place."""
+    r = random.Random(8)
+    words = lambda n: [r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(40)) for _ in range(n)]
+    items = [words(1 + i % 40) for i in range(80)]
+    texts = []
+    for i in range(400):
+        w = list(items[i % 80])
+        for _ in range(r.randint(0, len(w) // 5)):
+            at = r.randrange(len(w) + 1)
+            w[at : at + r.randint(0, 1)] = words(r.randint(0, 1))
+        texts.append(words(r.choice([0, 5, 30])) + w + words(r.choice([0, 5, 30])))
+
+    def nearest(item, text):
+        row = [0] * (len(text) + 1)
+        for a in item:
+            new = [row[0] + 1]
+            for j, b in enumerate(text):
+                new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    want = {}
+    for d, text in enumerate(texts):
+        have = set(text)
+        for i, item in enumerate(items):
+            if len(have & set(item)) >= len(set(item)) - len(item) // 5 and (n := nearest(item, text)) <= len(item) // 5:
+                want[d, i] = n
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(x)], f"{n} long, text string") for n, x in (("doc_id", texts), ("item_id", items))]
+    got = {(x.doc_id, x.item_id): x.distance for x in decontamination.contaminated(*frames).collect()}
+    assert set(got) <= set(want) and all(got[k] >= want[k] for k in got)
+    assert sum(got.get(k) == n for k, n in want.items()) >= 0.97 * len(want) and len(want) >= 400
+
+
+def test_decontamination_keeps_its_recall_at_the_full_edit_budget():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 10**6, n)) for n in r.integers(10, 120, 60)]
+    block = decontamination.Items(list(range(60)), texts, **decontamination.DEFAULTS)
+    found = 0
+    for k in range(300):
+        some = lambda: r.integers(1, 2**63, 30).astype(np.uint64)
+        w = np.concatenate([some(), decontamination.edited(r, block.words[k % 60], int(block.edits[k % 60])), some()])
+        found += any(i == k % 60 for _, i, *_ in block.hits(w, np.zeros(len(w), np.int64), 1))
+    assert found >= 0.95 * 300
+
+
+def test_decontamination_of_a_very_long_item():
+    text = " ".join(f"w{i}" for i in range(5000))
+    block = decontamination.Items([1], [text], **decontamination.DEFAULTS)
+    assert block.repeats >= 1 and block.edits[0] == 1000
 
 
 def test_mixing_budget_is_shared_among_siblings(spark):
