@@ -1,12 +1,16 @@
 """Suffix-array dedup of byte strings: later copies go, the first stays.
 
-The windows that may repeat are found through content anchors (``anchors``). In
-each block of comparable windows their suffix order is built over the first
-``window`` bytes, equal ones by text position (document, offset). In that order
-the previous and the next entry with a smaller text position give a suffix's
-longest previous factor; as orders are cut at ``window`` bytes, the factor reaches
-that length exactly where the previous smaller position is the neighbour in an
-equal run. Those windows are removed, wherever they overlap.
+The windows that may repeat are found through content anchors (``anchors``). For
+each block of comparable windows the suffix array of their first ``window`` bytes is
+built, with the longest common prefixes of neighbours. The nearest entries before and
+after a suffix in that order that have a smaller text position (document, offset) are
+the earlier texts that agree with it longest; the longer of both agreements is its
+longest previous factor. Windows whose factor is ``window`` bytes long are removed,
+wherever they overlap, and the first of equals has none, so it stays.
+
+Of contexts that are equal as a whole (equal 64-bit hashes under an equal anchor) the
+first alone goes into a block: the others' windows have an equal one earlier, at the
+same place in the first. They are the bulk of exact copies.
 
 Defined results: null text is empty; matches never cross documents; the result
 doesn't depend on partitioning; for null and repeated ids see ``anchors``. The
@@ -23,12 +27,14 @@ from . import anchors as an
 
 
 def suffix_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes at starts by their first length bytes, ties kept, and where a new value begins in it.
+    """The order of the suffixes at starts by their first length bytes, ties kept, and each one's common prefix with the one before it.
 
     Eight bytes at a time; only runs that are still equal are ordered further.
     """
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     order = np.arange(len(starts))
+    lcp = np.full(len(starts), length)
+    lcp[:1] = 0
     new = np.zeros(len(starts), bool)
     new[:1] = True
     open_ = np.arange(len(starts))  # places in the order that are still tied
@@ -43,35 +49,54 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.n
         sort = np.lexsort((word, run))
         order[open_] = order[open_][sort]
         word, run = word[sort], run[sort]
-        split = np.concatenate([[False], (word[1:] != word[:-1]) & (run[1:] == run[:-1])])
+        split = np.flatnonzero(np.concatenate([[False], (word[1:] != word[:-1]) & (run[1:] == run[:-1])]))
         new[open_[split]] = True
+        apart = word[split] ^ word[split - 1]
+        lcp[open_[split]] = at + sum(((apart >> np.uint64(64 - 8 * b)) == 0).astype(np.int64) for b in range(1, 8))
         tied = ~new[open_]  # equal to the one before
         tied[:-1] |= tied[1:]
         open_ = open_[tied]
         if not len(open_):
             break
-    return order, new
+    return order, lcp
 
 
-def longest_previous(order: np.ndarray, new: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Which suffixes have a previous factor as long as the order looks: in a run of equals, all but the smallest position."""
-    run = np.cumsum(new) - 1
-    by_position = np.lexsort((position[order], run))
-    order = order[by_position]
-    earlier = np.zeros(len(order), bool)
-    earlier[order[1:]] = run[1:] == run[:-1]  # the run numbers don't change their places
-    return earlier
+def _agreement(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place of a suffix order the agreement with the nearest one before it that has a smaller text position; 0 without one.
+
+    Pointers jump: where the place pointed at has a larger position, go on from where that one points to.
+    """
+    to = np.arange(-1, len(position) - 1)
+    least = lcp.copy()
+    wrong = np.flatnonzero(position[to] > position)
+    wrong = wrong[to[wrong] >= 0]
+    while len(wrong):
+        via = to[wrong]
+        least[wrong], to[wrong] = np.minimum(least[wrong], least[via]), to[via]
+        wrong = wrong[(to[wrong] >= 0) & (position[to[wrong]] > position[wrong])]
+    least[to < 0] = 0
+    return least
+
+
+def longest_previous(order: np.ndarray, lcp: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix: its longest agreement with one of a smaller position (distinct numbers)."""
+    placed = position[order]
+    before = _agreement(placed, lcp)
+    after = _agreement(placed[::-1], np.concatenate([[0], lcp[:0:-1]]))[::-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
 
 
 def kernel(window: int):
     def run(key, ident, pos, count, buf, off):
         ctx = np.repeat(np.arange(len(count)), count)
         shift = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
-        order, new = suffix_order(buf, off[ctx] + shift, window)
+        order, lcp = suffix_order(buf, off[ctx] + shift, window)
         rank = np.empty(len(count), np.int64)
         rank[np.lexsort((pos, ident))] = np.arange(len(count))
         # A text position as (document, offset); contexts of one document don't overlap in their windows' starts.
-        hit = longest_previous(order, new, rank[ctx] * (1 << 8) + shift)
+        hit = longest_previous(order, lcp, rank[ctx] * (1 << 8) + shift) >= window
         return ctx[hit], shift[hit]
 
     return run

@@ -56,6 +56,27 @@ def test_suffix_dedup_equals_brute_force(docs, rows):
         assert len(got[i]["spans"]) == len(re.findall(b"\1+", bytes(gone)))
 
 
+@pytest.mark.parametrize("length", [3, 8, 20, 100])
+def test_longest_previous_factors_equal_brute_force(length):
+    import numpy as np
+
+    r = np.random.default_rng(length)
+    for alphabet in (1, 2, 4):
+        buf = r.integers(97, 97 + alphabet, 400).astype(np.uint8)
+        buf[200:260] = buf[20:80]
+        starts = r.permutation(400 - length)[:250]
+        position = r.permutation(1000)[:250]
+        order, lcp = suffix_dedup.suffix_order(buf, starts, length)
+        text = [bytes(buf[s : s + length]) for s in starts.tolist()]
+        assert [text[o] for o in order.tolist()] == sorted(text)
+        common = lambda x, y: next((k for k in range(length) if x[k] != y[k]), length)
+        assert lcp[1:].tolist() == [common(text[a], text[b]) for a, b in zip(order[:-1], order[1:], strict=True)]
+        want = [max([common(t, u) for u, q in zip(text, position, strict=True) if q < p], default=0) for t, p in zip(text, position, strict=True)]
+        assert suffix_dedup.longest_previous(order, lcp, position).tolist() == want
+    e = np.empty(0, np.int64)
+    assert len(suffix_dedup.longest_previous(*suffix_dedup.suffix_order(np.empty(0, np.uint8), e, length), e)) == 0
+
+
 def test_substring_dedup_equals_brute_force(docs, rows):
     got, seen = by_id(substring_dedup.substring_dedup(docs)), {}
     for i, t in plain(rows):
