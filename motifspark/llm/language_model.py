@@ -3,29 +3,35 @@
 Tokens are words (A-Z lower-cased) and one end for each text. Base probabilities
 are add-half unigrams over all training tokens. The model is a trigram over all
 words, whatever their counts. Conditional probabilities are smoothed towards the
-shorter context with a Dirichlet prior of ``strength``.
-
-All counts are taken over all training documents. Documents go to blocks by a hash
-of their id. A block asks for the distinct words and n-grams that it holds, by their
-hashes; the same rows carry its own counts, so one shuffle by n-gram both sums and
-answers. The hashes of a block travel sorted, a run of them to each range of hashes,
-and only what other blocks hold too is answered: the rest is the block's own. As every text has an end, a context's count is that of its own n-gram (at
-a text's start, the number of texts), so contexts need no rows. A block numbers its
-own words; its answers make its trie: sorted levels of n-grams, symbols and
-child pointers in Elias-Fano code, probabilities quantised to 16 bits, in one
-memory-mapped file that the block's task removes after use. A lookup walks from
-context to context: the successor of a symbol inside its parent's range. No task
-holds more of the model than its block uses.
+shorter context with a Dirichlet prior of ``strength``: an n-gram that training has
+not seen has its shorter one's probability times its context's back-off weight.
+
+All counts are taken over all training documents. Documents go to blocks of about
+``block_tokens`` tokens by a hash of their id and text. A block asks for the distinct
+words and n-grams that it holds, by their hashes; the same rows carry its own counts,
+so one shuffle by n-gram both sums and answers. The hashes of a block travel sorted
+and Elias-Fano coded, a run of them to each range of hashes, and only what other
+blocks hold too is answered: the rest is the block's own. As every text has an end, a
+context's count is that of its own n-gram (at a text's start, the number of texts), so
+contexts need no rows.
+
+A block numbers its own words; of the n-grams that it asked for, those that training
+has seen make its trie: sorted levels of symbols and child pointers in Elias-Fano
+code, probabilities and back-off weights quantised to 16 bits, in one anonymous
+memory map, from which lookups read packed bits where they stand. A lookup walks from
+context to context: the successor of a symbol inside its parent's range; where there
+is none, it backs off. No task holds more of the model than its block uses.
 
 Defined results: null text has its end token only; a null id is hashed as empty;
 repeated rows each count and each get their row; with no training text N and V are
-0 and unseen words share the whole mass. Words and n-grams compare by 64-bit hashes.
+0 and unseen words share the whole mass. Words compare by 64-bit hashes, n-grams by
+``SPARE_BITS`` more bits than the logarithm of their number (64 at most), so that at
+any size of corpus one in 2**SPARE_BITS is expected to meet a stranger.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,44 +41,86 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
+SPARE_BITS = 24
 END = tx.mix(np.array([0x0E4D], np.uint64))[0]
 PAD = 0  # the symbol and the hash of a place before the text
 
 
+def pack(values: np.ndarray, bits: int) -> np.ndarray:
+    """Values of so many bits (under 64) side by side in 64-bit words, one spare word at the end."""
+    at = np.arange(len(values), dtype=np.int64) * bits
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    out = np.zeros((len(values) * bits >> 6) + 2, np.uint64)
+    if bits and len(values):
+        v = values.astype(np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out[word[first]] = np.bitwise_or.reduceat(v << shift, first)
+        over = np.flatnonzero(shift + tx.U(bits) > tx.U(64))  # one value at most goes on into each next word
+        out[word[over] + 1] |= v[over] >> (tx.U(64) - shift[over])
+    return out
+
+
+def unpack(words: np.ndarray, i: np.ndarray, bits: int) -> np.ndarray:
+    if not bits:
+        return np.zeros(len(i), np.int64)
+    at = i * bits
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    v = words[word] >> shift
+    over = np.flatnonzero(shift + tx.U(bits) > tx.U(64))
+    v[over] |= words[word[over] + 1] << (tx.U(64) - shift[over])
+    return (v & tx.U((1 << bits) - 1)).astype(np.int64)
+
+
 class EliasFano:
-    """A monotone sequence: low bits packed as they are, high bits in unary with a rank sample."""
+    """A monotone sequence: low bits packed, high bits in unary, with the number of ones before each word of these."""
 
     @staticmethod
-    def build(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, int]:
+    def build(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Words of low bits, words of high bits, counts of ones before these, number of low bits."""
         n = max(1, len(values))
         low_bits = max(0, int(bound // n).bit_length() - 1)
         v = values.astype(np.uint64)
-        low = (v & tx.U((1 << low_bits) - 1)).astype(np.uint32)
-        high = (v >> tx.U(low_bits)).astype(np.int64)
-        unary = np.zeros(len(v) + (bound >> low_bits) + 2, np.uint8)
-        unary[high + np.arange(len(v))] = 1
-        return low, np.packbits(unary, bitorder="little"), low_bits
-
-    def __init__(self, low: np.ndarray, packed: np.ndarray, low_bits: int, n: int):
-        self.low, self.bits, self.n = low, low_bits, n
-        self.ones = np.flatnonzero(np.unpackbits(packed, bitorder="little"))
+        size = ((len(v) + (bound >> low_bits) + 2) >> 6) + 1
+        unary = np.zeros(size * 64, np.uint8)
+        unary[(v >> tx.U(low_bits)).astype(np.int64) + np.arange(len(v))] = 1
+        high = np.packbits(unary, bitorder="little").view(np.uint64)
+        before = np.cumsum(np.bitwise_count(high), dtype=np.uint64) - np.bitwise_count(high)
+        return pack(v & tx.U((1 << low_bits) - 1), low_bits), high, before, low_bits
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, before: np.ndarray, low_bits: int, n: int):
+        self.low, self.high, self.before, self.bits, self.n = low, high, before, low_bits, n
+
+    def _select(self, i: np.ndarray) -> np.ndarray:
+        """Places of the ones number i: the word by its count, then halves of the word."""
+        at = np.searchsorted(self.before, i.astype(np.uint64), side="right") - 1
+        word, left = self.high[at], i - self.before[at].astype(np.int64)
+        at <<= 6
+        for half in (32, 16, 8, 4, 2, 1):
+            ones = np.bitwise_count(word & tx.U((1 << half) - 1)).astype(np.int64)
+            up = left >= ones
+            left -= np.where(up, ones, 0)
+            at += half * up
+            word = np.where(up, word >> tx.U(half), word)
+        return at
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return ((self.ones[i] - i).astype(np.int64) << self.bits) | self.low[i].astype(np.int64)
+        return ((self._select(i) - i) << self.bits) | unpack(self.low, i, self.bits)
 
     def successor(self, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
         """For each range [lo, hi) the first place whose value is at least x."""
         lo, hi = lo.copy(), hi.copy()
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = open_ & (self[np.minimum(mid, max(self.n - 1, 0))] < x) if self.n else open_ & False
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self[mid] < x[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
         return lo
 
 
 class Trie:
-    """Three levels of symbols. A level's symbols are kept relative to their parents (parent place + symbol), so that the level is monotone."""
+    """Levels of n-grams in one anonymous memory map. A level's symbols are kept relative to their parents (parent place << bits | symbol), so that the level is monotone."""
 
     LOW = -12.0
 
@@ -80,47 +128,63 @@ class Trie:
     def quantised(cls, log10p: np.ndarray) -> np.ndarray:
         return np.round(np.clip(log10p, cls.LOW, 0) / cls.LOW * 65535).astype(np.uint16)
 
-    @classmethod
-    def write(cls, path: str, bits: int, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """levels: for each order its sorted keys (parent place << bits | symbol) and their log10 probabilities."""
-        parts: list[np.ndarray] = []
-        head: list[int] = [bits]
-        above = 1
-        for keys, logp in levels:
-            low, packed, low_bits = EliasFano.build(keys, above << bits)
+    def __init__(self, bits: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """levels: for each order its sorted keys, their log10 probabilities and back-off weights."""
+        self.bits = bits
+        parts, shapes, above = [], [], 1
+        for keys, logp, backoff in levels:
             first = np.searchsorted(keys >> bits, np.arange(above + 1))
-            p_low, p_packed, p_bits = EliasFano.build(first, len(keys) + 1)
-            parts += [low.view(np.uint8), packed, p_low.view(np.uint8), p_packed, cls.quantised(logp).view(np.uint8)]
-            head += [len(keys), low_bits, len(low) * 4, len(packed), len(first), p_bits, len(p_low) * 4, len(p_packed), len(keys) * 2]
+            codes = EliasFano.build(keys, above << bits), EliasFano.build(first, len(keys) + 1)
+            parts += [*codes[0][:3], *codes[1][:3], self.quantised(logp), self.quantised(backoff)]
+            shapes.append((len(keys), codes[0][3], len(first), codes[1][3]))
             above = len(keys)
-        with open(path, "wb") as f:
-            f.write(np.array(head, np.int64).tobytes())
-            for p in parts:
-                f.write(p.tobytes())
-
-    def __init__(self, path: str, orders: int = 3):
-        data = np.memmap(path, np.uint8, "r")
-        self.bits = int(data[:8].view(np.int64)[0])
-        head = data[8 : 8 + orders * 72].view(np.int64).reshape(orders, 9)
-        at, self.levels = 8 + orders * 72, []
-        for n, bits, a, b, n_first, p_bits, c, d, e in head.tolist():
-            low, packed, p_low, p_packed, q = np.split(data[at : at + a + b + c + d + e], np.cumsum([a, b, c, d]))
-            self.levels.append((EliasFano(np.frombuffer(low.tobytes(), np.uint32), packed, bits, n), EliasFano(np.frombuffer(p_low.tobytes(), np.uint32), p_packed, p_bits, n_first), np.frombuffer(q.tobytes(), np.uint16), n))
-            at += a + b + c + d + e
-
-    def lookup(self, symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(found, log10 probability) of n-grams given as columns, oldest first."""
-        parent = np.zeros(len(symbols[0]), np.int64)
-        found = np.ones(len(parent), bool)
-        for depth, s in enumerate(symbols):
-            level, first, q, n = self.levels[depth]
-            x = (parent << self.bits) | s
-            hi = first[parent + 1]
-            at = level.successor(first[parent], hi, x)
-            inside = np.minimum(at, max(n - 1, 0))
-            found &= (at < hi) & (level[inside] == x) if n else False
-            parent = inside
-        return found, (q[parent].astype(float) / 65535 * self.LOW) if n else np.zeros(len(parent))
+        size = [-(-p.nbytes // 8) * 8 for p in parts]
+        place = np.concatenate([[0], np.cumsum(size)]).tolist()
+        self.map = mmap.mmap(-1, max(1, place[-1]))
+        views = []
+        for p, at in zip(parts, place, strict=False):
+            view = np.frombuffer(self.map, p.dtype, len(p), at)
+            view[:] = p
+            views.append(view)
+        self.levels = []
+        for k, (n, low, n_first, first_low) in enumerate(shapes):
+            v = views[8 * k : 8 * k + 8]
+            self.levels.append((EliasFano(*v[:3], low, n), EliasFano(*v[3:6], first_low, n_first), v[6], v[7], n))
+
+    def _value(self, q: np.ndarray) -> np.ndarray:
+        return q.astype(float) / 65535 * self.LOW
+
+    def find(self, depth: int, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The places at a level of symbols under parents; -1 where there is no such n-gram."""
+        level, first, _, _, n = self.levels[depth]
+        out = np.full(len(parent), -1)
+        have = np.flatnonzero(parent >= 0)
+        if n and len(have):
+            x = (parent[have] << self.bits) | symbol[have]
+            hi = first[parent[have] + 1]
+            at = level.successor(first[parent[have]], hi, x)
+            inside = np.flatnonzero(at < hi)
+            ok = inside[level[at[inside]] == x[inside]]
+            out[have[ok]] = at[ok]
+        return out
+
+    def log10(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 probability of w after u, v: of the longest n-gram there is, with the back-off weights of the contexts left."""
+        root = np.zeros(len(w), np.int64)
+        one, last = self.find(0, root, v), self.find(0, root, w)
+        context, two = self.find(1, self.find(0, root, u), v), self.find(1, one, w)
+        three = self.find(2, context, w)
+        (_, _, p1, b1, _), (_, _, p2, b2, _), (_, _, p3, _, _) = self.levels
+        out = np.empty(len(w))
+        hit = three >= 0
+        out[hit] = self._value(p3[three[hit]])
+        for chosen, p, at in ((~hit & (two >= 0), p2, two), (~hit & (two < 0), p1, last)):
+            out[chosen] = self._value(p[at[chosen]])
+        weigh = ~hit & (context >= 0)
+        out[weigh] += self._value(b2[context[weigh]])
+        weigh = ~hit & (two < 0)
+        out[weigh] += self._value(b1[one[weigh]])
+        return out
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,46 +217,65 @@ def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return k, np.bincount(inverse, weight, len(k)).astype(np.int64)
 
 
-def _own(token: np.ndarray, doc: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of words, bigrams and trigrams, and their counts in training texts."""
+def _own(token: np.ndarray, doc: np.ndarray, train: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes (without the last ``drop`` bits) of words, bigrams and trigrams, and their counts in training texts."""
     u, v = _before(token, doc, 2), _before(token, doc, 1)
-    return _counted(np.concatenate([token, gram_hash(v, token), gram_hash(u, v, token)]), np.tile(train.astype(float), 3))
+    return _counted(np.concatenate([token, gram_hash(v, token), gram_hash(u, v, token)]) >> tx.U(drop), np.tile(train.astype(float), 3))
+
+
+def _slim(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, that number first."""
+    width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w - (w == 8))
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
 
+def _run(keys: np.ndarray, bound: int) -> bytes:
+    """Sorted values under bound in Elias-Fano code."""
+    low, high, _, _ = EliasFano.build(keys, bound)
+    return low.tobytes() + high.tobytes()
 
-def _planes(x: np.ndarray) -> bytes:
-    """64-bit values byte by byte, highest first: sorted or small ones compress well."""
-    return x.view(np.uint8).reshape(-1, 8).T[::-1].tobytes()
 
+def _from_run(data: bytes, n: int, bound: int) -> np.ndarray:
+    low_bits = max(0, int(bound // max(1, n)).bit_length() - 1)
+    words = np.frombuffer(data, np.uint64)
+    n_low = (n * low_bits >> 6) + 2
+    i = np.arange(n)
+    high = np.flatnonzero(np.unpackbits(words[n_low:].view(np.uint8), bitorder="little")) - i
+    return high.astype(np.int64) << low_bits | unpack(words[:n_low], i, low_bits)
 
-def _from_planes(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1)[::-1].T).view(kind).ravel()
 
+def _answered(bound: int):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        """One range of hashes: for each block which of its hashes other blocks hold too, and their sums."""
+        n = t.column("n").to_pylist()
+        cut = np.concatenate([[0], np.cumsum(n)]).tolist()
+        k = np.concatenate([_from_run(x, m, bound) for x, m in zip(t.column("keys").to_pylist(), n, strict=True)])
+        c = np.concatenate([_counts(x) for x in t.column("c").to_pylist()])
+        order = np.argsort(k)
+        new = np.concatenate([[True], k[order][1:] != k[order][:-1]])
+        start = np.flatnonzero(new)
+        group = np.empty(len(k), np.int64)
+        group[order] = np.cumsum(new) - 1
+        sums, many = np.add.reduceat(c[order], start)[group], (np.diff(np.append(start, len(k))) > 1)[group]
+        spans = list(zip(cut[:-1], cut[1:], strict=True))
+        return pa.table({
+            "block": t.column("block"), "part": t.column("part"), "n": t.column("n"),
+            "shared": pa.array([np.packbits(many[a:b]).tobytes() for a, b in spans], pa.binary()),
+            "c": pa.array([_slim(sums[a:b][many[a:b]]) for a, b in spans], pa.binary()),
+        })
 
-def _answered(key: tuple, t: pa.Table) -> pa.Table:
-    """One range of hashes: for each block which of its hashes other blocks hold too, and their sums."""
-    keys = [_from_planes(x, np.uint64) for x in t.column("keys").to_pylist()]
-    cut = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).tolist()
-    k = np.concatenate(keys)
-    c = np.concatenate([_from_planes(x, np.int64) for x in t.column("c").to_pylist()])
-    order = np.argsort(k)
-    new = np.concatenate([[True], k[order][1:] != k[order][:-1]])
-    start = np.flatnonzero(new)
-    group = np.empty(len(k), np.int64)
-    group[order] = np.cumsum(new) - 1
-    sums, many = np.add.reduceat(c[order], start)[group], (np.diff(np.append(start, len(k))) > 1)[group]
-    spans = list(zip(cut[:-1], cut[1:], strict=True))
-    return pa.table({
-        "block": t.column("block"), "part": t.column("part"), "n": pa.array([b - a for a, b in spans], pa.int32()),
-        "shared": pa.array([np.packbits(many[a:b]).tobytes() for a, b in spans], pa.binary()),
-        "c": pa.array([_planes(sums[a:b][many[a:b]]) for a, b in spans], pa.binary()),
-    })
+    return run
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 40.0, block_rows: int = 4096, fold: int = 5, held: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 40.0, block_tokens: int = 1 << 21, fold: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     A document is held out of training where crc32 of its id as text, modulo fold, is held.
@@ -206,9 +289,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             k, c = _merge(parts)
             return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["word", "c"])
 
-        parts, size = [], 0
+        parts, size, every = [], 0, 0
         for batch, buf, off in tx.chunks(batches):
             token, doc = tokens(buf, off)
+            every += len(token)
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             token = token[train[doc]]
             parts.append(_counted(token, np.ones(len(token))))
@@ -221,41 +305,45 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     parts, size = [], 0
         if parts:
             yield send(parts)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([every], pa.int64())], ["word", "c"])  # all tokens, held out or not
 
     counts = own.mapInArrow(words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    ends = F.sum(F.when(F.col("word") == int(END.view(np.int64)), F.col("c")))
-    total, distinct, texts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(ends, F.lit(0))).first()
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
+    total, distinct, texts, every = counts.agg(of(F.col("word").isNotNull()), F.count("word"), of(F.col("word") == int(END.view(np.int64))), of(F.col("word").isNull())).first()
     mass = total + 0.5 * (distinct + 1)
-    blocks = max(1, -(-own.count() // block_rows))
-    placed = own.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    blocks = max(1, -(-every // block_tokens))
+    placed = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
+    bits = min(64, (3 * every).bit_length() + SPARE_BITS)
     ranges = max(16, 2 * blocks)
+    bound = -(-(1 << bits) // ranges)
 
     def asked(key: tuple, t: pa.Table) -> pa.Table:
         parts = []
         for batch, buf, off in tx.chunks(t.to_batches()):
             token, doc = tokens(buf, off)
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            parts.append(_own(token, doc, train[doc]))
+            parts.append(_own(token, doc, train[doc], 64 - bits))
         k, c = _merge(parts)
-        part = ((k >> tx.U(40)) * tx.U(ranges) >> tx.U(24)).astype(np.int32)
+        part = (k // tx.U(bound)).astype(np.int32)
         cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-        planes = lambda x: pa.array([_planes(x[a:b]) for a, b in spans], pa.binary())
-        return pa.table({"block": pa.array(np.full(len(spans), key[0].as_py(), np.int32)), "part": pa.array(part[cut[:-1]]), "keys": planes(k), "c": planes(c)})
+        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), part[cut[:-1]].tolist(), strict=True))
+        keys = pa.array([_run(k[a:b] - tx.U(p * bound), bound) for a, b, p in spans], pa.binary())
+        own_counts = pa.array([_slim(c[a:b]) for a, b, _ in spans], pa.binary())
+        return pa.table({"block": pa.array(np.full(len(spans), key[0].as_py(), np.int32)), "part": pa.array(part[cut[:-1]]), "n": pa.array(np.diff(cut).astype(np.int32)), "keys": keys, "c": own_counts})
 
-    rows = placed.groupBy("block").applyInArrow(asked, "block int, part int, keys binary, c binary")
-    answers = rows.groupBy("part").applyInArrow(_answered, "block int, part int, n int, shared binary, c binary")
+    rows = placed.groupBy("block").applyInArrow(asked, "block int, part int, n int, keys binary, c binary")
+    answers = rows.groupBy("part").applyInArrow(_answered(bound), "block int, part int, n int, shared binary, c binary")
 
     def scored(key: tuple, t: pa.Table, a: pa.Table) -> pa.Table:
-        return _scored(t, a, total, texts, mass, strength)
+        return _scored(t, a, total, texts, mass, strength, 64 - bits)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
 
 
-def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, strength: float) -> pa.Table:
-    """texts: the number of training texts."""
+def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, strength: float, drop: int) -> pa.Table:
+    """texts: the number of training texts; drop: bits left out of hashes."""
     if not t.num_rows:
         return pa.table({n: pa.array([], kind) for n, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
     token, doc, train = [], [], []
@@ -267,11 +355,11 @@ def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, stren
         train.append(~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
         n += batch.num_rows
     token, doc, train = np.concatenate(token), np.concatenate(doc), np.concatenate(train)
-    key, c = _own(token, doc, train[doc])  # in order, as the ranges of hashes are
+    key, c = _own(token, doc, train[doc], drop)  # in order, as the ranges of hashes are
     a = a.sort_by("part")
     shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(a.column("shared").to_pylist(), a.column("n").to_pylist(), strict=True)])
-    c[shared.astype(bool)] = np.concatenate([_from_planes(x, np.int64) for x in a.column("c").to_pylist()])
-    count = lambda h: c[np.searchsorted(key, h)]
+    c[shared.astype(bool)] = np.concatenate([_counts(x) for x in a.column("c").to_pylist()])
+    count = lambda h: c[np.searchsorted(key, h >> tx.U(drop))]
 
     # Symbols 1.. are the block's words; a level's place 0 is that of texts' starts.
     word, symbol = np.unique(token, return_inverse=True)
@@ -285,23 +373,24 @@ def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, stren
     keys2, at, pair = np.unique(v << bits | symbol, return_index=True, return_inverse=True)
     n2 = count(gram_hash(_before(token, doc, 1)[at], token[at]))
     p2 = np.concatenate([[1.0], (n2 + strength * p1[keys2 & ((1 << bits) - 1)]) / (c1[keys2 >> bits] + strength)])
-    c2 = np.concatenate([[texts], n2])
-    keys2 = np.concatenate([[0], keys2])
+    c2, keys2 = np.concatenate([[texts], n2]), np.concatenate([[0], keys2])
     pair += 1
     above = _before(pair, doc, 1)
     keys3, at, each = np.unique(above << bits | symbol, return_index=True, return_inverse=True)
     n3 = count(gram_hash(_before(token, doc, 2)[at], _before(token, doc, 1)[at], token[at]))
     p3 = (n3 + strength * p2[pair[at]]) / (c2[keys3 >> bits] + strength)
-    columns = [_before(symbol, doc, 2)[at], v[at], symbol[at]]
-    del v, pair, above
-
-    handle, path = tempfile.mkstemp(suffix=".trie")
-    os.close(handle)
-    try:
-        Trie.write(path, bits, [(np.arange(len(word) + 1), np.log10(p1)), (keys2, np.log10(p2)), (keys3, np.log10(p3))])
-        _, p = Trie(path).lookup(columns)  # a block's trie holds all of its n-grams
-    finally:
-        os.unlink(path)
+    columns = _before(symbol, doc, 2)[at], v[at], symbol[at]
+    del v, pair, above, at
+
+    # The model has what training has seen.
+    seen2 = c2 > 0
+    seen2[0] = True
+    seen3 = n3 > 0
+    place2 = np.cumsum(seen2) - 1
+    keys3 = place2[keys3[seen3] >> bits] << bits | keys3[seen3] & ((1 << bits) - 1)
+    weight = lambda n: np.log10(strength / (n + strength))
+    trie = Trie(bits, [(np.arange(len(word) + 1), np.log10(p1), weight(c1)), (keys2[seen2], np.log10(p2[seen2]), weight(c2[seen2])), (keys3, np.log10(p3[seen3]), np.zeros(len(keys3)))])
+    p = np.concatenate([trie.log10(*(x[i : i + (1 << 18)] for x in columns)) for i in range(0, len(n3), 1 << 18)])
     sums = lambda x: np.bincount(doc, x, n)
     known = sums((word_c > 0)[symbol - 1]).astype(np.int64)
     return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(np.bincount(doc, minlength=n)), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(sums(base[symbol - 1])), "score": pa.array(sums(p[each]))})

@@ -214,15 +214,31 @@ def test_lm_scores_every_word_by_its_own_ngrams(spark):
     assert len(got) == len(texts) and all(abs(got[i] - score(x)) < 2e-4 * len(x) for i, x in enumerate(words))
 
 
-def test_elias_fano_and_trie(tmp_path):
+@pytest.mark.parametrize(("n", "bound"), [(500, 10**6), (1, 10**12), (700, 300), (0, 9), (300, 2**60)])
+def test_elias_fano_reads_packed_bits(n, bound):
     import numpy as np
 
-    values = np.sort(np.random.default_rng(1).integers(0, 10**6, 500))
-    low, packed, bits = language_model.EliasFano.build(values, 10**6)
-    ef = language_model.EliasFano(low, packed, bits, 500)
-    assert (ef[np.arange(500)] == values).all()
-    x = np.random.default_rng(2).integers(0, 10**6, 100)
-    assert (ef.successor(np.zeros(100, np.int64), np.full(100, 500), x) == np.searchsorted(values, x)).all()
+    r = np.random.default_rng(1)
+    values = np.sort(r.integers(0, bound, n))
+    *words, bits = language_model.EliasFano.build(values, bound)
+    ef = language_model.EliasFano(*words, bits, n)
+    assert (ef[np.arange(n)] == values).all()
+    x = r.integers(0, bound, 100)
+    assert (ef.successor(np.zeros(100, np.int64), np.full(100, n), x) == np.searchsorted(values, x)).all()
+    assert sum(w.nbytes for w in words) <= n * (bits + 6) / 8 + 80
+    assert (language_model._from_run(language_model._run(values, bound), n, bound) == values).all()
+
+
+def test_trie_backs_off():
+    import numpy as np
+
+    one, two, three = np.arange(5), np.array([0, 1 << 3 | 2, 2 << 3 | 3, 3 << 3 | 1]), np.array([1 << 3 | 3, 3 << 3 | 2])
+    p = [-np.arange(1.0, n + 1) / 8 for n in (5, 4, 2)]
+    b = [-np.arange(1.0, n + 1) / 16 for n in (5, 4, 2)]
+    trie = language_model.Trie(3, [(one, p[0], b[0]), (two, p[1], b[1]), (three, p[2], b[2])])
+    cases = [((1, 2, 3), p[2][0]), ((3, 1, 2), p[2][1]), ((4, 2, 3), p[1][2]), ((1, 2, 4), b[1][1] + b[0][2] + p[0][4]), ((4, 4, 4), b[0][4] + p[0][4]), ((2, 3, 1), b[1][2] + p[1][3])]
+    got = trie.log10(*(np.array(x) for x in zip(*(c for c, _ in cases), strict=True)))
+    assert np.allclose(got, [x for _, x in cases], atol=3e-4)
 
 
 def plain_base(t):
