@@ -89,11 +89,13 @@ class EliasFano:
 
     def __init__(self, low: np.ndarray, high: np.ndarray, before: np.ndarray, low_bits: int, n: int):
         self.low, self.high, self.before, self.bits, self.n = low, high, before, low_bits, n
+        self.zeros = np.arange(len(high), dtype=np.uint64) * tx.U(64) - before
 
-    def _select(self, i: np.ndarray) -> np.ndarray:
-        """Places of the ones number i: the word by its count, then halves of the word."""
-        at = np.searchsorted(self.before, i.astype(np.uint64), side="right") - 1
-        word, left = self.high[at], i - self.before[at].astype(np.int64)
+    def _select(self, i: np.ndarray, one: bool = True) -> np.ndarray:
+        """Places of the ones (or zeros) number i: the word by its count, then halves of the word."""
+        before = self.before if one else self.zeros
+        at = np.searchsorted(before, i.astype(np.uint64), side="right") - 1
+        word, left = self.high[at] if one else ~self.high[at], i - before[at].astype(np.int64)
         at <<= 6
         for half in (32, 16, 8, 4, 2, 1):
             ones = np.bitwise_count(word & tx.U((1 << half) - 1)).astype(np.int64)
@@ -106,9 +108,20 @@ class EliasFano:
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i) - i) << self.bits) | unpack(self.low, i, self.bits)
 
+    def _from_high(self, high: np.ndarray) -> np.ndarray:
+        """The first places whose high bits are at least these."""
+        out = np.zeros(len(high), np.int64)
+        some = np.flatnonzero(high > 0)
+        out[some] = self._select(high[some] - 1, one=False) - high[some] + 1
+        return out
+
     def successor(self, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """For each range [lo, hi) the first place whose value is at least x."""
+        """For each range [lo, hi) the first place whose value is at least x (under the bound): by its high bits, then by halves."""
         lo, hi = lo.copy(), hi.copy()
+        wide = np.flatnonzero(hi - lo > 3)
+        high = x[wide] >> self.bits
+        lo[wide] = np.minimum(np.maximum(lo[wide], self._from_high(high)), hi[wide])
+        hi[wide] = np.maximum(np.minimum(hi[wide], self._from_high(high + 1)), lo[wide])
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
@@ -129,7 +142,7 @@ class Trie:
         return np.round(np.clip(log10p, cls.LOW, 0) / cls.LOW * 65535).astype(np.uint16)
 
     def __init__(self, bits: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """levels: for each order its sorted keys, their log10 probabilities and back-off weights."""
+        """levels: for each order its sorted keys, their log10 probabilities and back-off weights. The first has all symbols, so places there are symbols."""
         self.bits = bits
         parts, shapes, above = [], [], 1
         for keys, logp, backoff in levels:
@@ -168,24 +181,23 @@ class Trie:
             out[have[ok]] = at[ok]
         return out
 
-    def log10(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 probability of w after u, v: of the longest n-gram there is, with the back-off weights of the contexts left."""
-        root = np.zeros(len(w), np.int64)
-        one, last = self.find(0, root, v), self.find(0, root, w)
-        context, two = self.find(1, self.find(0, root, u), v), self.find(1, one, w)
-        three = self.find(2, context, w)
+    def score(self, context: np.ndarray, v: np.ndarray, two: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 probability of w after v: of the longest n-gram there is, with the back-off weights of the contexts left.
+
+        context: places of the bigrams that end in v; two: those of v, w.
+        """
         (_, _, p1, b1, _), (_, _, p2, b2, _), (_, _, p3, _, _) = self.levels
+        three = self.find(2, context, w)
         out = np.empty(len(w))
-        hit = three >= 0
-        out[hit] = self._value(p3[three[hit]])
-        for chosen, p, at in ((~hit & (two >= 0), p2, two), (~hit & (two < 0), p1, last)):
+        for chosen, p, at in ((three >= 0, p3, three), ((three < 0) & (two >= 0), p2, two), ((three < 0) & (two < 0), p1, w)):
             out[chosen] = self._value(p[at[chosen]])
-        weigh = ~hit & (context >= 0)
-        out[weigh] += self._value(b2[context[weigh]])
-        weigh = ~hit & (two < 0)
-        out[weigh] += self._value(b1[one[weigh]])
+        for chosen, b, at in (((three < 0) & (context >= 0), b2, context), ((three < 0) & (two < 0), b1, v)):
+            out[chosen] += self._value(b[at[chosen]])
         return out
 
+    def log10(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return self.score(self.find(1, u, v), v, self.find(1, v, w), w)
+
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes with an end after each text, and their document numbers."""
@@ -213,24 +225,28 @@ def gram_hash(*words: np.ndarray) -> np.ndarray:
 
 
 def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k, inverse = np.unique(keys, return_inverse=True)
-    return k, np.bincount(inverse, weight, len(k)).astype(np.int64)
+    """Sorted distinct keys and the sums of their weights."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[at], np.add.reduceat(weight[order], at) if len(at) else np.empty(0, np.int64)
 
 
 def _own(token: np.ndarray, doc: np.ndarray, train: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes (without the last ``drop`` bits) of words, bigrams and trigrams, and their counts in training texts."""
     u, v = _before(token, doc, 2), _before(token, doc, 1)
-    return _counted(np.concatenate([token, gram_hash(v, token), gram_hash(u, v, token)]) >> tx.U(drop), np.tile(train.astype(float), 3))
+    return _counted(np.concatenate([token, gram_hash(v, token), gram_hash(u, v, token)]) >> tx.U(drop), np.tile(train.astype(np.int64), 3))
 
 
 def _slim(x: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs, that number first."""
-    width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w - (w == 8))
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    """Counts as their running sums, in Elias-Fano code; the last of these first."""
+    total = np.cumsum(x)
+    return np.append(total[-1:], 0)[:1].astype(np.int64).tobytes() + _run(total, int(x.sum()) + 1)
 
 
-def _counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+def _counts(data: bytes, n: int) -> np.ndarray:
+    total = int(np.frombuffer(data[:8], np.int64)[0])
+    return np.diff(_from_run(data[8:], n, total + 1), prepend=0)
 
 
 def _run(keys: np.ndarray, bound: int) -> bytes:
@@ -254,7 +270,7 @@ def _answered(bound: int):
         n = t.column("n").to_pylist()
         cut = np.concatenate([[0], np.cumsum(n)]).tolist()
         k = np.concatenate([_from_run(x, m, bound) for x, m in zip(t.column("keys").to_pylist(), n, strict=True)])
-        c = np.concatenate([_counts(x) for x in t.column("c").to_pylist()])
+        c = np.concatenate([_counts(x, m) for x, m in zip(t.column("c").to_pylist(), n, strict=True)])
         order = np.argsort(k)
         new = np.concatenate([[True], k[order][1:] != k[order][:-1]])
         start = np.flatnonzero(new)
@@ -295,7 +311,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             every += len(token)
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             token = token[train[doc]]
-            parts.append(_counted(token, np.ones(len(token))))
+            parts.append(_counted(token, np.ones(len(token), np.int64)))
             size += len(parts[-1][0])
             if size > 2_000_000:
                 parts = [_merge(parts)]
@@ -346,20 +362,27 @@ def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, stren
     """texts: the number of training texts; drop: bits left out of hashes."""
     if not t.num_rows:
         return pa.table({n: pa.array([], kind) for n, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-    token, doc, train = [], [], []
+    token, doc, own = [], [], []
     n = 0
     for batch, buf, off in tx.chunks(t.to_batches()):
         of_chunk, row = tokens(buf, off)
+        train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        own.append(_own(of_chunk, row, train[row], drop))
         token.append(of_chunk)
         doc.append(row + n)
-        train.append(~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
         n += batch.num_rows
-    token, doc, train = np.concatenate(token), np.concatenate(doc), np.concatenate(train)
-    key, c = _own(token, doc, train[doc], drop)  # in order, as the ranges of hashes are
+    token, doc = np.concatenate(token), np.concatenate(doc)
+    key, c = _merge(own)  # in order, as the ranges of hashes are
+    del own
     a = a.sort_by("part")
     shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(a.column("shared").to_pylist(), a.column("n").to_pylist(), strict=True)])
-    c[shared.astype(bool)] = np.concatenate([_counts(x) for x in a.column("c").to_pylist()])
-    count = lambda h: c[np.searchsorted(key, h >> tx.U(drop))]
+    c[shared.astype(bool)] = np.concatenate([_counts(x, np.unpackbits(np.frombuffer(y, np.uint8), count=k).sum()) for x, y, k in zip(a.column("c").to_pylist(), a.column("shared").to_pylist(), a.column("n").to_pylist(), strict=True)])
+
+    def count(h: np.ndarray) -> np.ndarray:
+        order = np.argsort(h)  # in order they read the keys in order
+        out = np.empty(len(h), np.int64)
+        out[order] = c[np.searchsorted(key, h[order] >> tx.U(drop))]
+        return out
 
     # Symbols 1.. are the block's words; a level's place 0 is that of texts' starts.
     word, symbol = np.unique(token, return_inverse=True)
@@ -379,8 +402,8 @@ def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, stren
     keys3, at, each = np.unique(above << bits | symbol, return_index=True, return_inverse=True)
     n3 = count(gram_hash(_before(token, doc, 2)[at], _before(token, doc, 1)[at], token[at]))
     p3 = (n3 + strength * p2[pair[at]]) / (c2[keys3 >> bits] + strength)
-    columns = _before(symbol, doc, 2)[at], v[at], symbol[at]
-    del v, pair, above, at
+    columns = above[at], pair[at], v[at], symbol[at]
+    del key, v, pair, above, at
 
     # The model has what training has seen.
     seen2 = c2 > 0
@@ -390,7 +413,13 @@ def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, stren
     keys3 = place2[keys3[seen3] >> bits] << bits | keys3[seen3] & ((1 << bits) - 1)
     weight = lambda n: np.log10(strength / (n + strength))
     trie = Trie(bits, [(np.arange(len(word) + 1), np.log10(p1), weight(c1)), (keys2[seen2], np.log10(p2[seen2]), weight(c2[seen2])), (keys3, np.log10(p3[seen3]), np.zeros(len(keys3)))])
-    p = np.concatenate([trie.log10(*(x[i : i + (1 << 18)] for x in columns)) for i in range(0, len(n3), 1 << 18)])
+    places = trie.find(1, keys2 >> bits, keys2 & ((1 << bits) - 1))
+
+    def looked_up(at: slice) -> np.ndarray:
+        context, two, before, last = (x[at] for x in columns)
+        return trie.score(places[context], before, places[two], last)
+
+    p = np.concatenate([looked_up(slice(i, i + (1 << 18))) for i in range(0, len(n3), 1 << 18)])
     sums = lambda x: np.bincount(doc, x, n)
     known = sums((word_c > 0)[symbol - 1]).astype(np.int64)
     return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(np.bincount(doc, minlength=n)), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(sums(base[symbol - 1])), "score": pa.array(sums(p[each]))})
