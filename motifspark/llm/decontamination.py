@@ -8,7 +8,7 @@ Item-sized windows of a document are embedded by CGK random walks: a step reads
 symbol, and stays on it or moves on by a random bit of (step, symbol), so strings at
 a small edit distance meet again and end at a small Hamming distance. Each repetition
 has a walk of its own and samples ``bits`` of its places; the samples of all items,
-keyed by size and repetition, are the LSH index, and every item that a window's key
+keyed by size class and repetition, are the LSH index, and every item that a window's key
 finds is a candidate. The number of repetitions follows from the target recall: it
 is measured on seeded edits, at the full number allowed, of the items themselves.
 Candidates are verified by an exact edit distance to any stretch around the window.
@@ -64,8 +64,16 @@ def run_length(n_words: int, edits: int) -> int:
     return next((q for q in (3, 2) if n_words - q + 1 > q * edits), 1)
 
 
+def size_class(size: int) -> int:
+    """The least size of those, alike within a quarter, that walk together."""
+    least = 1
+    while (above := max(least + 1, least * 5 // 4)) <= size:
+        least = above
+    return least
+
+
 class Walks:
-    """CGK walks for strings of one size: random bits for each repetition, and the places that it samples."""
+    """CGK walks for strings of at least one size: random bits for each repetition, and the places that it samples."""
 
     def __init__(self, size: int, repeats: int, bits: int, seed: int):
         rng = np.random.default_rng([seed, size])
@@ -124,7 +132,7 @@ def repetitions(words: list[np.ndarray], edits: list[int], recall: float, bits:
         other = edited(rng, words[i], edits[i])[:n]
         rows = np.zeros((2, n), np.uint64)
         rows[0], rows[1, : len(other)] = words[i], other
-        walks = Walks(n, 16, bits, seed + 1)
+        walks = Walks(size_class(n), 16, bits, seed + 1)
         same = np.mean([x[0] == x[1] for _, x in walks.places(rows, np.array([n, len(other)]))], axis=0)
         missed.append(1 - np.mean(same**bits))
     r = 1
@@ -175,9 +183,13 @@ class Items:
         self.seed, self.bits = seed, bits
         self.repeats = repetitions(self.words, self.edits.tolist(), recall, bits, seed)
         self.index: dict = {}
-        for size in np.unique(self.sizes[self.sizes > 0]).tolist():
-            mine = np.flatnonzero(self.sizes == size)
-            keys = self._keys(size, np.stack([self.words[i] for i in mine]), np.full(len(mine), size))
+        self.classes = np.array([size_class(n) for n in self.sizes.tolist()], np.int64)
+        for size in np.unique(self.classes[self.sizes > 0]).tolist():
+            mine = np.flatnonzero((self.classes == size) & (self.sizes > 0))
+            rows = np.zeros((len(mine), int(self.sizes[mine].max())), np.uint64)
+            for row, i in zip(rows, mine.tolist(), strict=True):
+                row[: self.sizes[i]] = self.words[i]
+            keys = self._keys(size, rows, self.sizes[mine])
             order = np.argsort(keys.ravel(), kind="stable")
             self.index[size] = keys.ravel()[order], mine[order // self.repeats]
 
@@ -189,7 +201,7 @@ class Items:
         return tx.mix(samples + np.arange(self.repeats, dtype=np.uint64) * tx.U(0x9E3779B97F4A7C15))
 
     def _windows(self, word: np.ndarray, doc: np.ndarray, n_docs: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Sizes, documents and first words (some before the document) of the windows worth embedding."""
+        """Size classes, and sizes, documents and first words (some before the document) of the windows worth embedding."""
         found = []
         for q, gram, gram_item, gram_at in self.grams:
             at, grams = tx.ngrams(word, doc, q)
@@ -205,22 +217,23 @@ class Items:
             order = np.argsort(key)
             item, owner, place, key, edits = item[order], owner[order], place[order], key[order], edits[order]
             enough = np.searchsorted(key, key + edits, side="right") - np.searchsorted(key, key - edits) >= self.need[item]
-            found.append(np.stack([self.sizes[item], owner, place])[:, enough])
-        sizes, owner, place = np.unique(np.hstack(found), axis=1) if found else np.empty((3, 0), np.int64)
-        for size in np.unique(sizes).tolist():
-            yield size, owner[sizes == size], place[sizes == size]
+            found.append(np.stack([self.classes[item], self.sizes[item], owner, place])[:, enough])
+        classes, sizes, owner, place = np.unique(np.hstack(found), axis=1) if found else np.empty((4, 0), np.int64)
+        for size in np.unique(classes).tolist():
+            mine = classes == size
+            yield size, sizes[mine], owner[mine], place[mine]
 
     def hits(self, word: np.ndarray, doc: np.ndarray, n_docs: int) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, distance, start word, end word) of the best stretch of each pair."""
         bounds = tx.word_bounds(doc, n_docs)
         best: dict = {}
-        for size, owner, place in self._windows(word, doc, n_docs):
+        for size, sizes, owner, place in self._windows(word, doc, n_docs):
             index, index_item = self.index[size]
-            part = max(1, (1 << 21) // size)
+            part = max(1, (1 << 21) // int(sizes.max()))
             for o in range(0, len(place), part):
-                d, p = owner[o : o + part], place[o : o + part]
-                a, b = np.maximum(p, bounds[d]), np.minimum(p + size, bounds[d + 1])
-                rows = word[np.minimum(a[:, None] + np.arange(size), len(word) - 1)]
+                d, p, n = owner[o : o + part], place[o : o + part], sizes[o : o + part]
+                a, b = np.maximum(p, bounds[d]), np.minimum(p + n, bounds[d + 1])
+                rows = word[np.minimum(a[:, None] + np.arange(int(n.max())), len(word) - 1)]
                 keys = self._keys(size, rows, b - a).ravel()
                 low, high = np.searchsorted(index, keys), np.searchsorted(index, keys, side="right")
                 many = high - low
@@ -255,7 +268,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int, opti
         yield Items([r[0] for r in held], [r[1] for r in held], **options)
 
 
-DEFAULTS = {"rate": 0.2, "recall": 0.98, "bits": 2, "seed": 11}
+DEFAULTS = {"rate": 0.2, "recall": 0.995, "bits": 4, "seed": 11}
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20, **options) -> DataFrame:
