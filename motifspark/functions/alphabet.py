@@ -1,7 +1,7 @@
 """Bases, rotations and strands as Column expressions.
 
-Bases T, G, C, A are the digits 0 to 3, whatever their case; other characters stay
-as they are and break windows. Motifs of one length compare as strings of digits.
+Bases T, G, C, A are the digits 0 to 3, whatever their case; other characters break
+windows, digits in a read as well. Motifs of one length compare as strings of digits.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ BASES, DIGITS, COMPLEMENT = "TGCA", "0123", "3210"
 
 
 def encode(seq: Column) -> Column:
-    return F.translate(F.upper(seq), BASES, DIGITS)
+    return F.translate(F.upper(seq), BASES + DIGITS, DIGITS + "xxxx")
 
 
 def decode(motif: Column) -> Column:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions import alphabet as al
-from ..operators import scan, strand
+from ..operators import kernel, scan, strand
 from ..sources import fastq
 from ..sources import reads as rd
+from . import scan_sql
 
 CFG = ScanConfig()
-_ENC = "translate(upper(seq), 'TGCA', '0123')"
+_ENC = scan_sql.ENC
 _READS = f"with reads as ({rd.SHORT_SQL}) "
 _LONG = f"with reads as ({rd.LONG_SQL}) "
 
@@ -83,32 +84,26 @@ def _k_ranges(spark, sf_dir):
 _K_SQL = _READS + f"select read_id, unnest(range({CFG.min_mer}, least(length(seq) // 4, {CFG.max_mer}) + 1))::int as k from reads"
 
 
-def _windows(spark, sf_dir, k=6):
-    """Valid windows of one length over all reads, as digits."""
-    r = rd.short_reads(spark, sf_dir).select("read_id", al.encode(F.col("seq")).alias("enc")).where(F.length("enc") >= k)
-    r = r.select("read_id", "enc", F.explode(F.sequence(F.lit(1), F.length("enc") - k + 1)).alias("pos"))
-    return r.select("read_id", "pos", F.substr("enc", F.col("pos"), F.lit(k)).alias("kmer")).where(~F.col("kmer").rlike("[^0-3]"))
+def _windows(spark, sf_dir):
+    """read_id, k and the array of valid windows, as digits, of every period."""
+    runs = F.filter(F.split(al.encode(F.col("seq")), "[^0-3]+"), lambda run: F.length(run) > 0)
+    r = rd.short_reads(spark, sf_dir).select("read_id", runs.alias("runs"), F.explode(F.sequence(F.lit(CFG.min_mer), F.lit(CFG.max_mer))).alias("k"))
+    of_run = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - F.col("k") + 1), lambda i: F.substr(run, i, F.col("k")))
+    long_enough = F.filter("runs", lambda run: F.length(run) >= F.col("k"))
+    return r.select("read_id", "k", F.flatten(F.transform(long_enough, of_run)).alias("windows")).where(F.size("windows") > 0)
 
 
-_WINDOWS_SQL = _READS + f""", w as (select read_id, pos::int as pos, substr(enc, pos, 6) as kmer from (select read_id, enc, unnest(range(1, length(enc) - 4)) as pos from (select read_id, {_ENC} as enc from reads)))
-, v as (select * from w where not regexp_matches(kmer, '[^0-3]'))
-, m as (select kmer, list_min(list_transform(range(0, 6), lambda i: substr(kmer || kmer, i + 1, 6))) as canon from (select distinct kmer from v))
-, f as (select kmer, list_min(list_transform(range(0, 6), lambda i: substr(flip || flip, i + 1, 6))) as other from (select kmer, reverse(translate(kmer, '0123', '3210')) as flip from (select distinct canon as kmer from m))) """
+def _joined(words):
+    return F.md5(F.array_join(words, ","))
 
 
-def _distinct_canonical(spark, sf_dir):
-    # first() keeps filters on the motif above the aggregation, so they see each motif once.
-    canon = _windows(spark, sf_dir).select("kmer").distinct().select(al.canonical(F.col("kmer")).alias("key"))
-    return canon.groupBy("key").agg(F.first("key").alias("kmer")).select("kmer")
+def _modes(spark, sf_dir):
+    return kernel.modes(rd.short_reads(spark, sf_dir), "seq", CFG).select("read_id", F.inline("modes"))
 
 
-def _segment_mode(spark, sf_dir):
-    """Each read's commonest canonical 6-mer; of equals the one that reached the maximum first."""
-    c = _windows(spark, sf_dir).groupBy("read_id", al.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("cnt"), F.max("pos").alias("last"))
-    return c.groupBy("read_id").agg(F.sum("cnt").alias("total"), F.max("cnt").alias("most"), F.min_by("kmer", F.struct(-F.col("cnt"), "last")).alias("kmer"))
-
-
-_COUNTS_SQL = _WINDOWS_SQL + ", c as (select read_id, canon as kmer, count(*) as cnt, max(pos) as last from v join m using (kmer) group by 1, 2) "
+def _motifs(spark, sf_dir):
+    """The distinct motifs of the scan."""
+    return _fold("short")(spark, sf_dir).select("kmer").distinct()
 
 
 def _window_totals(spark, sf_dir):
@@ -133,9 +128,9 @@ def _folded(spark, sf_dir):
 
 
 def _by_file(spark, sf_dir):
-    """The short and the long scan as two files."""
-    files = [_fold(kind)(spark, sf_dir).withColumn("file", F.lit(kind)) for kind in ("short", "long")]
-    return strand.strand_fold(files[0].unionByName(files[1]), CFG, ("file",))
+    """The reads of even and of odd number as two files, scanned in one pass."""
+    reads = rd.short_reads(spark, sf_dir).withColumn("file", F.expr(scan_sql.FILE_OF))
+    return strand.strand_fold(scan.scan_short(reads, CFG, by=("file",)), CFG, ("file",))
 
 
 def _merged(spark, sf_dir):
@@ -153,19 +148,15 @@ def _fastq_scan(spark, sf_dir):
     return fastq.short_reads(spark, path).groupBy("seq").agg(F.count("*").alias("reads"))
 
 
-def _run_length(last: bool):
-    def query(spark, sf_dir):
-        w = Window.partitionBy("read_id", "level").orderBy(F.desc("slice") if last else F.col("slice"))
-        rows = _slices(spark, sf_dir).withColumn("same", (F.col("k") == F.first("k").over(w)) & (F.col("k") > 0))
-        rows = rows.withColumn("broken", F.max((~F.col("same")).cast("int")).over(w))
-        return rows.groupBy("read_id", "level").agg(F.sum(1 - F.col("broken")).cast("long").alias("run"))
-
-    return query
+def _run_length(column: str):
+    return lambda spark, sf_dir: scan.slice_runs(rd.long_reads(spark, sf_dir), CFG, ("read_id",)).select("read_id", "level", F.col(column).cast("long").alias("run"))
 
 
 def _half_targets(spark, sf_dir):
-    halves = _split_halves(spark, sf_dir).withColumnRenamed("part", "seg_text").withColumnRenamed("seg", "side")
-    return scan.segment_targets(halves.withColumnRenamed("seg_text", "seg"), ["read_id", "side"], CFG)
+    n = rd.short_reads(spark, sf_dir).selectExpr("read_id", "seq", "length(seq) as n").where(f"n >= {4 * CFG.min_mer}")
+    left, right = scan.halves(F.col("seq"))
+    halves = n.select("read_id", F.least(F.floor(F.col("n") / 4), F.lit(CFG.max_mer)).alias("hi"), F.inline(F.array(F.struct(F.lit("L").alias("side"), left.alias("seg")), F.struct(F.lit("R").alias("side"), right.alias("seg")))))
+    return scan.segment_targets(halves, ["read_id", "side"], CFG, hi=F.col("hi"))
 
 
 QUERIES = {name: q for name, (q, _) in _PROJECTIONS.items()} | {
@@ -175,22 +166,22 @@ QUERIES = {name: q for name, (q, _) in _PROJECTIONS.items()} | {
     "split_pair": _split_pair,
     "slice_long": _slice_long,
     "k_ranges": _k_ranges,
-    "kmer_windows": _windows,
-    "valid_windows": lambda s, d: _windows(s, d).groupBy("read_id").agg(F.count("*").alias("windows")),
+    "kmer_windows": lambda s, d: _windows(s, d).select("read_id", "k", F.size("windows").cast("long").alias("windows"), _joined("windows").alias("digest")),
+    "valid_windows": lambda s, d: _windows(s, d).groupBy("read_id").agg(F.sum(F.size("windows")).cast("long").alias("windows")),
     "window_totals": _window_totals,
-    "canonical_rotation": lambda s, d: _windows(s, d).select("kmer").distinct().select("kmer", al.canonical(F.col("kmer")).alias("canon")),
-    "strand_canonical": lambda s, d: _distinct_canonical(s, d).select("kmer", al.strand_canonical(F.col("kmer")).alias("strand")),
-    "palindromes": lambda s, d: _distinct_canonical(s, d).where(al.is_palindrome(F.col("kmer"))),
-    "distinct_bases": lambda s, d: _distinct_canonical(s, d).select("kmer", al.distinct_bases(F.col("kmer")).alias("bases")),
-    "homopolymer_filter": lambda s, d: _distinct_canonical(s, d).where(~al.is_homopolymer(F.col("kmer"))),
-    "short_period_filter": lambda s, d: _distinct_canonical(s, d).where(~al.has_short_period(F.col("kmer"), CFG.min_mer)),
-    "kmer_counts": lambda s, d: _windows(s, d).groupBy("read_id", al.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("cnt")),
-    "segment_mode": _segment_mode,
+    "canonical_rotation": lambda s, d: _motifs(s, d).select(al.reverse_complement(F.col("kmer")).alias("kmer")).select("kmer", al.canonical(F.col("kmer")).alias("canon")),
+    "strand_canonical": lambda s, d: _motifs(s, d).select("kmer", al.strand_canonical(F.col("kmer")).alias("strand")),
+    "palindromes": lambda s, d: _motifs(s, d).where(al.is_palindrome(F.col("kmer"))),
+    "distinct_bases": lambda s, d: _motifs(s, d).select("kmer", al.distinct_bases(F.col("kmer")).alias("bases")),
+    "homopolymer_filter": lambda s, d: _motifs(s, d).where(~al.is_homopolymer(F.col("kmer"))),
+    "short_period_filter": lambda s, d: _motifs(s, d).where(~al.has_short_period(F.col("kmer"), CFG.min_mer)),
+    "kmer_counts": lambda s, d: _modes(s, d).select("read_id", "k", "motifs", "squares"),
+    "segment_mode": lambda s, d: _modes(s, d).select("read_id", "k", "total", "most", "kmer"),
     "target_k": _half_targets,
-    "read_target": lambda s, d: scan.scan(rd.short_reads(s, d), ["seq"], scan.whole_read, CFG),
+    "read_target": lambda s, d: scan.scan_targets(rd.short_reads(s, d), CFG),
     "segment_check": _slices,
-    "prefix_run": _run_length(False),
-    "suffix_run": _run_length(True),
+    "prefix_run": _run_length("leading"),
+    "suffix_run": _run_length("trailing"),
     "short_scan": _fold("short"),
     "paired_scan": _fold("paired"),
     "long_scan": _fold("long"),
@@ -209,15 +200,24 @@ ORACLE_SQL = {name: sql for name, (_, sql) in _PROJECTIONS.items()} | {
     "split_pair": _SPLIT_PAIR_SQL,
     "slice_long": _SLICE_SQL,
     "k_ranges": _K_SQL,
-    "kmer_windows": _WINDOWS_SQL + "select read_id, pos, kmer from v",
-    "valid_windows": _WINDOWS_SQL + "select read_id, count(*) as windows from v group by 1",
+    "kmer_windows": scan_sql.WINDOWS + " select read_id, k, count(*) as windows, md5(string_agg(kmer, ',' order by pos)) as digest from windows group by all",
+    "valid_windows": scan_sql.WINDOWS + " select read_id, count(*) as windows from windows group by all",
     "window_totals": _TOTALS_SQL,
-    "canonical_rotation": _WINDOWS_SQL + "select kmer, canon from m",
-    "strand_canonical": _WINDOWS_SQL + "select kmer, least(kmer, other) as strand from f",
-    "palindromes": _WINDOWS_SQL + "select kmer from f where kmer = other",
-    "distinct_bases": _WINDOWS_SQL + "select kmer, " + " + ".join(f"contains(kmer, '{d}')::int" for d in "0123") + " as bases from f",
-    "homopolymer_filter": _WINDOWS_SQL + "select kmer from f where kmer <> repeat(kmer[1], 6)",
-    "short_period_filter": _WINDOWS_SQL + "select kmer from f where kmer[1:3] <> kmer[4:6] and kmer[1:2] <> kmer[5:6]",
-    "kmer_counts": _COUNTS_SQL + "select read_id, kmer, cnt from c",
-    "segment_mode": _COUNTS_SQL + "select read_id, sum(cnt)::bigint as total, max(cnt) as most, arg_min(kmer, {'a': -cnt, 'b': last}) as kmer from c group by 1",
+    "canonical_rotation": scan_sql.MOTIFS + f" select kmer, {scan_sql.canonical('kmer')} as canon from (select reverse(translate(kmer, '0123', '3210')) as kmer from motifs)",
+    "strand_canonical": scan_sql.MOTIFS + f" select kmer, least(kmer, {scan_sql.flipped('kmer')}) as strand from motifs",
+    "palindromes": scan_sql.MOTIFS + f" select kmer from motifs where kmer = {scan_sql.flipped('kmer')}",
+    "distinct_bases": scan_sql.MOTIFS + " select kmer, " + " + ".join(f"contains(kmer, '{d}')::int" for d in "0123") + " as bases from motifs",
+    "homopolymer_filter": scan_sql.MOTIFS + " select kmer from motifs where kmer <> repeat(kmer[1], k)",
+    "short_period_filter": scan_sql.MOTIFS + f" select kmer from motifs where not {scan_sql.short_period('kmer')}",
+    "kmer_counts": f"select read_id, k, motifs, squares from ({scan_sql.MODES})",
+    "segment_mode": f"select read_id, k, total, most, kmer from ({scan_sql.MODES})",
+    "target_k": scan_sql.TARGET_K,
+    "read_target": scan_sql.TARGETS + " select * from scanned",
+    "short_scan": scan_sql.SCAN + " select * from scanned",
+    "strand_fold": scan_sql.FOLD + " select * from folded",
+    "merge_files": scan_sql.FILES + " select * from merged",
+    "motif_report": scan_sql.REPORT,
+    "vote_scores": scan_sql.VOTES + " select * from scores",
+    "direction_call": scan_sql.CALLS + " select k, kmer, score, direction from calls",
+    "putative_trm": scan_sql.PUTATIVE,
 }

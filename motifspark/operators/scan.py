@@ -1,302 +1,239 @@
-"""Motif scans: target period of a segment, and routing of its counts by direction.
+"""Motif scans: reads to segments, segments to periods, periods to counts by direction.
 
-Segments are handled in Arrow batches; each batch sends sums by (level, direction,
-k, motif), so the shuffle carries distinct motifs and not windows.
+Reads are cut into segments, and results routed to forward, backward or both, by Column
+expressions on arrays that stay in the read's row; only the counting of windows is a
+numpy kernel (``kernel``). The one shuffle is that of motif sums: rows combine by
+(level, direction, motif) on the map side, so it carries distinct motifs and not windows.
+Strands are folded afterwards, on distinct motifs.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ScanConfig
+from ..config import LEVELS, ScanConfig
+from ..functions import alphabet as al
+from .kernel import checked
 
-LEVELS = ("high", "low")
-_CODE = {**dict(zip("TGCA", "0123", strict=True)), **dict(zip("tgca", "0123", strict=True))}
-_TABLE = str.maketrans(_CODE)
-_FLIP = str.maketrans("0123", "3210")
+_COUNTS = "array<struct<kmer:string,cnt:bigint>>"
+_ITEM = f"struct<level:string,direction:string,fold:boolean,counts:{_COUNTS}>"
 
 
-class Found(NamedTuple):
-    """The period that a level selects in a segment (0: none), its leading motif and all its counts."""
+def segment(text: Column, lo: Column | int, hi: Column | int) -> Column:
+    as_int = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("int")
+    return F.struct(text.alias("seg"), as_int(lo).alias("lo"), as_int(hi).alias("hi"))
 
-    k: int
-    motif: str
-    counts: Counter
 
+def _when(cond: Column, seg: Column) -> Column:
+    """The segment where it is wanted, else one that tries no period."""
+    return F.when(cond, seg).otherwise(segment(F.lit(""), 1, 0))
 
-NONE = Found(0, "", Counter())
 
+def halves(seq: Column) -> tuple[Column, Column]:
+    half = F.floor(F.length(seq) / 2).cast("int")
+    return F.substr(seq, F.lit(1), half), F.substr(seq, half + 1)
 
-def encode(seq: str) -> str:
-    """Digits for bases, other characters as x."""
-    out = seq.translate(_TABLE)
-    return out if not out.strip("0123") else "".join(c if c in "0123" else "x" for c in out)
 
+def inner_range(n: Column, cfg: ScanConfig) -> tuple[Column, Column]:
+    """The periods tried in half reads."""
+    return F.lit(cfg.min_mer), F.least(F.floor(n / 4).cast("int"), F.lit(cfg.max_mer))
 
-def canon(w: str) -> str:
-    return min((w + w)[i : i + len(w)] for i in range(len(w)))
 
+def whole_range(n: Column, cfg: ScanConfig) -> tuple[Column, Column]:
+    """The periods tried in whole reads."""
+    return F.greatest(F.floor(n / 4).cast("int") + 1, F.lit(cfg.min_mer)), F.least(F.floor(n / 2).cast("int"), F.lit(cfg.max_mer))
 
-def other_strand(w: str) -> str:
-    return canon(w[::-1].translate(_FLIP))
 
+def slices(seq: Column, length: int) -> Column:
+    """An array of the slices of one length; the middle one takes what is left over."""
+    n, over = F.floor(F.length(seq) / length).cast("int"), F.length(seq) % length
+    mid = F.floor((n + 1) / 2).cast("int")
+    start = lambda i: (i - 1) * length + F.when(i > mid, over).otherwise(0) + 1
+    size = lambda i: F.lit(length) + F.when(i == mid, over).otherwise(0)
+    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(seq, start(i), size(i)))
+    return F.when(n > 0, each).otherwise(F.array().cast("array<string>"))
 
-def _codes(s: str) -> tuple[np.ndarray, np.ndarray]:
-    b = np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
-    weight = np.array([1, 1 << 16, 1 << 32, 1 << 48], np.int64)
-    bad = b == 120
-    one = np.where(bad, 0, weight[(b - 48) & 3])
-    return np.concatenate([[0], np.cumsum(one)]), np.concatenate([[0], np.cumsum(bad)])
 
+def other_strand(motif: Column) -> Column:
+    return al.canonical(al.reverse_complement(motif))
 
-def window_counts(s: str, k: int, least: float, sums: tuple[np.ndarray, np.ndarray]) -> tuple[Counter, str, int] | None:
-    """Canonical counts of the valid k-windows, the motif that reaches the maximum first, and the total; None if no motif can have the share ``least``.
 
-    Windows of one canonical motif have one composition, so the commonest composition bounds every motif.
+def _item(level: str, cond: Column, direction: Column | str, fold: Column | bool, counts: Column) -> Column:
+    """Counts for a direction where cond holds, else null. fold: whether both strands count as one."""
+    as_column = lambda c: c if isinstance(c, Column) else F.lit(c)
+    return F.when(cond, F.struct(F.lit(level).alias("level"), as_column(direction).alias("direction"), as_column(fold).alias("fold"), counts.alias("counts"))).cast(_ITEM)
+
+
+def _summed(rows: DataFrame, items: Column, by: tuple[str, ...]) -> DataFrame:
+    """by, level, direction, k, kmer, cnt of all items."""
+    each = rows.select(*by, F.explode(F.filter(items, lambda x: x.isNotNull())).alias("i")).select(*by, "i.level", "i.direction", "i.fold", F.explode("i.counts").alias("c"))
+    sums = each.groupBy(*by, "level", "direction", "fold", F.col("c.kmer").alias("kmer")).agg(F.sum("c.cnt").alias("cnt"))
+    folded = sums.withColumn("kmer", F.when(F.col("fold"), al.strand_canonical(F.col("kmer"))).otherwise(F.col("kmer")))
+    return folded.groupBy(*by, "level", "direction", F.length("kmer").alias("k"), "kmer").agg(F.sum("cnt").alias("cnt"))
+
+
+def _k(level: str, i: int) -> Column:
+    return F.coalesce(F.get(F.col(level), F.lit(i))["k"], F.lit(0))
+
+
+def _counts(level: str, i: int) -> Column:
+    return F.get(F.col(level), F.lit(i))["counts"]
+
+
+def _halves_checked(reads: DataFrame, by: tuple[str, ...], seq: str, cfg: ScanConfig) -> DataFrame:
+    """by, seq, n and the results of both halves of reads that are long enough for them."""
+    rows = reads.select(*by, F.coalesce(F.col(seq), F.lit("")).alias("seq")).withColumn("n", F.length("seq")).where(F.col("n") >= 2 * cfg.min_mer)
+    lo, hi = inner_range(F.col("n"), cfg)
+    long_enough = F.col("n") >= 4 * cfg.min_mer
+    return checked(rows, F.array(*(_when(long_enough, segment(part, lo, hi)) for part in halves(F.col("seq")))), cfg)
+
+
+def _targets(rows: DataFrame) -> dict[str, Column]:
+    """For each level whether both halves select one period."""
+    return {v: (_k(v, 0) > 0) & (_k(v, 0) == _k(v, 1)) for v in LEVELS}
+
+
+def scan_short(reads: DataFrame, cfg: ScanConfig, seq: str = "seq", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, level, direction, k, kmer, cnt summed over all single-end reads.
+
+    A read whose halves select one period counts for both directions, at that period over
+    the whole read; one whose left half selects any, forward; else backward with what the
+    right half selects. Where neither does, longer periods are tried over the whole read.
     """
-    base, bad = sums
-    if len(s) < k:
-        return None
-    valid = bad[k:] == bad[:-k]
-    composition = (base[k:] - base[:-k])[valid]
-    total = len(composition)
-    if not total:
-        return None
-    composition.sort()
-    edge = np.flatnonzero(np.concatenate([[True], composition[1:] != composition[:-1], [True]]))
-    if np.diff(edge).max() / total < least:
-        return None
-    seen: dict[str, str] = {}
-    counts: Counter = Counter()
-    lead, top = "", 0
-    for i in np.flatnonzero(valid).tolist():
-        w = s[i : i + k]
-        c = seen.get(w)
-        if c is None:
-            c = seen[w] = canon(w)
-        counts[c] += 1
-        if counts[c] > top:
-            lead, top = c, counts[c]
-    return counts, lead, total
-
-
-def check(s: str, lo: int, hi: int, cfg: ScanConfig) -> dict[str, Found]:
-    """For each level the selected period of the segment among lo..hi."""
-    out = dict.fromkeys(LEVELS, NONE)
-    best = dict.fromkeys(LEVELS, 0.0)
-    taken: dict[str, list[int]] = {level: [] for level in LEVELS}
-    sums = _codes(s)
-    for k in range(lo, hi + 1):
-        open_ = [level for level in LEVELS if not any(k % t == 0 for t in taken[level])]
-        if not open_:
-            continue
-        got = window_counts(s, k, min(max(cfg.baselines[level], best[level]) for level in open_), sums)
-        if got is None:
-            continue
-        counts, lead, total = got
-        share = counts[lead] / total
-        for level in open_:
-            if share >= max(cfg.baselines[level], best[level]) and lead != lead[0] * k:
-                out[level], best[level] = Found(k, lead, counts), share
-                taken[level].append(k)
-    return out
-
-
-def strand_counts(counts: Counter) -> Counter:
-    out: Counter = Counter()
-    for w, c in counts.items():
-        out[min(w, other_strand(w))] += c
-    return out
-
-
-def target(s: str, k: int, baseline: float) -> Counter:
-    """Strand-canonical counts at one period if its leading motif is frequent enough."""
-    got = window_counts(s, k, baseline, _codes(s))
-    if got is None:
-        return Counter()
-    counts, lead, total = got
-    return strand_counts(counts) if counts[lead] / total >= baseline and lead != lead[0] * k else Counter()
-
-
-def short_read(s: str, cfg: ScanConfig) -> Iterator[tuple[str, str, Counter]]:
-    """(level, direction, counts) of one single-end read."""
-    n = len(s)
-    if n < 2 * cfg.min_mer:
-        return
-    left = right = dict.fromkeys(LEVELS, NONE)
-    if n >= 4 * cfg.min_mer:
-        hi = min(n // 4, cfg.max_mer)
-        left, right = check(s[: n // 2], cfg.min_mer, hi, cfg), check(s[n // 2 :], cfg.min_mer, hi, cfg)
-        for level in LEVELS:
-            if left[level].k and left[level].k == right[level].k:
-                yield level, "both", target(s, left[level].k, cfg.baselines[level])
-            elif left[level].k:
-                yield level, "forward", left[level].counts
-            else:
-                yield level, "backward", right[level].counts
-    open_ = [level for level in LEVELS if not left[level].k and not right[level].k]
-    if open_ and 4 * cfg.max_mer > n:
-        whole = check(s, max(n // 4 + 1, cfg.min_mer), min(n // 2, cfg.max_mer), cfg)
-        for level in open_:
-            yield level, "both", whole[level].counts
-
-
-def whole_read(s: str, cfg: ScanConfig) -> Iterator[tuple[str, str, Counter]]:
-    """(level, "both", counts) of a read whose halves select one period: its strand-canonical counts at that period."""
-    n = len(s)
-    if n < 4 * cfg.min_mer:
-        return
-    hi = min(n // 4, cfg.max_mer)
-    left, right = check(s[: n // 2], cfg.min_mer, hi, cfg), check(s[n // 2 :], cfg.min_mer, hi, cfg)
-    for level in LEVELS:
-        if left[level].k and left[level].k == right[level].k:
-            yield level, "both", target(s, left[level].k, cfg.baselines[level])
-
-
-def read_pair(s1: str, s2: str, cfg: ScanConfig) -> Iterator[tuple[str, str, Counter]]:
-    """(level, direction, counts) of a pair: four half reads from the outer end of one mate to that of the other."""
-    n = min(len(s1), len(s2))
-    if n < 2 * cfg.min_mer:
-        return
-    first, last = dict.fromkeys(LEVELS, 0), dict.fromkeys(LEVELS, 0)
-    if n >= 4 * cfg.min_mer:
-        hi = min(n // 4, cfg.max_mer)
-        parts = [s1[: len(s1) // 2], s1[len(s1) // 2 :], s2[len(s2) // 2 :], s2[: len(s2) // 2]]
-        got = [check(p, cfg.min_mer, hi, cfg) for p in parts]
-        m, sums = {}, {}
-        for level in LEVELS:
-            t = [g[level] for g in got]
-            m[level] = 0
-            while m[level] < 4 and t[0].k and t[m[level]].k == t[0].k and t[0].motif == (t[m[level]].motif if m[level] < 2 else other_strand(t[m[level]].motif)):
-                m[level] += 1
-            near, far = Counter(), Counter()
-            for i in range(min(4, m[level] + 1)):
-                (near if i < 2 else far).update(t[i].counts)
-            sums[level] = near, far
-        back = any(v < 4 for v in m.values())
-        for level in LEVELS:
-            t, (near, far) = [g[level] for g in got], sums[level]
-            first[level] = t[0].k
-            if m[level] == 4:
-                last[level] = 0 if back else t[0].k
-                yield level, "both", strand_counts(near + far)
-                continue
-            last[level], p = t[3].k, 0
-            while 4 - p > m[level] and t[3].k and t[3 - p].k == t[3].k and t[3].motif == (t[3 - p].motif if 3 - p > 1 else other_strand(t[3 - p].motif)):
-                p += 1
-            for j in range(3, max(2 - p, -1), -1):
-                (near if j > 1 else far).update(t[j].counts)
-            yield level, "forward", near
-            yield level, "backward", far
-    if 4 * cfg.max_mer > n:
-        lo, hi = max(n // 4 + 1, cfg.min_mer), min(n // 2, cfg.max_mer)
-        a = check(s1, lo, hi, cfg) if not all(first.values()) else None
-        b = check(s2, lo, hi, cfg) if not all(last.values()) else None
-        for level in LEVELS:
-            z = Counter()
-            for done, found in ((first, a), (last, b)):
-                if not done[level]:
-                    z.update(found[level].counts)
-            if not first[level] and not last[level] and a[level].k == b[level].k > 0 and a[level].motif == other_strand(b[level].motif):
-                yield level, "both", strand_counts(z)
-            yield level, "forward", z
-
-
-def slices(s: str, length: int) -> list[str]:
-    """Slices of one length; the middle one takes what is left over."""
-    n, over = divmod(len(s), length)
-    mid = (n + 1) // 2
-    out, at = [], 0
-    for i in range(1, n + 1):
-        to = at + length + (over if i == mid else 0)
-        out.append(s[at:to])
-        at = to
-    return out
-
-
-def runs(ks: list[int]) -> int:
-    """How many leading periods equal the first, if that isn't 0."""
-    m = 0
-    while m < len(ks) and ks[0] and ks[m] == ks[0]:
-        m += 1
-    return m
-
-
-def long_read(s: str, cfg: ScanConfig) -> Iterator[tuple[str, str, Counter]]:
-    """(level, direction, counts) of one long read."""
-    got = [check(p, cfg.min_mer, cfg.max_mer, cfg) for p in slices(s, cfg.slice_length)]
-    n = len(got)
-    m = {level: runs([g[level].k for g in got]) for level in LEVELS}
-    for level in LEVELS:
-        x = Counter()
-        for g in got[: min(n, m[level] + 1)]:
-            x.update(g[level].counts)
-        yield (level, "both", strand_counts(x)) if m[level] == n else (level, "forward", x)
-        if any(v < n for v in m.values()):
-            p = runs([g[level].k for g in got[m[level] :]][::-1])
-            y = Counter()
-            for g in got[n - p - 1 :]:
-                y.update(g[level].counts)
-            yield level, "backward", y
-
-
-MOTIF_ROWS = "level string, direction string, k int, kmer string, cnt long"
-
-
-def scan(reads: DataFrame, columns: list[str], route: Callable, cfg: ScanConfig) -> DataFrame:
-    """level, direction, k, kmer, cnt summed over all reads; route takes the encoded columns of a read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str], Counter] = {}
-        for batch in batches:
-            for seqs in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                for level, direction, counts in route(*(encode(x or "") for x in seqs), cfg):
-                    if counts:
-                        sums.setdefault((level, direction), Counter()).update(counts)
-            if sum(map(len, sums.values())) > 500_000:
-                yield from send(sums)
-                sums = {}
-        yield from send(sums)
-
-    def send(sums: dict) -> Iterator[pa.RecordBatch]:
-        for (level, direction), counts in sums.items():
-            kmers = list(counts)
-            n = len(kmers)
-            yield pa.RecordBatch.from_arrays([pa.array([level] * n), pa.array([direction] * n), pa.array(map(len, kmers), pa.int32()), pa.array(kmers, pa.string()), pa.array(counts.values(), pa.int64())], ["level", "direction", "k", "kmer", "cnt"])
-
-    rows = reads.select(*columns).mapInArrow(run, MOTIF_ROWS)
-    return rows.groupBy("level", "direction", "k", "kmer").agg(F.sum("cnt").alias("cnt"))
-
-
-def scan_short(reads: DataFrame, cfg: ScanConfig, seq: str = "seq") -> DataFrame:
-    return scan(reads, [seq], short_read, cfg)
-
-
-def scan_paired(pairs: DataFrame, cfg: ScanConfig) -> DataFrame:
-    return scan(pairs, ["seq1", "seq2"], read_pair, cfg)
-
-
-def scan_long(reads: DataFrame, cfg: ScanConfig, seq: str = "seq") -> DataFrame:
-    return scan(reads.where(F.length(seq) >= cfg.slice_length), [seq], long_read, cfg)
-
-
-def segment_targets(segments: DataFrame, keys: list[str], cfg: ScanConfig) -> DataFrame:
-    """keys, level, k, motif, motif_count for each segment (column seg) and level; k is 0 where none is selected."""
+    first = _halves_checked(reads, by, seq, cfg)
+    target = _targets(first)
+    open_ = {v: (_k(v, 0) == 0) & (_k(v, 1) == 0) & (F.col("n") < 4 * cfg.max_mer) for v in LEVELS}
+    kept = first.select(*by, "seq", "n", *(F.when(target[v], _k(v, 0)).otherwise(0).alias(f"k_{v}") for v in LEVELS), *(open_[v].alias(f"open_{v}") for v in LEVELS), *(F.when(target[v], F.lit(None)).otherwise(_item(v, F.lit(True), F.when(_k(v, 0) > 0, "forward").otherwise("backward"), False, F.when(_k(v, 0) > 0, _counts(v, 0)).otherwise(_counts(v, 1)))).alias(f"half_{v}") for v in LEVELS))
+    at = [_when(F.col(f"k_{v}") > 0, segment(F.col("seq"), F.col(f"k_{v}"), F.col(f"k_{v}"))) for v in LEVELS]
+    whole = _when(reduce(Column.__or__, (F.col(f"open_{v}") for v in LEVELS)), segment(F.col("seq"), *whole_range(F.col("n"), cfg)))
+    second = checked(kept, F.array(*at, whole), cfg)
+    items = [F.col(f"half_{v}") for v in LEVELS]
+    items += [_item(v, F.col(f"k_{v}") > 0, "both", True, _counts(v, i)) for i, v in enumerate(LEVELS)]
+    items += [_item(v, F.col(f"open_{v}"), "both", False, _counts(v, len(LEVELS))) for v in LEVELS]
+    return _summed(second, F.array(*items), by)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [(i, level, f.k, f.motif, f.counts[f.motif] if f.k else 0) for i, s in enumerate(batch.column("seg").to_pylist()) for level, f in check(encode(s or ""), cfg.min_mer, cfg.max_mer, cfg).items()]
-            if got:
-                i, *rest = zip(*got, strict=True)
-                cols = [batch.column(c).take(pa.array(i)) for c in keys]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(rest[0]), pa.array(rest[1], pa.int32()), pa.array(rest[2]), pa.array(rest[3], pa.int64())], [*keys, "level", "k", "motif", "motif_count"])
 
-    schema = ", ".join(f"{c} {segments.schema[c].dataType.simpleString()}" for c in keys) + ", level string, k int, motif string, motif_count long"
-    return segments.select(*keys, "seg").mapInArrow(run, schema)
+def scan_targets(reads: DataFrame, cfg: ScanConfig, seq: str = "seq", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, level, direction, k, kmer, cnt of the reads whose halves select one period: their counts at it, strands folded."""
+    first = _halves_checked(reads, by, seq, cfg)
+    kept = first.select(*by, "seq", *(F.when(t, _k(v, 0)).otherwise(0).alias(f"k_{v}") for v, t in _targets(first).items()))
+    second = checked(kept, F.array(*(_when(F.col(f"k_{v}") > 0, segment(F.col("seq"), F.col(f"k_{v}"), F.col(f"k_{v}"))) for v in LEVELS)), cfg)
+    return _summed(second, F.array(*(_item(v, F.col(f"k_{v}") > 0, "both", True, _counts(v, i)) for i, v in enumerate(LEVELS))), by)
+
+
+def _count_true(conds: list[Column]) -> Column:
+    return reduce(Column.__add__, (F.coalesce(c, F.lit(False)).cast("int") for c in conds))
+
+
+def _in_turn(conds: list[Column]) -> list[Column]:
+    """Each condition and all before it."""
+    return [reduce(Column.__and__, conds[: i + 1]) for i in range(len(conds))]
+
+
+def scan_paired(pairs: DataFrame, cfg: ScanConfig, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, level, direction, k, kmer, cnt summed over all pairs (seq1, seq2).
+
+    The four half reads go from the outer end of one mate to that of the other; the run
+    of leading ones with the first's period and motif counts from one side, the run of
+    trailing ones with the last's from the other, each with the one that ends it.
+    """
+    rows = pairs.select(*by, *(F.coalesce(c, F.lit("")).alias(c) for c in ("seq1", "seq2"))).withColumn("n", F.least(F.length("seq1"), F.length("seq2"))).where(F.col("n") >= 2 * cfg.min_mer)
+    lo, hi = inner_range(F.col("n"), cfg)
+    parts = [*halves(F.col("seq1")), *halves(F.col("seq2"))[::-1]]
+    first = checked(rows, F.array(*(_when(F.col("n") >= 4 * cfg.min_mer, segment(p, lo, hi)) for p in parts)), cfg)
+
+    motif = lambda v, i: F.get(F.col(v), F.lit(i))["motif"]
+    same = lambda v, i, j: (_k(v, i) == _k(v, j)) & (motif(v, i) == (motif(v, j) if (i < 2) == (j < 2) else other_strand(motif(v, j))))
+    for v in LEVELS:
+        first = first.withColumn(f"m_{v}", _count_true(_in_turn([_k(v, 0) > 0, same(v, 0, 1), same(v, 0, 2), same(v, 0, 3)])))
+    for v in LEVELS:
+        m = F.col(f"m_{v}")
+        first = first.withColumn(f"p_{v}", _count_true(_in_turn([(m < 4) & (_k(v, 3) > 0), (m < 3) & same(v, 3, 2), (m < 2) & same(v, 3, 1), (m < 1) & same(v, 3, 0)])))
+    back = reduce(Column.__or__, (F.col(f"m_{v}") < 4 for v in LEVELS))
+    items = []
+    for v in LEVELS:
+        m, p = F.col(f"m_{v}"), F.col(f"p_{v}")
+        all_ = m == 4
+        items += [_item(v, m >= i, F.when(all_, "both").otherwise("forward" if i < 2 else "backward"), all_, _counts(v, i)) for i in range(4)]
+        items += [_item(v, ~all_ & (p >= 3 - j), "forward" if j > 1 else "backward", False, _counts(v, j)) for j in range(4)]
+    short = F.col("n") < 4 * cfg.max_mer
+    kept = first.select(
+        *by, "seq1", "seq2", "n", F.array(*items).alias("items"),
+        *((short & (_k(v, 0) == 0)).alias(f"a_{v}") for v in LEVELS),
+        *((short & (F.when(F.col(f"m_{v}") < 4, _k(v, 3)).when(back, 0).otherwise(_k(v, 0)) == 0)).alias(f"b_{v}") for v in LEVELS),
+    )
+    lo, hi = whole_range(F.col("n"), cfg)
+    wanted = lambda side: reduce(Column.__or__, (F.col(f"{side}_{v}") for v in LEVELS))
+    second = checked(kept, F.array(_when(wanted("a"), segment(F.col("seq1"), lo, hi)), _when(wanted("b"), segment(F.col("seq2"), lo, hi))), cfg)
+    more = []
+    for v in LEVELS:
+        a, b = F.col(f"a_{v}"), F.col(f"b_{v}")
+        mirrored = a & b & (_k(v, 0) > 0) & same_mates(v)
+        for cond, i in ((a, 0), (b, 1)):
+            more += [_item(v, cond, "forward", False, _counts(v, i)), _item(v, mirrored, "both", True, _counts(v, i))]
+    return _summed(second, F.concat(F.col("items"), F.array(*more)), by)
+
+
+def same_mates(level: str) -> Column:
+    a, b = F.get(F.col(level), F.lit(0)), F.get(F.col(level), F.lit(1))
+    return (a["k"] == b["k"]) & (a["motif"] == other_strand(b["motif"]))
+
+
+def _slices_checked(reads: DataFrame, keys: tuple[str, ...], seq: str, cfg: ScanConfig) -> DataFrame:
+    """keys, the results of each slice of reads that hold one, and for each level how many lead and trail with one period."""
+    rows = reads.where(F.length(seq) >= cfg.slice_length).select(*keys, F.col(seq).alias("__seq"))
+    found = checked(rows.select(*keys, slices(F.col("__seq"), cfg.slice_length).alias("__slices")), F.transform("__slices", lambda s: segment(s, cfg.min_mer, cfg.max_mer)), cfg).drop("__slices")
+    for v in LEVELS:
+        found = found.withColumn(f"m_{v}", _leading(F.col(v)))
+    for v in LEVELS:
+        found = found.withColumn(f"p_{v}", _leading(F.reverse(F.slice(F.col(v), F.col(f"m_{v}") + 1, F.size(v) - F.col(f"m_{v}")))))
+    return found
+
+
+def _leading(found: Column) -> Column:
+    """How many leading results have the period of the first, if that has one."""
+    k = F.coalesce(F.get(found, F.lit(0))["k"], F.lit(0))
+    end = F.array_position(F.transform(found, lambda t: t["k"] != k), True)
+    return F.when(k == 0, 0).when(end == 0, F.size(found)).otherwise(end - 1).cast("int")
+
+
+def _prefix_items(level: str) -> Column:
+    m, n = F.col(f"m_{level}"), F.size(level)
+    run = F.slice(F.col(level), F.lit(1), F.least(n, m + 1))
+    return F.transform(run, lambda t: _item(level, F.lit(True), F.when(m == n, "both").otherwise("forward"), m == n, t["counts"]))
+
+
+def _suffix_items(level: str) -> Column:
+    p, n = F.col(f"p_{level}"), F.size(level)
+    return F.transform(F.slice(F.col(level), n - p, p + 1), lambda t: _item(level, F.lit(True), "backward", False, t["counts"]))
+
+
+def scan_long(reads: DataFrame, cfg: ScanConfig, seq: str = "seq", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, level, direction, k, kmer, cnt summed over all long reads.
+
+    The run of leading slices with the first's period counts forward with the one that
+    ends it, or for both directions where it is the whole read; the run of trailing
+    slices after it, with the one before that, backward, if any level's run was cut.
+    """
+    found = _slices_checked(reads, by, seq, cfg)
+    back = reduce(Column.__or__, (F.col(f"m_{v}") < F.size(v) for v in LEVELS))
+    items = reduce(list.__add__, ([_prefix_items(v), F.when(back, _suffix_items(v)).otherwise(F.array().cast(f"array<{_ITEM}>"))] for v in LEVELS))
+    return _summed(found, F.concat(*items), by)
+
+
+def slice_runs(reads: DataFrame, cfg: ScanConfig, keys: tuple[str, ...], seq: str = "seq") -> DataFrame:
+    """keys, level, slices, leading and trailing: how many slices a read has, and lead and, after these, trail with one period."""
+    found = _slices_checked(reads, keys, seq, cfg)
+    each = F.array(*(F.struct(F.lit(v).alias("level"), F.size(v).alias("slices"), F.col(f"m_{v}").alias("leading"), F.col(f"p_{v}").alias("trailing")) for v in LEVELS))
+    return found.select(*keys, F.inline(each))
+
+
+def segment_targets(segments: DataFrame, keys: list[str], cfg: ScanConfig, lo: Column | int | None = None, hi: Column | int | None = None) -> DataFrame:
+    """keys, level, k, motif, motif_count for each segment (column seg) and level; k is 0 where none is selected."""
+    rows = segments.select(*keys, F.array(segment(F.col("seg"), cfg.min_mer if lo is None else lo, cfg.max_mer if hi is None else hi)).alias("__one"))
+    found = checked(rows, F.col("__one"), cfg)
+    each = F.array(*(F.struct(F.lit(v).alias("level"), *(F.get(F.col(v), F.lit(0))[c].alias(c) for c in ("k", "motif", "motif_count"))) for v in LEVELS))
+    return found.select(*keys, F.inline(each))

@@ -41,7 +41,9 @@ from (select event_id as read_id, case event_id % 3 when 0 then 'TTAGGG' when 1
 
 
 def _from_events(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("from events)", "from {events})"), events=spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"))
+    # Ids are few bytes and the reads made of them many, so the ids are dealt to all cores first.
+    ids = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(sql.replace("from events)", "from {events})"), events=ids)
 
 
 def short_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
