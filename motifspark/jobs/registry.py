@@ -12,7 +12,7 @@ from ..functions import alphabet as al
 from ..operators import kernel, scan, strand
 from ..sources import fastq
 from ..sources import reads as rd
-from . import scan_sql
+from . import fastq_job, scan_sql
 
 CFG = ScanConfig()
 _ENC = scan_sql.ENC
@@ -148,6 +148,16 @@ def _fastq_scan(spark, sf_dir):
     return fastq.short_reads(spark, path).groupBy("seq").agg(F.count("*").alias("reads"))
 
 
+def _fastq_report(spark, sf_dir):
+    """The short reads, written as FASTQ files in two folders, and the report of the job over both."""
+    path = f"{fastq.scratch_dir(spark)}/fastq/{uuid.uuid4().hex}"
+    reads = rd.short_reads(spark, sf_dir).withColumn("file", F.expr(scan_sql.FILE_OF))
+    for name in ("even", "odd"):
+        fastq.write_fastq(reads.where(F.col("file") == name), f"{path}/{name}")
+    scanned = fastq_job.scan_fastq(spark, "short", [f"{path}/even", f"{path}/odd"], CFG, label=F.regexp_extract("file", "/(even|odd)/[^/]*$", 1))
+    return strand.report(strand.strand_fold(scanned, CFG, ("file",)), ("file",))
+
+
 def _run_length(column: str):
     return lambda spark, sf_dir: scan.slice_runs(rd.long_reads(spark, sf_dir), CFG, ("read_id",)).select("read_id", "level", F.col(column).cast("long").alias("run"))
 
@@ -161,6 +171,7 @@ def _half_targets(spark, sf_dir):
 
 QUERIES = {name: q for name, (q, _) in _PROJECTIONS.items()} | {
     "fastq_scan": _fastq_scan,
+    "fastq_report": _fastq_report,
     "split_halves": _split_halves,
     "reads_paired": _paired,
     "split_pair": _split_pair,
@@ -190,7 +201,7 @@ QUERIES = {name: q for name, (q, _) in _PROJECTIONS.items()} | {
     "motif_report": lambda s, d: strand.report(_by_file(s, d), ("file",)),
     "vote_scores": lambda s, d: strand.vote_scores(_merged(s, d)),
     "direction_call": lambda s, d: strand.direction_call(_merged(s, d)),
-    "putative_trm": lambda s, d: strand.putative(_merged(s, d)),
+    "putative_trm": lambda s, d: strand.putative(_merged(s, d)).drop("rank"),
 }
 
 ORACLE_SQL = {name: sql for name, (_, sql) in _PROJECTIONS.items()} | {
@@ -217,6 +228,7 @@ ORACLE_SQL = {name: sql for name, (_, sql) in _PROJECTIONS.items()} | {
     "strand_fold": scan_sql.FOLD + " select * from folded",
     "merge_files": scan_sql.FILES + " select * from merged",
     "motif_report": scan_sql.REPORT,
+    "fastq_report": scan_sql.REPORT,
     "vote_scores": scan_sql.VOTES + " select * from scores",
     "direction_call": scan_sql.CALLS + " select k, kmer, score, direction from calls",
     "putative_trm": scan_sql.PUTATIVE,

@@ -68,10 +68,11 @@ def direction_call(merged: DataFrame) -> DataFrame:
 
 
 def putative(merged: DataFrame) -> DataFrame:
-    """The answers: k, motif, score, sign; one row without a motif where no motif is frequent."""
+    """The answers: k, motif, score, sign and their rank from 1; one row without a motif where no motif is frequent."""
     gate = merged.agg(F.coalesce(F.max(F.col("fwd") + F.col("bwd") + F.col("both")) >= ANSWER_FROM, F.lit(False)).alias("open"))
     sign = F.when(F.col("direction") > 0, "+").when(F.col("direction") < 0, "-").otherwise("?")
-    found = direction_call(merged).orderBy(F.desc("score"), F.desc(al.distinct_bases(F.col("kmer"))), "k", "kmer").limit(ANSWERS)
-    found = found.join(F.broadcast(gate.where("open"))).select("k", al.decode(F.col("kmer")).alias("motif"), "score", sign.alias("sign"))
-    none = gate.where("not open").select(F.lit(-1).alias("k"), F.lit("NO_PUTATIVE_TRM").alias("motif"), F.lit(-1).alias("score"), F.lit("?").alias("sign"))
+    order = [F.desc("score"), F.desc(al.distinct_bases(F.col("kmer"))), "k", "kmer"]
+    found = direction_call(merged).orderBy(*order).limit(ANSWERS).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # ANSWERS rows
+    found = found.join(F.broadcast(gate.where("open"))).select("k", al.decode(F.col("kmer")).alias("motif"), "score", sign.alias("sign"), "rank")
+    none = gate.where("not open").select(F.lit(-1).alias("k"), F.lit("NO_PUTATIVE_TRM").alias("motif"), F.lit(-1).alias("score"), F.lit("?").alias("sign"), F.lit(1).alias("rank"))
     return found.unionByName(none)

@@ -6,8 +6,8 @@ plus the lines of the splits before it: one aggregation gives the lines of each
 and this table of one row a split is joined to a second scan. No record is put together
 across splits, as only one line of each is wanted. Both scans plan the same splits.
 
-``.bgz`` files, whose extension the codecs don't know, come as binary rows and are
-unpacked as a stream within their task; such a file holds 2 GB at most, packed.
+``.bgz`` files, whose extension the codecs don't know, come as binary rows, from folders
+too, and are unpacked as a stream within their task; such a file holds 2 GB at most, packed.
 
 Defined results: an empty file has no reads; a record that ends after its second line
 is a read; a missing second line is none. Line ends are ``\\n``.
@@ -31,7 +31,7 @@ _SCHEMA = "file string, read_id long, seq string"
 
 
 def _split_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.option("lineSep", "\n").text(paths).where(~F.col("_metadata.file_path").endswith(".bgz")).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     splits = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
@@ -52,13 +52,9 @@ def _unpacked(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator
 
 def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
     """file, read_id (from 0 in each file), seq of all files or folders."""
-    packed = [p for p in paths if p.endswith(".bgz")]
     plain = [p for p in paths if not p.endswith(".bgz")]
-    parts = [_split_files(spark, plain)] if plain else []
-    if packed:
-        files = spark.read.format("binaryFile").load(packed).select("path", "content")
-        parts.append(files.mapInArrow(_unpacked, _SCHEMA))
-    return reduce(DataFrame.unionByName, parts)
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.bgz").load(list(paths)).select("path", "content").mapInArrow(_unpacked, _SCHEMA)
+    return packed.unionByName(_split_files(spark, plain)) if plain else packed
 
 
 def short_reads(spark: SparkSession, *paths: str, longest: int = LONGEST_SHORT) -> DataFrame:
@@ -93,4 +89,7 @@ def write_fastq(reads: DataFrame, path: str, compression: str = "none") -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return (path or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    if not path:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-")
+    return path.rstrip("/")
