@@ -376,7 +376,7 @@ def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, stren
     del own
     a = a.sort_by("part")
     shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(a.column("shared").to_pylist(), a.column("n").to_pylist(), strict=True)])
-    c[shared.astype(bool)] = np.concatenate([_counts(x, np.unpackbits(np.frombuffer(y, np.uint8), count=k).sum()) for x, y, k in zip(a.column("c").to_pylist(), a.column("shared").to_pylist(), a.column("n").to_pylist(), strict=True)])
+    c[shared.astype(bool)] = np.concatenate([_counts(x, int(np.unpackbits(np.frombuffer(y, np.uint8), count=k).sum())) for x, y, k in zip(a.column("c").to_pylist(), a.column("shared").to_pylist(), a.column("n").to_pylist(), strict=True)])
 
     def count(h: np.ndarray) -> np.ndarray:
         order = np.argsort(h)  # in order they read the keys in order

@@ -214,6 +214,15 @@ def test_lm_scores_every_word_by_its_own_ngrams(spark):
     assert len(got) == len(texts) and all(abs(got[i] - score(x)) < 2e-4 * len(x) for i, x in enumerate(words))
 
 
+def test_lm_scores_do_not_depend_on_blocks(spark):
+    r = random.Random(9)
+    texts = [" ".join(f"w{int(r.paretovariate(0.6)) % 4000}" for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    docs = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    one, many = (sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in language_model.score_documents(docs, block_tokens=n).collect()) for n in (1 << 21, 4000))
+    assert len(one) == len(many) == 3000
+    assert all(x[:3] == y[:3] and abs(x[3] - y[3]) < 1e-6 and abs(x[4] - y[4]) < 1e-3 for x, y in zip(one, many, strict=True))
+
+
 @pytest.mark.parametrize(("n", "bound"), [(500, 10**6), (1, 10**12), (700, 300), (0, 9), (300, 2**60)])
 def test_elias_fano_reads_packed_bits(n, bound):
     import numpy as np
