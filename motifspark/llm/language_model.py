@@ -291,7 +291,13 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 40.0, block_tokens: int = 1 << 21, fold: int = 5, held: int = 1) -> DataFrame:
+def _added(parts: list[tuple[np.ndarray, np.ndarray]], part: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """parts and one more; the small ones are merged as soon as they are as many as the large one, so that repeats don't pile up."""
+    parts.append(part)
+    return [_merge(parts)] if sum(len(k) for k, _ in parts[1:]) > max(1 << 19, len(parts[0][0]) // 2) else parts
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 40.0, block_tokens: int = 1 << 20, fold: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     A document is held out of training where crc32 of its id as text, modulo fold, is held.
@@ -339,7 +345,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch, buf, off in tx.chunks(t.to_batches()):
             token, doc = tokens(buf, off)
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            parts.append(_own(token, doc, train[doc], 64 - bits))
+            parts = _added(parts, _own(token, doc, train[doc], 64 - bits))
         k, c = _merge(parts)
         part = (k // tx.U(bound)).astype(np.int32)
         cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
@@ -367,9 +373,9 @@ def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, stren
     for batch, buf, off in tx.chunks(t.to_batches()):
         of_chunk, row = tokens(buf, off)
         train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        own.append(_own(of_chunk, row, train[row], drop))
+        own = _added(own, _own(of_chunk, row, train[row], drop))
         token.append(of_chunk)
-        doc.append(row + n)
+        doc.append((row + n).astype(np.int32))
         n += batch.num_rows
     token, doc = np.concatenate(token), np.concatenate(doc)
     key, c = _merge(own)  # in order, as the ranges of hashes are
@@ -403,7 +409,7 @@ def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, stren
     n3 = count(gram_hash(_before(token, doc, 2)[at], _before(token, doc, 1)[at], token[at]))
     p3 = (n3 + strength * p2[pair[at]]) / (c2[keys3 >> bits] + strength)
     columns = above[at], pair[at], v[at], symbol[at]
-    del key, v, pair, above, at
+    del key, c, token, v, pair, above, at
 
     # The model has what training has seen.
     seen2 = c2 > 0
