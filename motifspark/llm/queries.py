@@ -124,7 +124,7 @@ with l as (
   from (select doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)),
 spread as (
   select line, min(doc_id * 1000000 + no) as first_at from l where length(trim(line)) >= 10
-  group by line having count(distinct source) >= 8),
+  group by line having count(distinct source) + max((source is null)::int) >= 8),
 j as (select l.*, coalesce(l.doc_id * 1000000 + l.no > s.first_at, false) as gone from l left join spread s using (line))
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
   sha256(coalesce(string_agg(line, chr(10) order by no) filter (not gone), '')) as kept_sha256
