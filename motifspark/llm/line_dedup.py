@@ -8,7 +8,9 @@ it get an exact distinct count. Boilerplate lines are then removed everywhere bu
 at their first place (smallest id, then smallest line number).
 
 All aggregates combine on the map side, so a line on a third of all rows reaches a
-reducer as one row for each map task. Line equality is that of 64-bit hashes.
+reducer as one row for each map task. The places of lines met often enough are written
+once; where they meet a table of lines, the key is the line and a salt of the place, so
+such a line divides into ``SALTS`` tasks. Line equality is that of 64-bit hashes.
 
 Defined results: null text is empty text; a null site is one more site; lines
 shorter than ``min_chars`` after trimming spaces never count; rows that share an
@@ -20,6 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
+SALTS = 32
+
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, site, line_no, h for each line long enough."""
@@ -27,17 +33,30 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return at.where(F.length(F.trim("line")) >= min_chars).select("doc_id", "site", "line_no", F.xxhash64("line").alias("h"))
 
 
-def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 10, margin: float = 0.25) -> DataFrame:
-    """h of every line that stands on at least min_sites sites. margin: relative distance from the threshold within which sketches don't decide."""
+def _salted(places: DataFrame) -> DataFrame:
+    """places with salt, by document, so that a line on a third of all documents meets a table of lines in SALTS tasks."""
+    return places.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SALTS)))
+
+
+def _for_each_salt(table: DataFrame) -> DataFrame:
+    """table (one row for each h) once for each salt."""
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+
+
+def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 10, margin: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """The places (as lines, with a salt) of lines met often enough, written once; and h, first place of every line that stands on at least min_sites sites.
+
+    margin: relative distance from the threshold within which sketches don't decide.
+    """
     often = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
     often = often.where((F.col("n") >= min_sites) & ((F.col("a") != F.col("b")) | F.lit(min_sites <= 1))).select("h")
-    met = lines.select("h", "site").join(often, "h", "left_semi")
-    sketched = met.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
+    met = materialize(_salted(lines).join(_for_each_salt(often), ["h", "salt"], "left_semi"))
+    sketched = materialize(met.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min(F.struct("doc_id", "line_no")).alias("first")))
     low, high = min_sites * (1 - margin), min_sites * (1 + margin)
-    sure = sketched.where(F.col("sites") > high).select("h")
-    near = sketched.where((F.col("sites") >= low) & (F.col("sites") <= high)).select("h")
-    exact = met.join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count("*").alias("sites"))
-    return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h"))
+    near = sketched.where((F.col("sites") >= low) & (F.col("sites") <= high)).select("h", "first")
+    exact = met.join(_for_each_salt(near.select("h")), ["h", "salt"], "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("exact"))
+    sure = sketched.where(F.col("sites") > high).select("h", "first")
+    return met, sure.unionByName(near.join(exact.where(F.col("exact") >= min_sites), "h").select("h", "first"))
 
 
 def _without(lines: Column, removed: Column) -> Column:
@@ -52,10 +71,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(site_col).alias("site"))
     lines = _lines(own, min_chars)
-    spread = spread_lines(lines, min_sites)
-    marked = lines.select("doc_id", "line_no", "h").join(spread, "h", "left_semi")
-    first = marked.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    again = marked.join(first, "h").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
+    met, spread = spread_lines(lines, min_sites)
+    again = met.join(_for_each_salt(spread), ["h", "salt"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     removed = again.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("line_no", "h")).alias("__removed"))
     joined = docs.join(removed, docs[id_col].eqNullSafe(F.col("__id")), "left")
     lines_of = F.split(F.coalesce(docs[text_col], F.lit("")), "\n")
