@@ -15,8 +15,11 @@ So that no point is searched against all others:
   is by a count sketch of all shingles, so that widely shared passages come last;
 * where a shingle meets more than one class, the R-tree of these classes yields
   links that span each group of possible partners (never all pairs of a group);
-* the components of those links are the groups whose sets are brought together and
-  verified, again by an R-tree search. Larger groups go in pairs of blocks.
+* the components of those links are the groups of possible partners. Groups of long
+  sets, which few counts tell apart badly, are divided again by the R-tree of points
+  with more counts (``FINE``), each class once and without its set;
+* what is left in a group is brought together and verified on the whole sets, again by
+  an R-tree search. A group over BLOCK sets or BLOCK_GRAMS shingles goes in pairs of blocks.
 
 Every link between different sets lies inside one such group and is found or
 implied by found ones, so components are exact.
@@ -44,7 +47,9 @@ from .storage import arrow_rows, materialize
 GROUPS = 32
 SKETCH = 1 << 18
 PAGE = 64
+FINE = 1024
 BLOCK = 4096
+BLOCK_GRAMS = 1 << 22
 ARROW_ROWS = 1000
 
 
@@ -78,10 +83,11 @@ def _set_hash(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def vectors(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def vectors(grams: np.ndarray, bounds: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Each set's count of shingles by group; groups: a power of two."""
     n = len(bounds) - 1
     owner = np.repeat(np.arange(n), np.diff(bounds))
-    return np.bincount(owner * GROUPS + (grams >> tx.U(59)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
+    return np.bincount(owner * groups + (grams >> tx.U(65 - groups.bit_length())).astype(np.int64), minlength=n * groups).reshape(n, groups)
 
 
 def _sets_and_sketch(k: int) -> Callable:
@@ -128,6 +134,19 @@ def _points(k: int) -> Callable:
     return run
 
 
+def _fine_points(k: int) -> Callable:
+    """The point of FINE counts of each class, for its tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, buf, off in tx.chunks(batches):
+            grams, bounds = shingle_sets(buf, off, k)
+            mine = tx.signed(_set_hash(grams, bounds)[0]) == batch.column("a").to_numpy()
+            v = vectors(grams, bounds, FINE).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("task"), batch.column("a"), pa.array(np.diff(bounds)), pa.array([r.tobytes() for r in v], pa.binary())], ["token", "class_id", "n", "point"]).filter(pa.array(mine))
+
+    return run
+
+
 def _slices(sets: list[np.ndarray], grams: int = 1 << 18, most: int = 256) -> Iterator[tuple[int, int]]:
     """Bounds of runs of sets with about so many grams and so many sets at most, for memory that follows neither a group nor its longest text."""
     a = size = 0
@@ -234,13 +253,13 @@ def _groups(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def _possible(percent: int) -> Callable:
-    """Links between the classes of each shingle whose points allow the similarity."""
+def _possible(percent: int, groups: int = GROUPS) -> Callable:
+    """Links between the classes of each shingle (or task) whose points allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 1 << 23):
             token, cls, n = (t.column(c).to_numpy() for c in ("token", "class_id", "n"))
-            points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+            points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.int32).reshape(-1, groups)
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             many = np.diff(np.append(start, len(token)))
             two = start[many == 2]
@@ -292,6 +311,14 @@ def _verified(percent: int) -> Callable:
     return run
 
 
+def _tasks(groups: DataFrame, sums: DataFrame) -> DataFrame:
+    """a, task: the tasks in which each node of the groups meets all others; sums: component, blocks. Groups of over two blocks go in pairs of them."""
+    placed = groups.join(sums.select("component", F.col("blocks").cast("int").alias("blocks")), "component").selectExpr("node as a", "component", "blocks", "cast(pmod(xxhash64(node), blocks) as int) as block")
+    other = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    task = F.when(F.col("blocks") <= 2, F.xxhash64("component")).otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
+    return placed.withColumn("other", F.explode(other)).select("a", task.alias("task"))
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, one row for each row of docs. percent: the least Jaccard similarity."""
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
@@ -321,12 +348,17 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     possible = met.repartition("token").sortWithinPartitions("token").mapInArrow(_possible(percent), "a long, b long")
     groups = materialize(components(possible))
 
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    placed = groups.join(sizes, "component").selectExpr("node as a", "component", f"cast(ceil(size / {BLOCK}) as int) as blocks", f"cast(pmod(xxhash64(node), cast(ceil(size / {BLOCK}) as int)) as int) as block")
-    other = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
-    tasks = placed.withColumn("other", F.explode(other))
-    task = F.when(F.col("blocks") <= 2, F.xxhash64("component")).otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
-    tasks = tasks.select("a", task.alias("task"))
+    sized = groups.join(classes.select(F.col("a").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n")), "node")
+    sums = sized.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
+    long_sets = sums.where((F.col("grams") > BLOCK_GRAMS / 32) & (F.col("grams") > 2 * FINE * F.col("size")))
+    divide = groups.join(long_sets.select("component"), "component", "left_semi")
+    points = chosen.join(_tasks(divide, long_sets.withColumn("blocks", F.ceil(F.col("size") / BLOCK))), "a").mapInArrow(_fine_points(k), "token long, class_id long, n long, point binary")
+    parts = components(points.repartition("token").sortWithinPartitions("token").mapInArrow(_possible(percent, FINE), "a long, b long"))
+    groups = materialize(groups.join(long_sets.select("component"), "component", "left_anti").select("node", "component").unionByName(parts))
+
+    sized = groups.join(sized.select("node", "n"), "node")
+    sums = sized.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
+    tasks = _tasks(groups, sums.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("grams") / BLOCK_GRAMS))))
     ready = chosen.join(tasks, "a").mapInArrow(_with_sets(k), "task long, class_id long, data binary")
     links = ready.repartition("task").sortWithinPartitions("task").mapInArrow(_verified(percent), "a long, b long")
     found = components(links)

@@ -121,6 +121,33 @@ def test_ngram_join_equals_brute_force(docs, rows):
         assert (-1 if r["component_id"] is None else r["component_id"]) == root[i], i
 
 
+def test_groups_of_long_sets_are_divided_by_finer_counts(spark, monkeypatch):
+    """Long texts of shared passages: few counts tie most of them together, links are those of brute force, also in pairs of blocks."""
+    r = random.Random(4)
+    pool = [" ".join(f"w{r.randrange(3000)}" for _ in range(50)) for _ in range(240)]
+    picked = [r.sample(range(240), 80) for _ in range(30)]
+    for i in range(12):
+        near = list(picked[i % 6])
+        for _ in range(1 + i % 4):
+            near[r.randrange(80)] = r.randrange(240)
+        picked.append(near)
+    texts = [" ".join(pool[p] for p in x) for x in picked]
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[p : p + 4]) for p in range(len(w) - 3)} for w in words]
+    root = list(range(len(sets)))
+    for _ in range(3):
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if 100 * len(x & y) >= 85 * len(x | y):
+                    root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert min(map(len, sets)) > 2 * ngram_join.FINE and sum(map(len, sets)) > ngram_join.BLOCK_GRAMS / 32 and len(set(root)) < len(root)
+    assert [x.component_id for x in ngram_join.ngram_join(docs).orderBy("doc_id").collect()] == root
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 1 << 14)
+    assert [x.component_id for x in ngram_join.ngram_join(docs).orderBy("doc_id").collect()] == root
+
+
 def test_keep_one_keeps_columns(docs, empty):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
