@@ -24,11 +24,14 @@ count together); a zero budget selects nothing.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 LEVELS = ("domain", "language", "source")
 
 
@@ -55,17 +58,16 @@ def _share(nodes: DataFrame, parent: list[str], budget: Column) -> DataFrame:
     return sized.withColumn("share", share.cast("long")).drop("__ratio", "__budget", "__full", "__open", "__level")
 
 
-def leaf_budgets(leaves: DataFrame, budget: int | Column, weights: dict[str, dict[str, float]], max_epochs: int) -> DataFrame:
-    """domain, language, source, tokens, share. leaves: one row for each leaf with its tokens (and a constant budget column where budget is a Column)."""
-    given = F.lit(budget) if isinstance(budget, int) else budget
-    leaves = leaves.withColumn("supply", F.col("tokens") * max_epochs).withColumn("__root", given)
+def leaf_budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, float]], max_epochs: int) -> DataFrame:
+    """domain, language, source, tokens, share. leaves: one row for each leaf with its tokens."""
+    leaves = leaves.withColumn("supply", F.col("tokens") * max_epochs)
     got, above = None, []
     for depth, level in enumerate(LEVELS):
         keys = list(LEVELS[: depth + 1])
-        nodes = leaves.groupBy(*keys).agg(F.sum("supply").alias("supply"), F.sum("tokens").alias("tokens"), F.max("__root").alias("__root")).withColumn("weight", weight_of(F.col(level), weights.get(level, {})))
+        nodes = leaves.groupBy(*keys).agg(F.sum("supply").alias("supply"), F.sum("tokens").alias("tokens")).withColumn("weight", weight_of(F.col(level), weights.get(level, {})))
         if got is not None:
             nodes = nodes.join(got, above)
-        got = _share(nodes, above, F.col("__root") if depth == 0 else F.col("__parent"))
+        got = _share(nodes, above, F.lit(budget) if depth == 0 else F.col("__parent"))
         if depth < len(LEVELS) - 1:
             got = got.select(*keys, F.col("share").alias("__parent"))
         above = keys
@@ -80,12 +82,11 @@ def mix_sources(docs: DataFrame, domain: Column, budget: int | None = None, frac
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     order = lambda epoch: F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), name(F.col("doc_id"))))
     rows = docs.select(F.col(id_col).alias("doc_id"), name(domain).alias("domain"), name(F.col(lang_col)).alias("language"), name(F.col(source_col)).alias("source"), n_tokens(F.col(text_col)).alias("n_tokens")).where("n_tokens > 0")
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    rows = materialize(rows)  # texts are read and split once; all that follows is on these narrow rows
+    leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")))
     if budget is None:
-        leaves = leaves.withColumn("__all", F.sum("tokens").over(Window.partitionBy(F.lit(0))))
-        shares = leaf_budgets(leaves, F.floor(F.col("__all") * fraction).cast("long"), weights or {}, max_epochs)
-    else:
-        shares = leaf_budgets(leaves, budget, weights or {}, max_epochs)
+        budget = math.floor((leaves.agg(F.sum("tokens")).first()[0] or 0) * fraction)
+    shares = leaf_budgets(leaves, budget, weights or {}, max_epochs)
     # Whole epochs, and what is left for the next one, whose order is seeded by its number.
     shares = shares.select(*LEVELS, F.expr("share div tokens").alias("whole"), F.expr("share % tokens").alias("rest"))
     rows = rows.join(shares, list(LEVELS)).withColumn("h", order(F.col("whole")))
