@@ -359,6 +359,39 @@ def test_quality_base_counts(docs, rows):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def plain_classes(text):
+    """Characters of a text by class, and its words by common word ('' for all others)."""
+    kinds = (("abcdefghijklmnopqrstuvwxyz", 1), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), ("0123456789", 3), (" \t\n\v\f\r", 4), (".,;:!?'\"-()", 5), ("#*$%&|<>", 6))
+    of = {c: k for chars, k in kinds for c in chars}
+    common = {w for ws in quality.COMMON_WORDS.values() for w in ws}
+    lower = (re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text))
+    return Counter(of.get(c, 8 if ord(c) > 127 else 7) for c in text), Counter(w if w in common else "" for w in lower)
+
+
+def plain_distance(p, q):
+    """Jensen-Shannon distance of two histograms given as dicts."""
+    p, q = ({k: v / sum(h.values()) for k, v in h.items()} for h in (p, q))
+    m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+    return math.sqrt(max(0, sum(v * math.log2(v / m[k]) for h in (p, q) for k, v in h.items() if v) / 2))
+
+
+def test_quality_verdict_equals_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got, rows = by_id(quality.quality_rules(table)), [(r.doc_id, r.text or "", r.lang) for r in table.collect()]
+    hists, sums = {i: plain_classes(t) for i, t, _ in rows}, {}
+    for i, _, lang in rows:
+        if lang in quality.COMMON_WORDS and not got[i].base_failed:
+            for total, h in zip(sums.setdefault(lang, (Counter(), Counter())), hists[i], strict=True):
+                for k, v in h.items():
+                    total[k] += v / sum(h.values())
+    for i, _, lang in rows:
+        n = got[i].n_words
+        d = [plain_distance(h, ref) for h, ref in zip(hists[i], sums[lang], strict=True)] if lang in sums and n >= 50 else [0, 0]
+        assert (got[i].class_distance, got[i].common_distance) == pytest.approx(d, abs=1e-6), i
+        assert got[i].kept == (not got[i].base_failed and d[0] <= 0.3 and d[1] <= 0.5 and (n < 100 or sum(d) <= 0.44)), i
+    assert 0 < sum(r.kept for r in got.values()) < len(got)
+
+
 def test_line_dedup_removes_spread_lines_but_the_first(docs):
     got = by_id(line_dedup.line_dedup(docs))
     assert got[8]["n_removed"] == 0 and all(got[20 + i]["n_removed"] == 1 and got[20 + i]["text"] == f"note {i}\nend" for i in range(9))
@@ -459,3 +492,23 @@ def test_pipeline_runs(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and set(out.columns) >= {"doc_id", "epochs"}
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, empty):
+    """Nulls, repeats, empty texts and clashing names pass each stage; empty tables stay empty."""
+    import corpus_pipeline
+
+    sf_dir, held = "/root/testdata/sf0.001", {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        held[name] = out.collect()
+        assert (out.columns == docs.columns) == (k < 4) and len(held[name]) <= docs.count()
+        assert stage(spark, empty, sf_dir).count() == 0
+    good = [r.doc_id for r in quality.quality_rules(docs).where("kept").collect()]
+    assert Counter(r.doc_id for r in held["quality rules"]) == Counter(good)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in held["line dedup"])
+    component = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()}
+    assert {component[r.doc_id] for r in held["n-gram Jaccard join"]} == set(component.values())
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    dirty = spark.createDataFrame([(1, f"before {item} after", "en", "s", 0, 1, "c", "k"), (2, BODY, "en", "s", 0, 1, "c", "k")], SCHEMA)
+    assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, dirty, sf_dir).collect()] == [2]
