@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_model, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, suffix_dedup
+from . import chat_format, decontamination, language_model, line_dedup, mixing, ngram_join, packing, periodic, pii, quality, search, substring_dedup, suffix_dedup
 from .storage import read_table
 
 
@@ -139,6 +139,57 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_TERMS_SQL = """unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term"""
+OP11_SQL = f"""
+with t as (select doc_id, {_TERMS_SQL} from documents),
+q as (select item_id, {_TERMS_SQL} from benchmark),
+sizes as (select doc_id, count(*) as n from t group by doc_id),
+total as (select count(*) as docs, sum(n)::bigint as l from sizes),
+met as (select doc_id, term, count(*) as tf from t semi join q using (term) group by all),
+weights as (select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from met, total group by term),
+parts as (select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // l))) as part from met join weights using (term) join sizes using (doc_id), total),
+scores as (select item_id, doc_id, sum(part)::bigint as score from q join parts using (term) group by all),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 20"""
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, whose last words repeat in one document of ten, as the id's CRC says."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", crc.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    rows = rows.withColumn("n", F.size("words").cast("long")).withColumn("a", F.expr("case when n > 0 then (h div 10) % n end"))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    tail = F.expr("transform(sequence(a, n - 1), i -> words[cast(a + (i - a) % p as int)])")
+    whole = F.array_join(F.concat(F.expr("slice(words, 1, cast(a as int))"), tail), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, whole).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(with_periodic_tails(read_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    out = out.withColumn("longest", longest)
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(F.concat(listed, F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -150,5 +201,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_packing": op13_packing,
 }
-ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_lexical_search": OP11_SQL}
