@@ -159,13 +159,18 @@ select item_id, rank, doc_id, score from ranked where rank <= 20"""
 
 def with_periodic_tails(docs: DataFrame) -> DataFrame:
     """doc_id and text, whose last words repeat in one document of ten, as the id's CRC says."""
-    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    rows = docs.select("doc_id", "text", crc.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
-    rows = rows.withColumn("n", F.size("words").cast("long")).withColumn("a", F.expr("case when n > 0 then (h div 10) % n end"))
-    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
-    tail = F.expr("transform(sequence(a, n - 1), i -> words[cast(a + (i - a) % p as int)])")
-    whole = F.array_join(F.concat(F.expr("slice(words, 1, cast(a as int))"), tail), " ")
-    return rows.select("doc_id", F.when(F.col("n") > 0, whole).otherwise(F.col("text")).alias("text"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def turned(words):  # a lambda's argument, so that a text is split once and not for each word
+        n = F.size(words)
+        bound = F.struct(words.alias("words"), (g % n).cast("int").alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).cast("int").alias("p"))
+        tail = lambda w: F.transform(F.sequence(w["a"], F.size(w["words"]) - 1), lambda i: F.get(w["words"], w["a"] + (i - w["a"]) % w["p"]))
+        return F.get(F.transform(F.array(bound), lambda w: F.array_join(F.concat(F.slice(w["words"], F.lit(1), w["a"]), tail(w)), " ")), F.lit(0))
+
+    words = F.array(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    whole = F.get(F.transform(words, lambda w: F.when(F.size(w) > 0, turned(w))), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(whole, F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
