@@ -69,7 +69,7 @@ def run(spark: SparkSession, kind: str, files: list, cfg: ScanConfig, out: str)
 
 def _plain(path: Column) -> Column:
     """A local file's full path without its scheme; other stores keep theirs."""
-    return F.url_decode(F.regexp_replace(F.replace(path, F.lit("+"), F.lit("%2B")), "^file:/+", "/"))
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def parsed(argv: list[str] | None = None) -> tuple[str, list, ScanConfig, str]:

@@ -1,95 +1,104 @@
 """FASTQ files as reads: four lines a record, of which the second is the sequence.
 
-Plain files are split among tasks by Spark's text reader, and ``.gz`` files are read
-by its codec, one task a file. A line's number in its file is its number in its split
-plus the lines of the splits before it: one aggregation gives the lines of each split,
-and this table of one row a split is joined to a second scan. No record is put together
-across splits, as only one line of each is wanted. Both scans plan the same splits.
-
-``.bgz`` files, whose extension the codecs don't know, come as binary rows, from folders
-too, and are unpacked as a stream within their task; such a file holds 2 GB at most, packed.
-
-Defined results: an empty file has no reads; a record that ends after its second line
-is a read; a missing second line is none. Line ends are ``\\n``.
+Plain and block gzip files are read in splits by many tasks, whatever their size, other
+gzip files by one task each. Tasks begin at lines whose number is known (``fastq_index``),
+and the sequences are read through ``spark.read.format("fastq")`` (``fastq_source``). Files
+with up to one split are read once; larger ones once more before, for the index.
+
+Mates are paired by place: the ranges of the first file are met with the last marked line
+of the second one before them, and a task reads both files in step from there. So texts
+are never shuffled, and at most one mark's text is read in vain.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
-import tempfile
+import os
+import re
 from collections.abc import Iterator
-from functools import reduce
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LONGEST_SHORT = 1000
-_SCHEMA = "file string, read_id long, seq string"
-
+from . import blocks as bl
+from . import fastq_index as fi
+from . import fastq_source as fsrc
+from .scratch import scratch_dir, written
 
-def _split_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    lines = spark.read.option("lineSep", "\n").text(paths).where(~F.col("_metadata.file_path").endswith(".bgz")).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    splits = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
-    numbered = lines.join(splits, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("no"), F.col("value").alias("seq"))
-    return numbered.where("no % 4 = 1").selectExpr("file", "no div 4 as read_id", "seq")
+LONGEST_SHORT = 1000
+__all__ = ["long_reads", "paired_reads", "read_fastq", "scratch_dir", "short_reads", "write_fastq"]
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            with gzip.open(io.BytesIO(content.as_buffer())) as file:
-                second = islice(file, 1, None, 4)
-                at = 0
-                while part := [line.rstrip(b"\n").decode("utf-8", "replace") for line in islice(second, rows)]:
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part)], ["file", "read_id", "seq"])
-                    at += len(part)
+def _source(spark: SparkSession, paths: list[str], split_bytes: int) -> DataFrame:
+    fsrc.register(spark)
+    _, index = written(fi.ranges(fi.marks(spark, paths, split_bytes)))
+    return spark.read.format("fastq").option("index", index).option("splitBytes", split_bytes).load()
 
 
-def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
+def read_fastq(spark: SparkSession, *paths: str, split_bytes: int = fi.SPLIT_BYTES) -> DataFrame:
     """file, read_id (from 0 in each file), seq of all files or folders."""
-    plain = [p for p in paths if not p.endswith(".bgz")]
-    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.bgz").load(list(paths)).select("path", "content").mapInArrow(_unpacked, _SCHEMA)
-    return packed.unionByName(_split_files(spark, plain)) if plain else packed
+    return _source(spark, list(paths), split_bytes).select("file", "read_id", "seq")
 
 
-def short_reads(spark: SparkSession, *paths: str, longest: int = LONGEST_SHORT) -> DataFrame:
-    """Reads of files of short reads; one beyond ``longest`` fails the job, as it means a file of another kind."""
+def _checked(seq: str, longest: int):
     too_long = F.raise_error(F.concat(F.lit("read too long for short reads: "), "file", F.lit(", read "), F.col("read_id").cast("string"))).cast("string")
-    return read_fastq(spark, *paths).withColumn("seq", F.when(F.length("seq") > longest, too_long).otherwise(F.col("seq")))
+    return F.when(F.length(seq) > longest, too_long).otherwise(F.col(seq))
 
 
-def long_reads(spark: SparkSession, *paths: str, slice_length: int = 150) -> DataFrame:
-    """Reads that hold one slice at least."""
-    return read_fastq(spark, *paths).where(F.length("seq") >= slice_length)
+def short_reads(spark: SparkSession, *paths: str, longest: int = LONGEST_SHORT, split_bytes: int = fi.SPLIT_BYTES) -> DataFrame:
+    """Reads of files of short reads; one beyond ``longest`` fails the job, as it means a file of another kind."""
+    return read_fastq(spark, *paths, split_bytes=split_bytes).withColumn("seq", _checked("seq", longest))
 
 
-def paired_reads(spark: SparkSession, *pairs: tuple[str, str], longest: int = LONGEST_SHORT) -> DataFrame:
-    """file (the first of its pair), read_id, seq1, seq2: mates by their place; a read without a mate fails the job."""
+def long_reads(spark: SparkSession, *paths: str, slice_length: int = 150, split_bytes: int = fi.SPLIT_BYTES) -> DataFrame:
+    """Reads that hold one slice at least; shorter ones are left out by the reader."""
+    return _source(spark, list(paths), split_bytes).where(F.col("length") >= slice_length).select("file", "read_id", "seq")
 
-    def mates(first: str, second: str) -> DataFrame:
-        a = short_reads(spark, first, longest=longest).withColumnRenamed("seq", "seq1")
-        b = short_reads(spark, second, longest=longest).select("read_id", F.col("seq").alias("seq2"))
-        alone = F.raise_error(F.concat(F.lit(f"files of unequal length: {first}, {second}: read "), F.col("read_id").cast("string"))).cast("string")
-        return a.join(b, "read_id", "full").select("file", "read_id", F.coalesce("seq1", alone).alias("seq1"), F.coalesce("seq2", alone).alias("seq2"))
 
-    return reduce(DataFrame.unionByName, [mates(*p) for p in pairs])
+def _in_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of two files to file, read_id, seq1, seq2."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            sides = [fsrc.read_range(r[f"file{i}"], r[f"codec{i}"], r[f"line{i}"], r[f"at{i}"], r[f"within{i}"], r["line1"], r["until"]) for i in (1, 2)]
+            held: list = [None, None]
+            while True:
+                held = [next(side, None) if h is None else h for h, side in zip(held, sides, strict=True)]
+                if None in held:
+                    if held != [None, None]:
+                        left = next(h for h in held if h is not None)
+                        raise ValueError(f"files of unequal length: {r['file1']}, {r['file2']}: read {left.number[0]} has no mate")
+                    break
+                n = min(len(h.number) for h in held)
+                yield pa.RecordBatch.from_arrays([pa.array([r["file1"]] * n), pa.array(held[0].number[:n]), *(h.where(slice(0, n)).array() for h in held)], ["file", "read_id", "seq1", "seq2"])
+                held = [h.where(slice(n, None)) if n < len(h.number) else None for h in held]
+
+
+def paired_ranges(spark: SparkSession, pairs: list[tuple[str, str]], split_bytes: int, mark_bytes: int) -> DataFrame:
+    """file1, file2 and for both a place to begin at (codec, line, at, within); line1 to until are the lines wanted. A row a split of a first file."""
+    bare = lambda path: re.sub("^[a-z0-9]+:(//[^/]*)?/*", "/", path if ":" in path else os.path.abspath(path))  # noqa: E731  without scheme and host
+    named = spark.createDataFrame([(i, side, bare(path)) for i, pair in enumerate(pairs) for side, path in enumerate(pair, 1)], "pair long, side int, name string")
+    marked = fi.marks(spark, list(dict.fromkeys(p for pair in pairs for p in pair)), split_bytes, mark_bytes)
+    rows = marked.withColumn("name", F.regexp_replace("file", "^[a-z0-9]+:(//[^/]*)?/*", "/")).join(F.broadcast(named), "name")  # named: a row for each file that the caller lists
+    place = F.struct("file", "codec", "line", "at", "within")
+    whole = F.max(F.col("codec") == bl.GZIP).over(Window.partitionBy("pair"))  # a file without places to begin at
+    rows = rows.withColumn("whole", whole).where(~F.col("whole") | (F.col("line") == 0))
+    before = F.last(F.when(F.col("side") == 2, place), ignorenulls=True).over(Window.partitionBy("pair").orderBy("line", F.desc("side")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = rows.select("pair", "side", "first", "bytes", place.alias("one"), before.alias("two"), "line").where((F.col("side") == 1) & F.col("first"))
+    met = met.withColumn("until", F.lead("line").over(Window.partitionBy("pair").orderBy("line")))
+    both = [F.col(f"{side}.{c}").alias(f"{c}{i}") for i, side in ((1, "one"), (2, "two")) for c in ("file", "codec", "line", "at", "within")]
+    return met.select("pair", F.least("bytes", F.lit(split_bytes)).alias("bytes"), *both, "until")
+
+
+def paired_reads(spark: SparkSession, *pairs: tuple[str, str], longest: int = LONGEST_SHORT, split_bytes: int = fi.SPLIT_BYTES, mark_bytes: int = fi.MARK_BYTES) -> DataFrame:
+    """file (the first of its pair), read_id, seq1, seq2: mates by their place; a read without a mate fails the job."""
+    cut, _ = written(paired_ranges(spark, list(pairs), split_bytes, mark_bytes))
+    if (n := cut.select("pair").distinct().count()) != len(pairs):
+        raise ValueError(f"{len(pairs)} pairs of files are named, and {n} found")
+    mates = cut.repartition(fi.task_count(cut, split_bytes=split_bytes), "pair", "line1").mapInArrow(_in_step, "file string, read_id long, seq1 string, seq2 string")
+    return mates.select("file", "read_id", *(_checked(c, longest).alias(c) for c in ("seq1", "seq2")))
 
 
 def write_fastq(reads: DataFrame, path: str, compression: str = "none") -> None:
     """Write read_id and seq as records of the highest quality, one file a task."""
     record = F.concat_ws("\n", F.concat(F.lit("@"), F.col("read_id").cast("string")), F.coalesce("seq", F.lit("")), F.lit("+"), F.repeat(F.lit("I"), F.coalesce(F.length("seq"), F.lit(0))))
     reads.select(record.alias("value")).write.option("lineSep", "\n").option("compression", compression).text(path)
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-")
-    return path.rstrip("/")
