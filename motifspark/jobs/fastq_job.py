@@ -62,12 +62,12 @@ def run(spark: SparkSession, kind: str, files: list, cfg: ScanConfig, out: str)
     paths = [p[0] if kind == "paired" else p for p in files]
     # Names only: no file is opened for this.
     names = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"))
-    lines = report_lines(folded.withColumn("file", _plain(F.col("file"))), names.select(_plain(F.col("file")).alias("file")))
+    lines = report_lines(folded.withColumn("file", plain_path(F.col("file"))), names.select(plain_path(F.col("file")).alias("file")))
     lines.orderBy("file", "part", "rank").select("line").write.mode("overwrite").text(f"{out}/report")
     answer_lines(strand.merge_files(folded)).orderBy("rank").select("line").coalesce(1).write.mode("overwrite").text(f"{out}/answers")
 
 
-def _plain(path: Column) -> Column:
+def plain_path(path: Column) -> Column:
     """A local file's full path without its scheme; other stores keep theirs."""
     return F.regexp_replace(path, "^file:/+", "/")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions import alphabet as al
+from .ranks import with_rank
 
 # Rows printed from, answers from, votes by forward, total and ratio, ratio candidates, answers.
 PRINT_FROM, ANSWER_FROM = 10, 20
@@ -34,8 +35,8 @@ def report(folded: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The rows that are printed, with the order in their level as rank."""
     total = F.col("fwd") + F.col("bwd") + F.col("both")
     sign = F.when(F.col("fwd") > F.col("bwd"), "+").when(F.col("fwd") < F.col("bwd"), "-").otherwise("?")
-    order = Window.partitionBy(*by, "level").orderBy(F.desc("fwd"), F.desc("both"), "k", "kmer")
-    return folded.where(total >= PRINT_FROM).select(*by, "level", F.row_number().over(order).cast("long").alias("rank"), "k", al.decode(F.col("kmer")).alias("motif"), F.greatest("fwd", "bwd").alias("most"), F.least("fwd", "bwd").alias("least"), "both", sign.alias("sign"))
+    ranked = with_rank(folded.where(total >= PRINT_FROM).select(*by, "level", "k", "kmer", "fwd", "bwd", "both"), (*by, "level"), [F.desc("fwd"), F.desc("both"), "k", "kmer"])
+    return ranked.select(*by, "level", "rank", "k", al.decode(F.col("kmer")).alias("motif"), F.greatest("fwd", "bwd").alias("most"), F.least("fwd", "bwd").alias("least"), "both", sign.alias("sign"))
 
 
 def vote_scores(merged: DataFrame) -> DataFrame:
