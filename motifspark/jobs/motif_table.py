@@ -11,7 +11,7 @@ the settings of its scan: sums over files that were scanned differently are refu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ScanConfig
@@ -28,10 +28,14 @@ def settings(kind: str, cfg: ScanConfig) -> str:
     return f"{'long' if kind == 'long' else 'short'} {cfg.min_mer} to {cfg.max_mer}, {cfg.low_baseline} and {cfg.high_baseline}{cut}"
 
 
-def add_files(spark: SparkSession, table: str, kind: str, files: list, cfg: ScanConfig) -> None:
-    """Scan files (pairs for ``paired``) and put their motifs into the table in place of what it has of them."""
-    folded = strand.strand_fold(scan_fastq(spark, kind, files, cfg), cfg, ("file",))
-    names = fastq_index.listed(spark, [f[0] if kind == "paired" else f for f in files]).select("file").distinct()
+def add_files(spark: SparkSession, table: str, kind: str, files: list, cfg: ScanConfig, label: Column | None = None) -> None:
+    """Scan files (pairs for ``paired``) and put their motifs into the table in place of what it has of them.
+
+    label: what to tell files by instead of their path, of the column file; all files of a label are added together.
+    """
+    folded = strand.strand_fold(scan_fastq(spark, kind, files, cfg, label), cfg, ("file",))
+    names = fastq_index.listed(spark, [f[0] if kind == "paired" else f for f in files])
+    names = names.select((F.col("file") if label is None else label).alias("file")).distinct()
     rows = names.unionByName(folded, allowMissingColumns=True).withColumn("file", plain_path(F.col("file")))
     rows = rows.select("file", F.lit(settings(kind, cfg)).alias("settings"), "level", "k", "kmer", "fwd", "bwd", "both", F.md5("file").alias("part"))
     rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(table)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions import alphabet as al
+from ..functions import sql_functions
 from ..operators import kernel, scan, strand
-from ..sources import fastq
+from ..sources import fastq, fastq_index
 from ..sources import reads as rd
-from . import fastq_job, scan_sql
+from ..streaming import motif_stream
+from . import fastq_job, motif_table, numeric_sql, scan_sql
 
 CFG = ScanConfig()
 _ENC = scan_sql.ENC
@@ -150,12 +152,58 @@ def _fastq_scan(spark, sf_dir):
 
 def _fastq_report(spark, sf_dir):
     """The short reads, written as FASTQ files in two folders, and the report of the job over both."""
+    path = _written_by_file(spark, sf_dir)
+    scanned = fastq_job.scan_fastq(spark, "short", [f"{path}/even", f"{path}/odd"], CFG, label=_label())
+    return strand.report(strand.strand_fold(scanned, CFG, ("file",)), ("file",))
+
+
+def _fastq_pairs(spark, sf_dir):
+    """The mates, written as pairs of FASTQ files, and read in step from splits: how often each pair of sequences comes."""
+    path = f"{fastq.scratch_dir(spark)}/fastq/{uuid.uuid4().hex}"
+    dealt = rd.paired_reads(spark, sf_dir).repartition(8, "read_id").sortWithinPartitions("read_id")
+    for side in ("1", "2"):
+        fastq.write_fastq(dealt.select("read_id", F.col(f"seq{side}").alias("seq")), f"{path}/{side}")
+    of = lambda side: sorted(r["file"] for r in fastq_index.listed(spark, [f"{path}/{side}"]).select("file").collect())  # noqa: E731  in order of part
+    pairs = list(zip(of("1"), of("2"), strict=True))
+    return fastq.paired_reads(spark, *pairs, split_bytes=1 << 17, mark_bytes=1 << 14).groupBy("seq1", "seq2").agg(F.count("*").alias("reads"))
+
+
+def _label():
+    return F.regexp_extract("file", "/(even|odd)/[^/]*$", 1)
+
+
+def _written_by_file(spark, sf_dir):
+    """Folders even and odd with the short reads of even and of odd number."""
     path = f"{fastq.scratch_dir(spark)}/fastq/{uuid.uuid4().hex}"
     reads = rd.short_reads(spark, sf_dir).withColumn("file", F.expr(scan_sql.FILE_OF))
     for name in ("even", "odd"):
         fastq.write_fastq(reads.where(F.col("file") == name), f"{path}/{name}")
-    scanned = fastq_job.scan_fastq(spark, "short", [f"{path}/even", f"{path}/odd"], CFG, label=F.regexp_extract("file", "/(even|odd)/[^/]*$", 1))
-    return strand.report(strand.strand_fold(scanned, CFG, ("file",)), ("file",))
+    return path
+
+
+def _motif_table(spark, sf_dir):
+    """The short reads as two files, added one after the other to a table of motifs, the first one twice."""
+    path = _written_by_file(spark, sf_dir)
+    for name in ("even", "odd", "even"):
+        motif_table.add_files(spark, f"{path}/table", "short", [f"{path}/{name}"], CFG, _label())
+    return motif_table.merged(spark, f"{path}/table")
+
+
+def _motif_stream(spark, sf_dir):
+    """The files of the short reads, taken by a stream a few at a time. A motif that is its own other strand has -1 in each file, so -1 here."""
+    path = _written_by_file(spark, sf_dir)
+    motif_stream.watch(spark, f"{path}/*", f"{path}/table", f"{path}/checkpoint", "short", CFG, files_per_batch=8).awaitTermination()
+    return motif_table.merged(spark, f"{path}/table").withColumn("bwd", F.greatest("bwd", F.lit(-1).cast("long")))
+
+
+def _sql_only(query: str, **tables):
+    """A query in SQL alone over the session's motif functions."""
+
+    def run(spark, sf_dir):
+        sql_functions.register(spark)
+        return spark.sql(query, **{name: table(spark, sf_dir) for name, table in tables.items()})
+
+    return run
 
 
 def _run_length(column: str):
@@ -172,6 +220,11 @@ def _half_targets(spark, sf_dir):
 QUERIES = {name: q for name, (q, _) in _PROJECTIONS.items()} | {
     "fastq_scan": _fastq_scan,
     "fastq_report": _fastq_report,
+    "fastq_pairs": _fastq_pairs,
+    "motif_table": _motif_table,
+    "motif_stream": _motif_stream,
+    "sql_strand_canonical": _sql_only("select kmer, trm_strand_canonical(kmer) as strand from {motifs}", motifs=_motifs),
+    "sql_slice_long": _sql_only(f"select r.read_id, s.slice, s.seg from {{reads}} r, lateral trm_slices(r.seq, {CFG.slice_length}) s", reads=rd.long_reads),
     "split_halves": _split_halves,
     "reads_paired": _paired,
     "split_pair": _split_pair,
@@ -186,7 +239,7 @@ QUERIES = {name: q for name, (q, _) in _PROJECTIONS.items()} | {
     "distinct_bases": lambda s, d: _motifs(s, d).select("kmer", al.distinct_bases(F.col("kmer")).alias("bases")),
     "homopolymer_filter": lambda s, d: _motifs(s, d).where(~al.is_homopolymer(F.col("kmer"))),
     "short_period_filter": lambda s, d: _motifs(s, d).where(~al.has_short_period(F.col("kmer"), CFG.min_mer)),
-    "kmer_counts": lambda s, d: _modes(s, d).select("read_id", "k", "motifs", "squares"),
+    "kmer_counts": lambda s, d: _modes(s, d).select("read_id", "k", "motifs", "squares", "by_count", "by_square"),
     "segment_mode": lambda s, d: _modes(s, d).select("read_id", "k", "total", "most", "kmer"),
     "target_k": _half_targets,
     "read_target": lambda s, d: scan.scan_targets(rd.short_reads(s, d), CFG),
@@ -220,15 +273,25 @@ ORACLE_SQL = {name: sql for name, (_, sql) in _PROJECTIONS.items()} | {
     "distinct_bases": scan_sql.MOTIFS + " select kmer, " + " + ".join(f"contains(kmer, '{d}')::int" for d in "0123") + " as bases from motifs",
     "homopolymer_filter": scan_sql.MOTIFS + " select kmer from motifs where kmer <> repeat(kmer[1], k)",
     "short_period_filter": scan_sql.MOTIFS + f" select kmer from motifs where not {scan_sql.short_period('kmer')}",
-    "kmer_counts": f"select read_id, k, motifs, squares from ({scan_sql.MODES})",
-    "segment_mode": f"select read_id, k, total, most, kmer from ({scan_sql.MODES})",
+    "kmer_counts": numeric_sql.MODES + " select read_id, k, motifs, squares, by_count, by_square from modes",
+    "segment_mode": numeric_sql.MODES + f" select read_id, k, total, most, {numeric_sql.digits('lead')} as kmer from modes",
     "target_k": scan_sql.TARGET_K,
     "read_target": scan_sql.TARGETS + " select * from scanned",
+    "segment_check": numeric_sql.SEGMENT_CHECK,
+    "prefix_run": numeric_sql.RUNS + " select read_id, level, m as run from runs",
+    "suffix_run": numeric_sql.RUNS + " select read_id, level, p as run from runs",
     "short_scan": scan_sql.SCAN + " select * from scanned",
+    "paired_scan": numeric_sql.PAIRED_SCAN,
+    "long_scan": numeric_sql.LONG_SCAN,
     "strand_fold": scan_sql.FOLD + " select * from folded",
     "merge_files": scan_sql.FILES + " select * from merged",
     "motif_report": scan_sql.REPORT,
     "fastq_report": scan_sql.REPORT,
+    "fastq_pairs": _PAIRED_SQL + "select seq1, seq2, count(*) as reads from pairs group by all",
+    "motif_table": scan_sql.FILES + " select * from merged",
+    "motif_stream": scan_sql.FILES + ' select level, k, kmer, fwd, greatest(bwd, -1) as bwd, "both" from merged',
+    "sql_strand_canonical": scan_sql.MOTIFS + f" select kmer, least(kmer, {scan_sql.flipped('kmer')}) as strand from motifs",
+    "sql_slice_long": _SLICE_SQL,
     "vote_scores": scan_sql.VOTES + " select * from scores",
     "direction_call": scan_sql.CALLS + " select k, kmer, score, direction from calls",
     "putative_trm": scan_sql.PUTATIVE,

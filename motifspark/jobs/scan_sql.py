@@ -20,14 +20,11 @@ def flipped(motif: str) -> str:
 
 
 READS = f"with reads as ({rd.SHORT_SQL})"
-# Every valid window of every period over whole reads, with its least rotation.
+# Every valid window of every period over whole reads.
 WINDOWS = f"""{READS}, enc as (select read_id, {ENC} as enc from reads),
 tries as materialized (select read_id, k::int as k, enc from enc, range({CFG.min_mer}, {CFG.max_mer + 1}) t(k)),
 starts as (select read_id, k, enc, unnest(range(1, length(enc) - k + 2))::int as pos from tries),
-windows as (select read_id, k, pos, substr(enc, pos, k) as kmer from starts where not regexp_matches(substr(enc, pos, k), '[^0-3]')),
-canon as (select read_id, k, pos, kmer, {canonical("kmer")} as motif from windows)"""
-COUNTS = f"{WINDOWS}, counts as (select read_id, k, motif, count(*) as cnt, max(pos) as last from canon group by all)"
-MODES = f"{COUNTS} select read_id, k, sum(cnt)::bigint as total, count(*) as motifs, sum(cnt * cnt)::bigint as squares, max(cnt) as most, arg_min(motif, {{'a': -cnt, 'b': last}}) as kmer from counts group by read_id, k"
+windows as (select read_id, k, pos, substr(enc, pos, k) as kmer from starts where not regexp_matches(substr(enc, pos, k), '[^0-3]'))"""
 
 
 def _selected(parts: str) -> str:

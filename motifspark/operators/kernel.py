@@ -83,6 +83,11 @@ class Words:
         out = self.low == ones(min(self.k, 32))
         return out if self.high is None else out & (self.high == ones(self.k - 32))
 
+    def modulo(self, m: int) -> np.ndarray:
+        """The values as numbers of two bits a base, modulo m."""
+        low = (self.low % _U(m)).astype(np.int64)
+        return low if self.high is None else (low + (self.high % _U(m)).astype(np.int64) * ((1 << 64) % m)) % m
+
     def strings(self) -> np.ndarray:
         """Digits, one base a character, as numpy byte strings."""
         digits = np.empty((len(self.low), self.k), np.uint8)
@@ -244,13 +249,14 @@ def checked(df: DataFrame, segments: Column, cfg: ScanConfig) -> DataFrame:
     return df.withColumn("__segments", segments.cast("array<struct<seg:string,lo:int,hi:int>>")).mapInArrow(run, schema)
 
 
-MODES = "array<struct<k:int,total:bigint,motifs:bigint,squares:bigint,most:bigint,kmer:string>>"
+MODES = "array<struct<k:int,total:bigint,motifs:bigint,squares:bigint,by_count:bigint,by_square:bigint,most:bigint,kmer:string>>"
+MODULI = (1_000_000_007, 998_244_353)  # of the sums that tell which motifs were counted
 
 
 def _modes_of(texts: list[bytes], cfg: ScanConfig) -> tuple[np.ndarray, list[np.ndarray]]:
     """The segments, and the columns of MODES, of each segment and period with a window, in order of these."""
     n, run = len(texts), _Run(texts)
-    owner, columns = [np.empty(0, np.int64)], [[np.empty(0, t) for t in (np.int32, np.int64, np.int64, np.int64, np.int64, "S1")]]
+    owner, columns = [np.empty(0, np.int64)], [[np.empty(0, t) for t in (np.int32, *[np.int64] * 6, "S1")]]
     for k, window in run.windows(cfg.max_mer):
         at = np.flatnonzero(run.valid >= k)
         if k < cfg.min_mer or not len(at):
@@ -258,8 +264,12 @@ def _modes_of(texts: list[bytes], cfg: ScanConfig) -> tuple[np.ndarray, list[np.
         segment = run.where[at]
         total = np.bincount(segment, minlength=n)
         got = _count(window.take(at), segment, at - run.begin[segment], n, total)
-        some = np.flatnonzero(total)
-        sums = [np.bincount(got.segment, w, n).astype(np.int64)[some] for w in (None, got.count**2)]
+        some, words = np.flatnonzero(total), got.words
+        sums = []
+        for weight in (1, got.count**2, got.count * words.modulo(MODULI[0])[got.motif], got.count**2 * words.modulo(MODULI[1])[got.motif]):
+            of = np.zeros(n, np.int64)
+            np.add.at(of, got.segment, weight)
+            sums.append(of[some])
         owner.append(some)
         columns.append([np.full(len(some), k, np.int32), total[some], *sums, got.top[some], got.words.take(got.lead[some]).strings()])
     order = np.argsort(np.concatenate(owner), kind="stable")
@@ -267,7 +277,7 @@ def _modes_of(texts: list[bytes], cfg: ScanConfig) -> tuple[np.ndarray, list[np.
 
 
 def modes(df: DataFrame, seq: str, cfg: ScanConfig) -> DataFrame:
-    """df without seq, and ``modes``: for each period with a valid window in seq the number of windows, of motifs, the sum of squared counts, the largest count and its motif."""
+    """df without seq, and ``modes``: for each period with a valid window in seq the number of windows, of motifs, the sum of squared counts, of count times motif and squared count times motif (as numbers modulo MODULI), the largest count and its motif."""
     keep = [c for c in df.columns if c != seq]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +288,7 @@ def modes(df: DataFrame, seq: str, cfg: ScanConfig) -> DataFrame:
                 texts = [(t or "").encode("latin-1", "replace") for t in batch.column(seq).to_pylist()]
                 owner, (*numbers, kmer) = _modes_of(texts, cfg)
                 arrays = [*(pa.array(x) for x in numbers), pa.array(kmer.tolist(), pa.binary()).cast(pa.string())]
-                rows = pa.StructArray.from_arrays(arrays, ["k", "total", "motifs", "squares", "most", "kmer"])
+                rows = pa.StructArray.from_arrays(arrays, ["k", "total", "motifs", "squares", "by_count", "by_square", "most", "kmer"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)), rows)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], [*keep, "modes"])
 

@@ -3,6 +3,7 @@
 import gzip
 import os
 import pathlib
+import random
 
 import pytest
 
@@ -61,6 +62,20 @@ def test_samples_hold_no_motif(spark, tmp_path, kind, top):
     assert all(x.startswith(">") for x in lines(spark, str(tmp_path / "out/report")))
 
 
+@pytest.mark.parametrize(("kind", "reads", "size"), [("short", 100, 150), ("long", 10, 1500)])
+@pytest.mark.parametrize("top", [32, 64])
+def test_reads_without_repeats_hold_no_motif(spark, tmp_path, kind, reads, size, top):
+    """Files of the shape of small samples: plain and packed, of reads without motifs."""
+    r = random.Random(size)
+    text = fastq(["".join(r.choices("ACGT", k=size)) for _ in range(reads)]).encode()
+    (tmp_path / "a.fastq").write_bytes(text)
+    (tmp_path / "b.fastq.gz").write_bytes(gzip.compress(text))
+    files = [str(tmp_path / "a.fastq"), str(tmp_path / "b.fastq.gz")]
+    fastq_job.run(spark, kind, files, ScanConfig(5, top), str(tmp_path / "out"))
+    assert lines(spark, str(tmp_path / "out/answers")) == [">Putative_TRM", "NO_PUTATIVE_TRM,-1"]
+    assert lines(spark, str(tmp_path / "out/report")) == [f">{level}:{os.path.realpath(f)}" for f in files for level in "HL"]
+
+
 @pytest.mark.parametrize("argv", [["short", "5", "32", "--out", "x"], ["long", "5", "32", "--fq1", "a", "--fq2", "b", "--out", "x"], ["short", "5", "32", "--fq1", "a", "--out", "x"], ["short", "2", "32", "a", "--out", "x"]])
 def test_wrong_arguments(argv):
     with pytest.raises(SystemExit):
