@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..operators import scan, strand
-from ..sources import fastq
+from ..sources import fastq, report_sink
 
 KINDS = ("short", "paired", "long")
 
@@ -54,8 +54,11 @@ def answer_lines(merged: DataFrame) -> DataFrame:
     return head.unionByName(answers.withColumn("line", line).select("rank", "line"))
 
 
-def run(spark: SparkSession, kind: str, files: list, cfg: ScanConfig, out: str) -> None:
-    """Scan the files once, then write ``out``/motifs (Parquet), ``out``/report and ``out``/answers (text)."""
+def run(spark: SparkSession, kind: str, files: list, cfg: ScanConfig, out: str, one_file: bool = False) -> None:
+    """Scan the files once, then write ``out``/motifs (Parquet), ``out``/report and ``out``/answers (text).
+
+    one_file: ``out``/report.txt instead of the last two, the report and then the answers.
+    """
     scanned = scan_fastq(spark, kind, files, cfg)
     strand.strand_fold(scanned, cfg, ("file",)).write.mode("overwrite").parquet(f"{out}/motifs")
     folded = spark.read.parquet(f"{out}/motifs")
@@ -63,8 +66,13 @@ def run(spark: SparkSession, kind: str, files: list, cfg: ScanConfig, out: str)
     # Names only: no file is opened for this.
     names = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"))
     lines = report_lines(folded.withColumn("file", plain_path(F.col("file"))), names.select(plain_path(F.col("file")).alias("file")))
+    answers = answer_lines(strand.merge_files(folded))
+    if one_file:
+        both = lines.select(F.lit(0).alias("block"), "*").unionByName(answers.select(F.lit(1).alias("block"), F.lit("").alias("file"), F.lit(0).alias("part"), F.col("rank").cast("long").alias("rank"), "line"))
+        report_sink.write_lines(both, ["block", "file", "part", "rank"], f"{out}/report.txt")
+        return
     lines.orderBy("file", "part", "rank").select("line").write.mode("overwrite").text(f"{out}/report")
-    answer_lines(strand.merge_files(folded)).orderBy("rank").select("line").coalesce(1).write.mode("overwrite").text(f"{out}/answers")
+    answers.orderBy("rank").select("line").coalesce(1).write.mode("overwrite").text(f"{out}/answers")
 
 
 def plain_path(path: Column) -> Column:
@@ -73,6 +81,10 @@ def plain_path(path: Column) -> Column:
 
 
 def parsed(argv: list[str] | None = None) -> tuple[str, list, ScanConfig, str]:
+    return _parsed(argv)[:4]
+
+
+def _parsed(argv: list[str] | None = None) -> tuple[str, list, ScanConfig, str, bool]:
     p = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     p.add_argument("kind", choices=("short", "long"))
     p.add_argument("min_mer", type=int)
@@ -84,6 +96,7 @@ def parsed(argv: list[str] | None = None) -> tuple[str, list, ScanConfig, str]:
     p.add_argument("-H", "--high_baseline", type=float, default=ScanConfig.high_baseline)
     p.add_argument("-s", "--slice_length", type=int, default=ScanConfig.slice_length)
     p.add_argument("--out", required=True)
+    p.add_argument("--one_file", action="store_true", help="report and answers as one text file")
     a = p.parse_args(argv)
     if len(a.fq1) != len(a.fq2):
         p.error("--fq1 and --fq2 must name as many files")
@@ -95,12 +108,11 @@ def parsed(argv: list[str] | None = None) -> tuple[str, list, ScanConfig, str]:
         cfg = ScanConfig(a.min_mer, a.max_mer, a.low_baseline, a.high_baseline, a.slice_length)
     except ValueError as e:
         p.error(str(e))
-    return ("paired", list(zip(a.fq1, a.fq2, strict=True)), cfg, a.out) if a.fq1 else (a.kind, a.files, cfg, a.out)
+    return ("paired", list(zip(a.fq1, a.fq2, strict=True)), cfg, a.out, a.one_file) if a.fq1 else (a.kind, a.files, cfg, a.out, a.one_file)
 
 
 def main() -> None:
-    kind, files, cfg, out = parsed()
-    run(SparkSession.builder.appName("motif scan").getOrCreate(), kind, files, cfg, out)
+    run(SparkSession.builder.appName("motif scan").getOrCreate(), *_parsed())
 
 
 if __name__ == "__main__":
