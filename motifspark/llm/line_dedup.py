@@ -19,6 +19,8 @@ id share the fate of equal lines at equal places; repeated rows stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +61,21 @@ def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 10, margin: float
     return met, sure.unionByName(near.join(exact.where(F.col("exact") >= min_sites), "h").select("h", "first"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once for a row and not wherever body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _without(lines: Column, removed: Column) -> Column:
-    gone = lambda x, i: F.exists(removed, lambda r: (r["line_no"] == i) & (r["h"] == F.xxhash64(x)))
-    return F.when(removed.isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~gone(x, i)))
+    """lines but those removed: the stretches between these, in order, so that the work grows with the lines alone."""
+
+    def between(own: Column) -> Column:
+        of_row = F.filter(own["removed"], lambda r: F.xxhash64(F.get(own["lines"], r["line_no"])) == r["h"])
+        edges = F.concat(F.array(F.lit(-1)), F.sort_array(F.transform(of_row, lambda r: r["line_no"])), F.array(F.size(own["lines"])))
+        stretch = lambda e, j: F.slice(own["lines"], F.get(e, j) + 2, F.get(e, j + 1) - F.get(e, j) - 1)
+        return _let(edges, lambda e: F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda j: stretch(e, j))))
+
+    return F.when(removed.isNull(), lines).otherwise(_let(F.struct(lines.alias("lines"), removed.alias("removed")), between))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, min_chars: int = 10, with_columns: bool = False) -> DataFrame:
