@@ -182,7 +182,6 @@ def _sent(unit: Unit) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            whole = whole.filter(whole.column("todo").is_valid())
             for batch, buf, off in tx.chunks([whole], chunk_bytes=1 << 21):
                 sums, bounds, starts, ends = unit.symbols(buf, off)
                 todo = batch.column("todo")
@@ -282,7 +281,7 @@ def copied_spans(own: DataFrame, unit: Unit, kernel: Callable, block_bytes: int
     """doc_id, row, spans: for each document with copied windows, spans of symbols that they cover (not merged)."""
     found = candidates(own, unit)
     todo = found.where("not copy").groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "windows", "key", "alone")).alias("todo"))
-    sent = own.join(todo, ["doc_id", "row"], "left").mapInArrow(_sent(unit), "key long, doc_id long, row long, pos long, windows int, data binary")
+    sent = own.join(todo, ["doc_id", "row"]).mapInArrow(_sent(unit), "key long, doc_id long, row long, pos long, windows int, data binary")
     spans = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(unit, kernel, block_bytes), "doc_id long, row long, start long, end long")
     outright = found.where("copy").selectExpr("doc_id", "row", "pos as start", f"pos + windows + {unit.window - 1} as end")
     return spans.unionByName(outright).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 
 from . import anchors as an
 
+JUMPS = 16  # rounds of pointer jumping before the tree
+
 
 def suffix_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes at starts by their first length bytes, ties kept, and each one's common prefix with the one before it.
@@ -64,20 +66,64 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.n
 def _agreement(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     """For each place of a suffix order the agreement with the nearest one before it that has a smaller text position; 0 without one.
 
-    Pointers jump: where the place pointed at has a larger position, go on from where that one points to.
+    Pointers jump: where the place pointed at has a larger position, go on from where that one points to. Most end in a few
+    rounds; the rest climb a tree of minima.
     """
     to = np.arange(-1, len(position) - 1)
     least = lcp.copy()
     wrong = np.flatnonzero(position[to] > position)
     wrong = wrong[to[wrong] >= 0]
-    while len(wrong):
+    for _ in range(JUMPS):
+        if not len(wrong):
+            break
         via = to[wrong]
         least[wrong], to[wrong] = np.minimum(least[wrong], least[via]), to[via]
         wrong = wrong[(to[wrong] >= 0) & (position[to[wrong]] > position[wrong])]
+    if len(wrong):
+        to[wrong], least[wrong] = _climbed(position, lcp, wrong)
     least[to < 0] = 0
     return least
 
 
+def _minima(x: np.ndarray, size: int) -> np.ndarray:
+    """A binary tree of minima over x, filled up to size leaves; node i has the children 2 i and 2 i + 1."""
+    tree = np.full(2 * size, np.iinfo(np.int64).max)
+    tree[size : size + len(x)] = x
+    while size > 1:
+        size //= 2
+        tree[size : 2 * size] = np.minimum(tree[2 * size : 4 * size : 2], tree[2 * size + 1 : 4 * size : 2])
+    return tree
+
+
+def _climbed(position: np.ndarray, lcp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the places at: the nearest one before with a smaller position (-1 without one), and the agreement with it."""
+    size = 1 << int(len(position) - 1).bit_length()
+    low, agree = _minima(position, size), _minima(lcp, size)
+    x, least, node = position[at], lcp[at].copy(), at + size
+    climbing = np.arange(len(at))
+    while len(climbing):  # up, until the neighbour on the left has a smaller position
+        right = (node[climbing] & 1) == 1
+        left = node[climbing] - 1
+        found = right & (node[climbing] > 1) & (low[left] < x[climbing])
+        passed = climbing[right & ~found]
+        least[passed] = np.minimum(least[passed], agree[node[passed] - 1])
+        node[climbing] = np.where(found, left, node[climbing] >> 1)
+        climbing = climbing[~found]
+        climbing = climbing[node[climbing] > 1]
+    some = np.flatnonzero(node > 1)
+    inner = some[node[some] < size]
+    while len(inner):  # down, as far right as there is a smaller one
+        right = 2 * node[inner] + 1
+        go = low[right] < x[inner]
+        passed = inner[~go]
+        least[passed] = np.minimum(least[passed], agree[right[~go]])
+        node[inner] = np.where(go, right, right - 1)
+        inner = inner[node[inner] < size]
+    to = np.full(len(at), -1)
+    to[some] = node[some] - size
+    return to, least
+
+
 def longest_previous(order: np.ndarray, lcp: np.ndarray, position: np.ndarray) -> np.ndarray:
     """The longest previous factor of each suffix: its longest agreement with one of a smaller position (distinct numbers)."""
     placed = position[order]
