@@ -24,9 +24,10 @@ is none, it backs off. No task holds more of the model than its block uses.
 
 Defined results: null text has its end token only; a null id is hashed as empty;
 repeated rows each count and each get their row; with no training text N and V are
-0 and unseen words share the whole mass. Words compare by 64-bit hashes, n-grams by
-``SPARE_BITS`` more bits than the logarithm of their number (64 at most), so that at
-any size of corpus one in 2**SPARE_BITS is expected to meet a stranger.
+0 and unseen words share the whole mass. Words compare by 64-bit hashes, so counts of
+words and base scores are whole. The model's n-grams compare by ``SPARE_BITS`` more
+bits than the logarithm of their number (64 at most), so that at any size of corpus one
+in 2**SPARE_BITS is expected to meet a stranger.
 """
 
 from __future__ import annotations
@@ -232,10 +233,25 @@ def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[at], np.add.reduceat(weight[order], at) if len(at) else np.empty(0, np.int64)
 
 
-def _own(token: np.ndarray, doc: np.ndarray, train: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes (without the last ``drop`` bits) of words, bigrams and trigrams, and their counts in training texts."""
-    u, v = _before(token, doc, 2), _before(token, doc, 1)
-    return _counted(np.concatenate([token, gram_hash(v, token), gram_hash(u, v, token)]) >> tx.U(drop), np.tile(train.astype(np.int64), 3))
+Counted = tuple[np.ndarray, np.ndarray]
+
+
+class Asked:
+    """What a block asks for: distinct hashes of its n-grams (without the last ``drop`` bits) and of its words (whole), and their counts in its training texts."""
+
+    def __init__(self, drop: int):
+        self.drop = drop
+        self.grams: list[Counted] = []
+        self.words: list[Counted] = []
+
+    def add(self, token: np.ndarray, doc: np.ndarray, train: np.ndarray) -> None:
+        u, v = _before(token, doc, 2), _before(token, doc, 1)
+        c = train.astype(np.int64)
+        self.words = _added(self.words, _counted(token, c))
+        self.grams = _added(self.grams, _counted(np.concatenate([gram_hash(v, token), gram_hash(u, v, token)]) >> tx.U(self.drop), np.tile(c, 2)))
+
+    def merged(self) -> tuple[Counted, Counted]:
+        return _merge(self.grams), _merge(self.words)
 
 
 def _slim(x: np.ndarray) -> bytes:
@@ -264,9 +280,29 @@ def _from_run(data: bytes, n: int, bound: int) -> np.ndarray:
     return high.astype(np.int64) << low_bits | unpack(words[:n_low], i, low_bits)
 
 
-def _answered(bound: int):
+class Ranges:
+    """Equal ranges of n-gram hashes, numbered from 0, and after them as many of word hashes."""
+
+    def __init__(self, bits: int, ranges: int):
+        self.ranges = ranges
+        self.bounds = -(-(1 << bits) // ranges), -(-(1 << 64) // ranges)
+
+    def bound(self, part: int) -> int:
+        return self.bounds[part >= self.ranges]
+
+    def cut(self, grams: Counted, words: Counted) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Number of a range, its hashes counted from its start, and their counts."""
+        for (k, c), bound, first in zip((grams, words), self.bounds, (0, self.ranges), strict=True):
+            part = (k // tx.U(bound)).astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(k) else np.empty(0, np.int64)
+            for a, b in zip(at.tolist(), np.append(at[1:], len(k)).tolist(), strict=True):
+                yield int(part[a]) + first, k[a:b] - tx.U(int(part[a]) * bound), c[a:b]
+
+
+def _answered(ranges: Ranges):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         """One range of hashes: for each block which of its hashes other blocks hold too, and their sums."""
+        bound = ranges.bound(key[0].as_py())
         n = t.column("n").to_pylist()
         cut = np.concatenate([[0], np.cumsum(n)]).tolist()
         k = np.concatenate([_from_run(x, m, bound) for x, m in zip(t.column("keys").to_pylist(), n, strict=True)])
@@ -337,25 +373,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     bits = min(64, (3 * every).bit_length() + SPARE_BITS)
-    ranges = max(16, 2 * blocks)
-    bound = -(-(1 << bits) // ranges)
+    ranges = Ranges(bits, max(16, 2 * blocks))
 
     def asked(key: tuple, t: pa.Table) -> pa.Table:
-        parts = []
+        own = Asked(64 - bits)
         for batch, buf, off in tx.chunks(t.to_batches()):
             token, doc = tokens(buf, off)
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            parts = _added(parts, _own(token, doc, train[doc], 64 - bits))
-        k, c = _merge(parts)
-        part = (k // tx.U(bound)).astype(np.int32)
-        cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), part[cut[:-1]].tolist(), strict=True))
-        keys = pa.array([_run(k[a:b] - tx.U(p * bound), bound) for a, b, p in spans], pa.binary())
-        own_counts = pa.array([_slim(c[a:b]) for a, b, _ in spans], pa.binary())
-        return pa.table({"block": pa.array(np.full(len(spans), key[0].as_py(), np.int32)), "part": pa.array(part[cut[:-1]]), "n": pa.array(np.diff(cut).astype(np.int32)), "keys": keys, "c": own_counts})
+            own.add(token, doc, train[doc])
+        rows = [(p, len(k), _run(k, ranges.bound(p)), _slim(c)) for p, k, c in ranges.cut(*own.merged())]
+        part, n, keys, c = zip(*rows, strict=True)
+        return pa.table({"block": pa.array(np.full(len(rows), key[0].as_py(), np.int32)), "part": pa.array(part, pa.int32()), "n": pa.array(n, pa.int32()), "keys": pa.array(keys, pa.binary()), "c": pa.array(c, pa.binary())})
 
     rows = placed.groupBy("block").applyInArrow(asked, "block int, part int, n int, keys binary, c binary")
-    answers = rows.groupBy("part").applyInArrow(_answered(bound), "block int, part int, n int, shared binary, c binary")
+    answers = rows.groupBy("part").applyInArrow(_answered(ranges), "block int, part int, n int, shared binary, c binary")
 
     def scored(key: tuple, t: pa.Table, a: pa.Table) -> pa.Table:
         return _scored(t, a, total, texts, mass, strength, 64 - bits)
@@ -368,18 +399,20 @@ def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, stren
     """texts: the number of training texts; drop: bits left out of hashes."""
     if not t.num_rows:
         return pa.table({n: pa.array([], kind) for n, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-    token, doc, own = [], [], []
+    token, doc, own = [], [], Asked(drop)
     n = 0
     for batch, buf, off in tx.chunks(t.to_batches()):
         of_chunk, row = tokens(buf, off)
         train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        own = _added(own, _own(of_chunk, row, train[row], drop))
+        own.add(of_chunk, row, train[row])
         token.append(of_chunk)
         doc.append((row + n).astype(np.int32))
         n += batch.num_rows
     token, doc = np.concatenate(token), np.concatenate(doc)
-    key, c = _merge(own)  # in order, as the ranges of hashes are
-    del own
+    grams, words = own.merged()  # in order, as the ranges of hashes are: n-grams, then words
+    c = np.concatenate([grams[1], words[1]])
+    key, word, word_c = grams[0], words[0], c[len(grams[0]) :]
+    del own, grams, words
     a = a.sort_by("part")
     shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(a.column("shared").to_pylist(), a.column("n").to_pylist(), strict=True)])
     c[shared.astype(bool)] = np.concatenate([_counts(x, int(np.unpackbits(np.frombuffer(y, np.uint8), count=k).sum())) for x, y, k in zip(a.column("c").to_pylist(), a.column("shared").to_pylist(), a.column("n").to_pylist(), strict=True)])
@@ -391,9 +424,7 @@ def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, stren
         return out
 
     # Symbols 1.. are the block's words; a level's place 0 is that of texts' starts.
-    word, symbol = np.unique(token, return_inverse=True)
-    symbol += 1
-    word_c = count(word)
+    symbol = np.searchsorted(word, token) + 1
     bits = int(len(word)).bit_length()
     base = np.log10((word_c + 0.5) / mass)
     p1 = np.concatenate([[1.0], (word_c + 0.5) / mass])

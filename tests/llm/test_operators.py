@@ -2,7 +2,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,6 +241,14 @@ def test_lm_scores_every_word_by_its_own_ngrams(spark):
     assert len(got) == len(texts) and all(abs(got[i] - score(x)) < 2e-4 * len(x) for i, x in enumerate(words))
 
 
+def test_lm_counts_of_words_are_whole_where_ngrams_are_cut(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 977}" for j in range(300))) for i in range(60)], "doc_id long, text string")
+    base = lambda: sorted((r.doc_id, r.n_known, r.train_tokens, r.base_score) for r in language_model.score_documents(docs, block_tokens=2000).collect())
+    want = base()
+    monkeypatch.setattr(language_model, "SPARE_BITS", 0)
+    assert base() == want
+
+
 def test_lm_scores_do_not_depend_on_blocks(spark):
     r = random.Random(9)
     texts = [" ".join(f"w{int(r.paretovariate(0.6)) % 4000}" for _ in range(r.randint(0, 60))) for _ in range(3000)]
@@ -392,6 +400,45 @@ def test_quality_verdict_equals_brute_force(spark):
     assert 0 < sum(r.kept for r in got.values()) < len(got)
 
 
+@pytest.mark.parametrize("jumps", [0, 1, 16])
+def test_agreements_with_smaller_positions_equal_plain_search(jumps, monkeypatch):
+    import numpy as np
+
+    def plain(p, lcp):
+        before = [next((j for j in range(i - 1, -1, -1) if p[j] < p[i]), None) for i in range(len(p))]
+        return [0 if j is None else int(lcp[j + 1 : i + 1].min()) for i, j in enumerate(before)]
+
+    monkeypatch.setattr(suffix_dedup, "JUMPS", jumps)
+    r = np.random.default_rng(3)
+    for n in (1, 2, 3, 8, 33, 200):
+        for p in (r.permutation(n), np.arange(n)[::-1].copy(), np.concatenate([np.arange(0, n, 2), np.arange(1, n, 2)[::-1]])):
+            lcp = r.integers(0, 20, n)
+            assert suffix_dedup._agreement(p, lcp).tolist() == plain(p, lcp)
+
+
+def test_line_dedup_of_long_texts_and_of_rows_that_share_an_id(spark):
+    """Lines in order, at both ends and side by side; equal places of rows that share an id; against plain counting."""
+    import random
+
+    r = random.Random(4)
+    hot = [f"boilerplate line {k}" for k in range(300)]
+    texts = ["\n".join(r.choice([r.choice(hot), f"own line {i} {j}", "", "short"]) for j in range(600)) for i in range(12)]
+    texts += ["\n".join(hot), "\n".join(hot[::-1]), hot[0], hot[0] + "\n" + hot[0], "", None]
+    rows = [(i, t, f"site {i}") for i, t in enumerate(texts)] + [(3, texts[4], "site 3"), (3, texts[3], "site 3")]
+    sites, first, at = defaultdict(set), {}, defaultdict(set)
+    for i, t, s in rows:
+        for n, x in enumerate((t or "").split("\n")):
+            if len(x.strip(" ")) >= 10:
+                sites[x].add(s)
+                first[x] = min(first.get(x, (i, n)), (i, n))
+                at[i].add((n, x))
+    gone = {(i, n, x) for i in at for n, x in at[i] if len(sites[x]) >= 8 and first[x] != (i, n)}
+    want = sorted((i, "\n".join(x for n, x in enumerate((t or "").split("\n")) if (i, n, x) not in gone)) for i, t, _ in rows)
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((x.doc_id, x.text) for x in got) == want
+    assert sum(x.n_removed for x in got) > 1000
+
+
 def test_line_dedup_removes_spread_lines_but_the_first(docs):
     got = by_id(line_dedup.line_dedup(docs))
     assert got[8]["n_removed"] == 0 and all(got[20 + i]["n_removed"] == 1 and got[20 + i]["text"] == f"note {i}\nend" for i in range(9))
