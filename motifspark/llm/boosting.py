@@ -8,12 +8,12 @@ import numpy as np
 class BoostedTrees:
     """Logistic loss; complete trees of one depth; splits on quantile bins."""
 
-    def __init__(self, trees: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 16, l2: float = 1.0):
+    def __init__(self, trees: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 16, l2: float = 1.0):
         self.trees, self.depth, self.rate, self.bins, self.l2 = trees, depth, rate, bins, l2
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         self.base = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
+        self.cuts = [self._cuts(x[:, j]) for j in range(x.shape[1])]
         binned = np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(self.cuts)], 1)
         score, self.model = np.full(len(y), self.base), []
         for _ in range(self.trees):
@@ -33,6 +33,11 @@ class BoostedTrees:
             score += leaf[node]
         return self
 
+    def _cuts(self, x: np.ndarray) -> np.ndarray:
+        """Between all values where they are few, so that rare ones count too; else quantiles."""
+        values = np.unique(x)
+        return (values[1:] + values[:-1]) / 2 if len(values) <= self.bins else np.unique(np.quantile(x, np.linspace(0, 1, self.bins + 1)[1:-1]))
+
     def _split(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
         best, out = 1e-9, (0, self.bins)
         total_g, total_h = g.sum(), h.sum()

@@ -17,7 +17,9 @@ Candidates are searched in every whole text; a generator is left out for a text
 where a byte that each of its matches needs is missing.
 
 Defined results: null text is empty; offsets are code points, ends exclusive; added
-spans inside a base span are left out; repeated rows are handled one by one.
+spans inside a base span or in another added one are left out; repeated rows are handled
+one by one. Where ids tie among those that lend pieces (null or repeated ids), which of
+their rows do is free.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from .boosting import BoostedTrees, isotonic
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("email_like", "ip_like", "number", "phone_like", "secret")
+ALIKE_WEIGHT = 3.0  # look-alikes for each personal string in texts, as thresholds reckon; planted are as many of both
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -123,6 +126,16 @@ def outside(cand: list[tuple[str, int, int]], base: list[tuple[str, int, int]])
     return [c for c in cand if (i := bisect_right(starts, c[1])) == 0 or reach[i - 1] < c[2]]
 
 
+def outermost(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that lie in no other; of equal ones the first by kind. By kind, then start."""
+    out, reach = [], -1
+    for kind, a, b in sorted(spans, key=lambda x: (x[1], -x[2], x[0])):
+        if b > reach:
+            out.append((kind, a, b))
+            reach = b
+    return sorted(out)
+
+
 def featured(s: str, kind: str, a: int, b: int) -> list[float]:
     got, before = s[a:b], s[max(0, a - 32) : a].lower()
     n = b - a
@@ -137,6 +150,7 @@ def featured(s: str, kind: str, a: int, b: int) -> list[float]:
         float(digits > 1 and luhn(_digits(got))), max((int(g) for g in groups if len(g) <= 9), default=0),
         max(map(len, words), default=0), len(words), sum(len(w) for w in words if w.islower()) / n,
         *(k in before for k in _KEYWORDS), a == 0 or s[a - 1].isspace(), b == len(s) or s[b].isspace(), a > 0 and s[a - 1] in "+($#\"'",
+        bool(re.match("[ .-]?[0-9]", s[b : b + 2])), bool(re.search("[0-9][ .-]?$", s[max(0, a - 2) : a])), got.startswith("AKIA"), a > 0 and s[a - 1].isalnum(), b < len(s) and s[b].isalnum(),
     ]
 
 
@@ -148,6 +162,10 @@ def planted(seed: int, n: int, pieces: list[str]) -> list[tuple[str, int, int, b
     any_of = lambda k, chars: "".join(r.choice(chars) for _ in range(k))
     hexa = lambda k: any_of(k, "0123456789abcdef")
     mixed = lambda k: any_of(k, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    checked = lambda k, right: next(d for d in iter(lambda: num(k), "") if luhn(d) == right)
+    fours = lambda right, mark: mark.join(re.findall("[0-9]{4}", checked(16, right)))
+    shout = lambda lo, hi: "".join(r.choice("BCDFGHKLMNPRSTVWZ") + r.choice("AEIOU") + r.choice(["", "", "N", "R", "S", "T", "CH"]) for _ in range(r.randint(lo, hi)))
     say = lambda *leads: r.choice([*leads, *leads, word(3, 8)])
     mark, quote = lambda: r.choice(["=", ": ", " = ", ":"]), lambda: r.choice(['"', ""])
     name, host = lambda: word(3, 9) + r.choice(["", "." + word(3, 9), num(2)]), lambda: word(3, 9)
@@ -156,12 +174,12 @@ def planted(seed: int, n: int, pieces: list[str]) -> list[tuple[str, int, int, b
         lambda: (say("mail", "contact") + " ", f"{name()}{r.choice(['[at]', ' [at] ', ' @ ', '(AT)'])}{host()}.{r.choice(['com', 'net', 'fr'])}"),
         lambda: (say("host", "server", "ip") + " ", ":".join(hexa(r.randint(1, 4)) for _ in range(8))),
         lambda: (say("device", "host") + " ", ":".join(hexa(2) for _ in range(6))),
-        lambda: (say("account", "card", "visa") + " ", f"{num(4)}.{num(4)}.{num(4)}.{num(4)}"),
+        lambda: (say("account", "card", "visa") + " ", fours(True, ".")),
         lambda: (r.choice(["account ", "account no ", "ssn ", "card "]), r.choice([num(r.randint(9, 12)), f"{num(3)}-{num(2)}-{num(4)}"])),
         lambda: (say("call", "phone", "tel") + " ", r.choice([f"{num(3)}-{num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"])),
         lambda: (r.choice(["password", "pwd", "passwd"]) + mark() + quote(), word(3, 8) + num(r.randint(2, 5)) + r.choice("!?#%") + word(1, 4)),
-        lambda: (r.choice(["token", "api_key", "secret", "api-key"]) + mark() + quote(), r.choice([hexa, mixed])(r.randint(20, 120))),
-        lambda: (say("key", "id") + " ", r.choice(["AKIA", any_of(4, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]) + any_of(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + r.choice(["", "0123456789"]))),
+        lambda: (r.choice(["token", "api_key", "secret", "api-key"]) + mark() + quote(), r.choice([hexa, mixed, lambda k: (hexa(8) * k)[:k]])(r.randint(20, r.choice([60, 120, 400])))),
+        lambda: (say("key", "id") + " ", r.choice(["AKIA" + any_of(16, upper + r.choice(["", "0123456789"])), any_of(4, upper) + any_of(16, upper + "0123456789")])),
         lambda: (say("bearer", "key") + " ", f"{mixed(20)}.{mixed(r.randint(40, 200))}.{mixed(43)}"),
         lambda: (say("key", "hash") + " ", hexa(r.choice([32, 40, 64, 96]))),
     ]
@@ -176,27 +194,31 @@ def planted(seed: int, n: int, pieces: list[str]) -> list[tuple[str, int, int, b
         lambda: (r.choice(["password", "token", "secret"]) + mark(), r.choice(["required", "optional", "<yours>", "changes", "expired", "******", "unknown"])),
         lambda: (r.choice(["token", "api_key"]) + mark() + quote(), r.choice(["a", "0", "x"]) * r.randint(20, 60)),
         lambda: (say("see", "the") + " ", r.choice(["A", "X", "0A"]) * 20),
-        lambda: (say("in", "under") + " ", "/".join(word(3, 9) for _ in range(r.randint(5, 9)))),
-        lambda: (say("so", "and") + " ", r.choice(["-", "_", "."]).join(word(3, 9) for _ in range(r.randint(5, 9)))),
+        lambda: (say("so", "and", "key") + " ", (lambda x: x * (1 + 15 // len(x)))(shout(3, 9)) if r.random() < 0.3 else shout(7, 11)),
+        lambda: (say("card", "visa", "no", "account") + " ", fours(False, r.choice(["-", " ", ".", ""]))),
+        lambda: (say("model", "serial", "lot") + " ", f"{word(2, 9)}{num(r.randint(8, 12))}{word(2, 9)}"),
+        lambda: (say("in", "under") + " ", "/".join(word(2, 12) for _ in range(r.randint(3, 9)))),
+        lambda: (say("so", "and") + " ", r.choice(["-", "_", "."]).join(word(2, 12) for _ in range(r.randint(3, 9)))),
     ]
     out = []
     for i in range(n):
-        lead, core = (alike if i % 2 else personal)[i // 2 % 12]()
+        real, kinds = i % 2 == 0, alike if i % 2 else personal
+        lead, core = kinds[i // 2 % len(kinds)]()
         piece = r.choice(pieces) if pieces else ""
         cut = piece.rfind(" ", 0, r.randint(0, len(piece))) + 1
         before = piece[:cut] + lead
-        out.append((before + core + ('"' if lead.endswith('"') else "") + " " + piece[cut:], len(before), len(before) + len(core), i % 2 == 0))
+        out.append((before + core + ('"' if lead.endswith('"') else "") + " " + piece[cut:], len(before), len(before) + len(core), real))
     return out
 
 
 def labelled(rows: list[tuple[str, int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the candidates that cover most of a planted string, or lie in it."""
+    """Features and labels of the candidates that cover most of a planted string, or lie in it; those that leave out over a tenth of one are no finds."""
     x, y = [], []
     for s, a, b, personal in rows:
         for kind, c, d in outside(proposals(s), base_spans(s)):
             if 2 * (min(b, d) - max(a, c)) > min(b - a, d - c):
                 x.append(featured(s, kind, c, d))
-                y.append(personal)
+                y.append(personal and 10 * (min(b, d) - max(a, c)) >= 9 * (b - a))
     return np.array(x, float), np.array(y, float)
 
 
@@ -215,10 +237,11 @@ class Redactor:
             mine = held[:, 0] == k
             order = np.argsort(-p[mine], kind="stable")
             q = p[mine][order]
-            right = np.cumsum(truth[mine][order]) / np.arange(1, mine.sum() + 1)
+            found = truth[mine][order]
+            right = np.cumsum(found) / np.cumsum(np.where(found > 0, 1, ALIKE_WEIGHT))
             last = np.append(q[1:] != q[:-1], True) if len(q) else np.empty(0, bool)  # equal scores are taken together
             good = np.flatnonzero((right >= precision) & last)
-            self.limits[kind] = float(max(0.5, q[good[-1]])) if len(good) else 2.0
+            self.limits[kind] = float(max(0.5, (q[good[-1]] + np.append(q, 0)[good[-1] + 1]) / 2)) if len(good) else 2.0  # half way to the next score, which is too low
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.trees.probability(x), *self.knots)
@@ -227,7 +250,7 @@ class Redactor:
         if not cand:
             return []
         p = self.probability(np.array([featured(s, *c) for c in cand], float))
-        return [c for c, q in zip(cand, p.tolist(), strict=True) if q >= self.limits[c[0]]]
+        return outermost([c for c, q in zip(cand, p.tolist(), strict=True) if q >= self.limits[c[0]]])
 
     def spans(self, s: str, have: set[str] | None = None) -> tuple[list, list]:
         have = needs(s) if have is None else have
@@ -249,7 +272,7 @@ def _worth(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
-def fitted(docs: DataFrame, sample_rows: int = 2000, seed: int = 5, precision: float = 0.9, made: int = 4800) -> Redactor:
+def fitted(docs: DataFrame, sample_rows: int = 2000, seed: int = 5, precision: float = 0.9, made: int = 7200) -> Redactor:
     """docs: doc_id, text. sample_rows: the bound on rows that lend a piece of text to the planted strings; made: how many of these."""
     hashed = docs.select(F.xxhash64("doc_id").alias("h"), "text")
     last = hashed.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]  # hashes only, so that no partition sends texts
