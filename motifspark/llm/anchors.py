@@ -6,17 +6,19 @@ choose equal anchors at equal places. Neighbouring windows that choose the same
 anchor form one context. Equal windows can only lie in contexts of one anchor:
 
 1. ``contexts`` lists all contexts of a document (a few for each 100 symbols).
-2. ``candidates`` shuffles them by anchor. A context equal to an earlier one is a
-   copy outright. Of the first ones, those whose anchor has other contexts too are
-   left to be compared window by window.
-3. ``compare`` brings the symbols of these to one task for each anchor, where an
-   operator's kernel tells which windows stand earlier. An anchor with many
+2. ``candidates`` shuffles them by anchor and lists who is to meet whom: the first
+   of equal contexts meets the other contexts of its anchor; equal contexts form a
+   tree by their order, in which each one is the reference of the next ``FAN`` and
+   meets the earlier one that is its own.
+3. ``copied_spans`` brings the symbols of these to one task for each meeting, where
+   an operator's kernel tells which windows stand earlier. An anchor with many
    different contexts (the edge of a widely shared passage) doesn't meet in one
    task: its windows travel one by one, keyed by their own hash.
 
-Before the first shuffle, each chunk of documents keeps one row for each equal
-context; the others are known copies and are spread at random. Anchors that occur
-often in a chunk send one row to the anchor's key and spread the rest by context.
+Before the first shuffle, each chunk of documents is its own reference: the kernel
+compares equal contexts of the chunk where they are read, and the runs that it finds
+travel as spans; one of equal contexts goes on. Anchors that occur often in a chunk
+send one row to the anchor's key and spread the rest by context.
 
 Each row is a document, told apart by its id and a 64-bit hash of its text, and
 ordered by them; a null id comes first. Of rows equal in both one is searched, and
@@ -39,6 +41,7 @@ from .storage import materialize
 NO_ID = -(2**63)
 OFTEN_IN_CHUNK = 3
 MANY_CONTEXTS = 512
+FAN = 128  # later copies that one context is the reference of
 FIRST, SPREAD, COPY = 0, 1, 2
 _POSITION_BITS = 24
 
@@ -123,25 +126,63 @@ def row_hashes(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("row").to_numpy(zero_copy_only=False)
 
 
-def _keyed(unit: Unit) -> Callable:
-    """Arrow batches of doc_id, text, row to key, ctx, doc_id, row, at (position, window count, state)."""
+def _decided(kernel: Callable, window: int, key, document, pos, count, buf, off) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that the kernel finds earlier as runs: context, start and end (in the document) of each."""
+    c, p = kernel(key, document, pos, count, buf, off)
+    order = np.lexsort((p, c))
+    c, p = c[order], p[order]
+    goes_on = (c[1:] == c[:-1]) & (p[1:] == p[:-1] + 1)
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(c)), bool), ~goes_on]))
+    last = np.flatnonzero(np.concatenate([~goes_on, np.ones(min(1, len(c)), bool)]))
+    c, p, q = c[new], p[new], p[last]
+    return c, pos[c] + p, pos[c] + q + window
+
+
+def _sliced(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of [a, b) side by side, and their offsets."""
+    off = np.concatenate([[0], np.cumsum(b - a)])
+    return buf[np.repeat(a - off[:-1], b - a) + np.arange(off[-1])], off
+
+
+def _keyed(unit: Unit, kernel: Callable) -> Callable:
+    """Arrow batches of doc_id, text, row to key, ctx, doc_id, row, at (position, window count, state).
+
+    In the rows of a span that the chunk itself has earlier (COPY), ctx is the number of windows.
+    """
+
+    def within(doc, pos, count, ctx, again, rank, bounds, buf, starts, ends):
+        """Spans of the contexts ``again`` that the kernel finds in equal contexts of the chunk."""
+        of_copies = np.flatnonzero(np.isin(ctx, ctx[again]))
+        mine = of_copies[np.lexsort((pos[of_copies], rank[doc[of_copies]], ctx[of_copies]))]
+        a = bounds[doc[mine]] + pos[mine]
+        b = a + count[mine] + unit.window - 1
+        a, b = (a, b) if starts is None else (starts[a], ends[b - 1])
+        c, start, end = _decided(kernel, unit.window, ctx[mine], rank[doc[mine]], pos[mine], count[mine], *_sliced(buf, a, b))
+        return merged(doc[mine][c], start, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, off in tx.chunks(batches, chunk_bytes=1 << 21):
-            sums, bounds, _, _ = unit.symbols(buf, off)
+            sums, bounds, starts, ends = unit.symbols(buf, off)
             doc, pos, count, anchor, ctx = contexts(sums, bounds, unit)
             if not len(doc):
                 continue
-            ident = ids(batch)[doc]
-            text = row_hashes(batch)[doc]
+            every, text_of = ids(batch), row_hashes(batch)
+            ident, text = every[doc], text_of[doc]
             order = np.lexsort((pos, text, ident, ctx))
             new = np.concatenate([[True], ctx[order][1:] != ctx[order][:-1]])
             head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-            again = (ident[order] != ident[head]) | (text[order] != text[head])  # a copy has an equal context in a document before its own
+            again = (ident[order] != ident[head]) | (text[order] != text[head])  # it has an equal context in a document before its own
             if unit.same_document:
                 again |= pos[order] != pos[head]
+            copies = order[again]
+            spans = (np.empty(0, np.int64),) * 3
+            if len(copies):
+                by = np.lexsort((text_of, every))
+                rank = np.empty(len(every), np.int64)  # equal rows share one
+                rank[by] = np.cumsum(np.concatenate([[False], (every[by][1:] != every[by][:-1]) | (text_of[by][1:] != text_of[by][:-1])]))
+                spans = within(doc, pos, count, ctx, copies, rank, bounds, buf, starts, ends)
             state = np.full(len(doc), FIRST)
-            state[order[again]] = COPY
+            state[copies] = COPY
             left = np.flatnonzero(state == FIRST)
             _, inverse, n = np.unique(anchor[left], return_inverse=True, return_counts=True)
             head = np.zeros(len(n), np.int64)
@@ -151,29 +192,37 @@ def _keyed(unit: Unit) -> Callable:
             state[left[often]] = SPREAD
             rest = left[often & (head[inverse] != np.arange(len(left)))]
             key[rest] = tx.mix(ctx[rest])
-            copies = state == COPY
-            key[copies] = tx.mix(ident[copies].astype(np.uint64) * tx.U(0x9E3779B97F4A7C15) + text[copies].view(np.uint64) + pos[copies].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(key)), pa.array(tx.signed(ctx)), pa.array(ident), pa.array(text), pa.array((pos << 10) | (count << 2) | state)], ["key", "ctx", "doc_id", "row", "at"])
+            of, start, end = spans
+            spread = tx.mix(every[of].astype(np.uint64) * tx.U(0x9E3779B97F4A7C15) + text_of[of].view(np.uint64) + start.astype(np.uint64))
+            columns = [
+                (tx.signed(key[left]), tx.signed(spread)), (tx.signed(ctx[left]), end - start - unit.window + 1), (ident[left], every[of]), (text[left], text_of[of]),
+                ((pos[left] << 10) | (count[left] << 2) | state[left], start << 10 | COPY),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["key", "ctx", "doc_id", "row", "at"])
 
     return run
 
 
-def candidates(own: DataFrame, unit: Unit) -> DataFrame:
-    """doc_id, row, pos, windows, key, copy, alone: the contexts that are copies, and those to be compared.
+def candidates(own: DataFrame, unit: Unit, kernel: Callable) -> DataFrame:
+    """doc_id, row, pos, windows, meet: spans found in their own chunks (meet is empty), and contexts with all their meetings.
 
-    alone: their windows travel one by one. Written to the shared folder, as it is read twice.
+    A meeting has a key and alone: whether its windows travel one by one. Written to the shared folder, as it is read twice.
     """
-    rows = own.mapInArrow(_keyed(unit), "key long, ctx long, doc_id long, row long, at long")
+    rows = own.mapInArrow(_keyed(unit, kernel), "key long, ctx long, doc_id long, row long, at long")
     in_order = "doc_id, row, at >> 10" if unit.same_document else "doc_id, row"
     seen = rows.selectExpr(
         "key", "ctx", "doc_id", "row", "at", "cast(at & 3 as int) as state",
-        f"rank() over (partition by key, ctx order by {in_order}) as nth",
+        f"dense_rank() over (partition by key, ctx order by {in_order}) as nth", "count(*) over (partition by key, ctx) as equals",
         "count(*) over (partition by key) as n", "max(at & 3) over (partition by key) as state_of_key",
         "min(ctx) over (partition by key) as low", "max(ctx) over (partition by key) as high",
     )
-    copy = f"(state = {COPY} or nth > 1)"
-    kept = seen.where(f"{copy} or state_of_key = {SPREAD} or low <> high")
-    return materialize(kept.selectExpr("doc_id", "row", "at >> 10 as pos", "cast((at >> 2) & 255 as int) as windows", "key", f"{copy} as copy", f"(state_of_key = {SPREAD} or n > {MANY_CONTEXTS}) as alone"))
+    meeting = lambda key, alone: f"struct({key} as key, {alone} as alone)"
+    with_anchor = f"if(nth = 1 and (state_of_key = {SPREAD} or low <> high), {meeting('key', f'(state_of_key = {SPREAD} or n > {MANY_CONTEXTS})')}, null)"
+    with_earlier = f"if(nth > 1, {meeting(f'xxhash64(key, ctx, cast((nth - 2) div {FAN} + 1 as long))', 'false')}, null)"
+    with_later = f"if(equals > {FAN} * cast(nth - 1 as long) + 1, {meeting('xxhash64(key, ctx, cast(nth as long))', 'false')}, null)"
+    meet = f"if(state = {COPY}, array(), array_compact(array({with_anchor}, {with_earlier}, {with_later})))"
+    out = seen.selectExpr("doc_id", "row", "at >> 10 as pos", f"if(state = {COPY}, ctx, (at >> 2) & 255) as windows", "state", f"{meet} as meet")
+    return materialize(out.where(f"state = {COPY} or size(meet) > 0").drop("state"))
 
 
 def _sent(unit: Unit) -> Callable:
@@ -237,8 +286,8 @@ def _compared(unit: Unit, kernel: Callable, block_bytes: int) -> Callable:
             document = np.empty(len(at), np.int64)  # its place in the order of documents
             order = np.lexsort((text[at], ident[at]))
             document[order] = np.cumsum(np.concatenate([[False], (ident[at][order][1:] != ident[at][order][:-1]) | (text[at][order][1:] != text[at][order][:-1])]))
-            c, p = kernel(key[at], document, pos[at], count[at].astype(np.int64), buf, off)
-            out.append(np.stack([ident[at][c], text[at][c], pos[at][c] + p, pos[at][c] + p + unit.window]))
+            c, start, end = _decided(kernel, unit.window, key[at], document, pos[at], count[at].astype(np.int64), buf, off)
+            out.append(np.stack([ident[at][c], text[at][c], start, end]))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in np.hstack(out)], ["doc_id", "row", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,12 +328,13 @@ def merged(ident: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 def copied_spans(own: DataFrame, unit: Unit, kernel: Callable, block_bytes: int = 1 << 21) -> DataFrame:
     """doc_id, row, spans: for each document with copied windows, spans of symbols that they cover (not merged)."""
-    found = candidates(own, unit)
-    todo = found.where("not copy").groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "windows", "key", "alone")).alias("todo"))
+    found = candidates(own, unit, kernel)
+    meetings = found.select("doc_id", "row", "pos", "windows", F.explode("meet").alias("m")).select("doc_id", "row", "pos", F.col("windows").cast("int").alias("windows"), "m.key", "m.alone")
+    todo = meetings.groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "windows", "key", "alone")).alias("todo"))
     sent = own.join(todo, ["doc_id", "row"]).mapInArrow(_sent(unit), "key long, doc_id long, row long, pos long, windows int, data binary")
     spans = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(unit, kernel, block_bytes), "doc_id long, row long, start long, end long")
-    outright = found.where("copy").selectExpr("doc_id", "row", "pos as start", f"pos + windows + {unit.window - 1} as end")
-    return spans.unionByName(outright).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    near = found.where("size(meet) = 0").selectExpr("doc_id", "row", "pos as start", f"pos + windows + {unit.window - 1} as end")
+    return spans.unionByName(near).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def per_document(own: DataFrame, unit: Unit, spans: DataFrame, judge: Callable, schema: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Substring dedup of word sequences by relative Lempel-Ziv parsing.
 
 Each document is factored against the documents with smaller ids. The reference
-reaches a task in blocks: the contexts of one anchor (``anchors``) from every
-document, indexed by their windows of ``window`` words. A document's context is
+reaches a task in blocks: the different contexts of one anchor (``anchors``) from every
+document, or a context and later ones equal to it, indexed by their windows of
+``window`` words. A document's context is
 parsed greedily: where a window stands in the reference the factor is extended
 word by word as far as its source agrees; factors of ``window`` words or more are
 duplicate spans. Parsing goes on ``window`` - 1 words before a factor's end, so

@@ -8,9 +8,8 @@ the earlier texts that agree with it longest; the longer of both agreements is i
 longest previous factor. Windows whose factor is ``window`` bytes long are removed,
 wherever they overlap, and the first of equals has none, so it stays.
 
-Of contexts that are equal as a whole (equal 64-bit hashes under an equal anchor) the
-first alone goes into a block: the others' windows have an equal one earlier, at the
-same place in the first. They are the bulk of exact copies.
+Contexts that are equal as a whole, the bulk of exact copies, go into blocks with an
+earlier one of theirs: within the chunk where they are read, else by a tree of copies.
 
 Defined results: null text is empty; matches never cross documents; the result
 doesn't depend on partitioning; for null and repeated ids see ``anchors``. The
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from . import anchors as an
 
 JUMPS = 16  # rounds of pointer jumping before the tree
+_PLACE_BITS = 40
 
 
 def suffix_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,10 +47,13 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.n
             word <<= np.uint64(8)
             if at + b < length:
                 word |= padded[base + b]
-        run = np.cumsum(new[open_])
-        sort = np.lexsort((word, run))
-        order[open_] = order[open_][sort]
-        word, run = word[sort], run[sort]
+        run = np.cumsum(new[open_]) - 1
+        mixed = np.zeros(run[-1] + 1 if len(run) else 0, bool)  # runs of copies are in order as they are
+        mixed[run[1:][(word[1:] != word[:-1]) & (run[1:] == run[:-1])]] = True
+        some = np.flatnonzero(mixed[run])
+        if len(some):
+            sort = some[np.lexsort((word[some], run[some]))]
+            order[open_[some]], word[some] = order[open_[sort]], word[sort]
         split = np.flatnonzero(np.concatenate([[False], (word[1:] != word[:-1]) & (run[1:] == run[:-1])]))
         new[open_[split]] = True
         apart = word[split] ^ word[split - 1]
@@ -138,11 +141,11 @@ def kernel(window: int):
     def run(key, ident, pos, count, buf, off):
         ctx = np.repeat(np.arange(len(count)), count)
         shift = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
+        # A text position as (document, place). A context can be here for two meetings, so each place is taken once.
+        position, once = np.unique(ident[ctx] << _PLACE_BITS | (pos[ctx] + shift), return_index=True)
+        ctx, shift = ctx[once], shift[once]
         order, lcp = suffix_order(buf, off[ctx] + shift, window)
-        rank = np.empty(len(count), np.int64)
-        rank[np.lexsort((pos, ident))] = np.arange(len(count))
-        # A text position as (document, offset); contexts of one document don't overlap in their windows' starts.
-        hit = longest_previous(order, lcp, rank[ctx] * (1 << 8) + shift) >= window
+        hit = longest_previous(order, lcp, position) >= window
         return ctx[hit], shift[hit]
 
     return run

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from motifspark.llm import chat_format, decontamination, language_model, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, suffix_dedup
+from motifspark.llm import anchors, chat_format, decontamination, language_model, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, a long, spans string, key string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -89,6 +89,38 @@ def test_substring_dedup_equals_brute_force(docs, rows):
         assert got[i]["kept"] == " ".join(x for x, g in zip(w, gone, strict=True) if not g), i
 
 
+def _windows(spans, window):
+    return sum(len({p for s in r.spans for p in range(s.start, s.end - window + 1)}) for r in spans.collect())
+
+
+def test_dedup_on_given_documents_is_the_kernels(spark):
+    """All of a table: results of brute force; and of the windows found, nine tenths at least are found by the operator's kernel."""
+    import numpy as np
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(6)
+    table = [tuple(r) for r in docs.collect()]
+    test_suffix_dedup_equals_brute_force(docs, table)
+    test_substring_dedup_equals_brute_force(docs, table)
+    nothing = lambda *columns: (np.empty(0, np.int64), np.empty(0, np.int64))
+    own = anchors.own_rows(docs, "doc_id", "text")
+    for unit, kernel in ((anchors.Unit("word", 50, 24, False), substring_dedup.kernel(50)), (anchors.Unit("byte", 100, 32, True), suffix_dedup.kernel(100))):
+        found, without = (_windows(anchors.copied_spans(own, unit, k), unit.window) for k in (kernel, nothing))
+        assert found > 1000 and without <= found // 10
+
+
+@pytest.mark.parametrize("fan", [1, 3])
+def test_dedup_of_many_copies_in_many_chunks(spark, monkeypatch, fan):
+    """Copies meet in a tree, whatever its fan: each later one goes, the first stays, repeats within a text count in op2 alone."""
+    monkeypatch.setattr(anchors, "FAN", fan)
+    r = random.Random(5)
+    body = " ".join(f"w{r.randrange(400)}" for _ in range(150))
+    table = [(i, f"{i} {body} {i}" if i % 2 else f"{body} {body}" if i % 3 else body) for i in range(24)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(24)
+    test_suffix_dedup_equals_brute_force(docs, table)
+    test_substring_dedup_equals_brute_force(docs, table)
+
+
 def test_dedup_tells_rows_of_one_id_apart(spark):
     """Repeated rows keep their first copy; null and shared ids don't lend their spans to other texts."""
     own = [" ".join(f"{c}{i}" for i in range(70)) for c in "pqrs"]
