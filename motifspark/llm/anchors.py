@@ -127,10 +127,8 @@ def row_hashes(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _decided(kernel: Callable, window: int, key, document, pos, count, buf, off) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows that the kernel finds earlier as runs: context, start and end (in the document) of each."""
+    """The windows that the kernel finds earlier, as runs in the order it gives them: context, start and end (in the document) of each."""
     c, p = kernel(key, document, pos, count, buf, off)
-    order = np.lexsort((p, c))
-    c, p = c[order], p[order]
     goes_on = (c[1:] == c[:-1]) & (p[1:] == p[:-1] + 1)
     new = np.flatnonzero(np.concatenate([np.ones(min(1, len(c)), bool), ~goes_on]))
     last = np.flatnonzero(np.concatenate([~goes_on, np.ones(min(1, len(c)), bool)]))

@@ -31,9 +31,10 @@ _PLACE_BITS = 40
 def suffix_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes at starts by their first length bytes, ties kept, and each one's common prefix with the one before it.
 
-    Eight bytes at a time; only runs that are still equal are ordered further.
+    Eight bytes at a time; only runs that are still equal are ordered further, and of these only the mixed ones.
     """
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, ">u8", padded, 0, (1,))  # the eight bytes from each place on
     order = np.arange(len(starts))
     lcp = np.full(len(starts), length)
     lcp[:1] = 0
@@ -41,20 +42,24 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.n
     new[:1] = True
     open_ = np.arange(len(starts))  # places in the order that are still tied
     for at in range(0, length, 8):
-        word = np.zeros(len(open_), np.uint64)
-        base = starts[order[open_]] + at
-        for b in range(8):
-            word <<= np.uint64(8)
-            if at + b < length:
-                word |= padded[base + b]
-        run = np.cumsum(new[open_]) - 1
-        mixed = np.zeros(run[-1] + 1 if len(run) else 0, bool)  # runs of copies are in order as they are
-        mixed[run[1:][(word[1:] != word[:-1]) & (run[1:] == run[:-1])]] = True
-        some = np.flatnonzero(mixed[run])
-        if len(some):
+        word = eight[starts[order[open_]] + at].astype(np.uint64)
+        if at + 8 > length:
+            word &= np.uint64((1 << 64) - (1 << 8 * (at + 8 - length)))
+        first = new[open_]
+        differs = (word[1:] != word[:-1]) & ~first[1:]
+        if not differs.any():
+            continue
+        run = np.cumsum(first) - 1
+        if at:
+            mixed = np.zeros(run[-1] + 1, bool)
+            mixed[run[1:][differs]] = True
+            some = np.flatnonzero(mixed[run])
             sort = some[np.lexsort((word[some], run[some]))]
             order[open_[some]], word[some] = order[open_[sort]], word[sort]
-        split = np.flatnonzero(np.concatenate([[False], (word[1:] != word[:-1]) & (run[1:] == run[:-1])]))
+        else:
+            order = np.argsort(word, kind="stable")
+            word = word[order]
+        split = np.flatnonzero(np.concatenate([[False], (word[1:] != word[:-1]) & ~first[1:]]))
         new[open_[split]] = True
         apart = word[split] ^ word[split - 1]
         lcp[open_[split]] = at + sum(((apart >> np.uint64(64 - 8 * b)) == 0).astype(np.int64) for b in range(1, 8))
@@ -66,16 +71,18 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.n
     return order, lcp
 
 
-def _agreement(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+def _agreement(position: np.ndarray, lcp: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
     """For each place of a suffix order the agreement with the nearest one before it that has a smaller text position; 0 without one.
 
     Pointers jump: where the place pointed at has a larger position, go on from where that one points to. Most end in a few
-    rounds; the rest climb a tree of minima.
+    rounds; the rest climb a tree of minima. Places that are known need no answer and get 0.
     """
     to = np.arange(-1, len(position) - 1)
     least = lcp.copy()
     wrong = np.flatnonzero(position[to] > position)
     wrong = wrong[to[wrong] >= 0]
+    if known is not None:
+        wrong = wrong[~known[wrong]]
     for _ in range(JUMPS):
         if not len(wrong):
             break
@@ -85,6 +92,8 @@ def _agreement(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     if len(wrong):
         to[wrong], least[wrong] = _climbed(position, lcp, wrong)
     least[to < 0] = 0
+    if known is not None:
+        least[known] = 0
     return least
 
 
@@ -127,11 +136,11 @@ def _climbed(position: np.ndarray, lcp: np.ndarray, at: np.ndarray) -> tuple[np.
     return to, least
 
 
-def longest_previous(order: np.ndarray, lcp: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """The longest previous factor of each suffix: its longest agreement with one of a smaller position (distinct numbers)."""
+def longest_previous(order: np.ndarray, lcp: np.ndarray, position: np.ndarray, most: int) -> np.ndarray:
+    """The longest previous factor of each suffix: its longest agreement, of ``most`` bytes at most, with one of a smaller position (distinct numbers)."""
     placed = position[order]
     before = _agreement(placed, lcp)
-    after = _agreement(placed[::-1], np.concatenate([[0], lcp[:0:-1]]))[::-1]
+    after = _agreement(placed[::-1], np.concatenate([[0], lcp[:0:-1]]), (before >= most)[::-1])[::-1]
     out = np.empty(len(order), np.int64)
     out[order] = np.maximum(before, after)
     return out
@@ -139,14 +148,17 @@ def longest_previous(order: np.ndarray, lcp: np.ndarray, position: np.ndarray) -
 
 def kernel(window: int):
     def run(key, ident, pos, count, buf, off):
+        by = np.lexsort((pos, ident))  # in order of position equal windows stay so in the suffix order, next to their factor
+        ident, pos, count, begin = ident[by], pos[by], count[by], off[:-1][by]
         ctx = np.repeat(np.arange(len(count)), count)
         shift = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
-        # A text position as (document, place). A context can be here for two meetings, so each place is taken once.
-        position, once = np.unique(ident[ctx] << _PLACE_BITS | (pos[ctx] + shift), return_index=True)
-        ctx, shift = ctx[once], shift[once]
-        order, lcp = suffix_order(buf, off[ctx] + shift, window)
-        hit = longest_previous(order, lcp, position) >= window
-        return ctx[hit], shift[hit]
+        position = ident[ctx] << _PLACE_BITS | (pos[ctx] + shift)  # (document, place)
+        if np.any(position[1:] <= position[:-1]):  # a context can be here for two meetings; each place is taken once
+            position, once = np.unique(position, return_index=True)
+            ctx, shift = ctx[once], shift[once]
+        order, lcp = suffix_order(buf, begin[ctx] + shift, window)
+        hit = longest_previous(order, lcp, position, window) >= window
+        return by[ctx[hit]], shift[hit]
 
     return run
 

@@ -72,9 +72,9 @@ def test_longest_previous_factors_equal_brute_force(length):
         common = lambda x, y: next((k for k in range(length) if x[k] != y[k]), length)
         assert lcp[1:].tolist() == [common(text[a], text[b]) for a, b in zip(order[:-1], order[1:], strict=True)]
         want = [max([common(t, u) for u, q in zip(text, position, strict=True) if q < p], default=0) for t, p in zip(text, position, strict=True)]
-        assert suffix_dedup.longest_previous(order, lcp, position).tolist() == want
+        assert suffix_dedup.longest_previous(order, lcp, position, length).tolist() == want
     e = np.empty(0, np.int64)
-    assert len(suffix_dedup.longest_previous(*suffix_dedup.suffix_order(np.empty(0, np.uint8), e, length), e)) == 0
+    assert len(suffix_dedup.longest_previous(*suffix_dedup.suffix_order(np.empty(0, np.uint8), e, length), e, length)) == 0
 
 
 def test_substring_dedup_equals_brute_force(docs, rows):
