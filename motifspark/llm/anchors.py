@@ -7,8 +7,8 @@ anchor form one context. Equal windows can only lie in contexts of one anchor:
 
 1. ``contexts`` lists all contexts of a document (a few for each 100 symbols).
 2. ``candidates`` shuffles them by anchor and lists who is to meet whom: the first
-   of equal contexts meets the other contexts of its anchor; equal contexts form a
-   tree by their order, in which each one is the reference of the next ``FAN`` and
+   of equal contexts meets the other contexts of its anchor; if an anchor has few,
+   all of them meet at once, else equal contexts form a tree by their order, in which each one is the reference of the next ``FAN`` and
    meets the earlier one that is its own.
 3. ``copied_spans`` brings the symbols of these to one task for each meeting, where
    an operator's kernel tells which windows stand earlier. An anchor with many
@@ -41,6 +41,7 @@ from .storage import materialize
 NO_ID = -(2**63)
 OFTEN_IN_CHUNK = 3
 MANY_CONTEXTS = 512
+WITHIN_BYTES = 1 << 20
 FAN = 128  # later copies that one context is the reference of
 FIRST, SPREAD, COPY = 0, 1, 2
 _POSITION_BITS = 24
@@ -155,8 +156,15 @@ def _keyed(unit: Unit, kernel: Callable) -> Callable:
         a = bounds[doc[mine]] + pos[mine]
         b = a + count[mine] + unit.window - 1
         a, b = (a, b) if starts is None else (starts[a], ends[b - 1])
-        c, start, end = _decided(kernel, unit.window, ctx[mine], rank[doc[mine]], pos[mine], count[mine], *_sliced(buf, a, b))
-        return merged(doc[mine][c], start, end)
+        new = np.flatnonzero(np.concatenate([[True], ctx[mine][1:] != ctx[mine][:-1]]))
+        size = np.concatenate([[0], np.cumsum(b - a)])[new] // WITHIN_BYTES
+        cuts = np.append(new[np.concatenate([[True], size[1:] != size[:-1]])], len(mine)).tolist()  # whole groups, of so many bytes
+        spans = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            m = mine[i:j]
+            c, start, end = _decided(kernel, unit.window, ctx[m], rank[doc[m]], pos[m], count[m], *_sliced(buf, a[i:j], b[i:j]))
+            spans.append((doc[m][c], start, end))
+        return merged(*map(np.concatenate, zip(*spans, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, off in tx.chunks(batches, chunk_bytes=1 << 21):
@@ -218,7 +226,9 @@ def candidates(own: DataFrame, unit: Unit, kernel: Callable) -> DataFrame:
     with_anchor = f"if(nth = 1 and (state_of_key = {SPREAD} or low <> high), {meeting('key', f'(state_of_key = {SPREAD} or n > {MANY_CONTEXTS})')}, null)"
     with_earlier = f"if(nth > 1, {meeting(f'xxhash64(key, ctx, cast((nth - 2) div {FAN} + 1 as long))', 'false')}, null)"
     with_later = f"if(equals > {FAN} * cast(nth - 1 as long) + 1, {meeting('xxhash64(key, ctx, cast(nth as long))', 'false')}, null)"
-    meet = f"if(state = {COPY}, array(), array_compact(array({with_anchor}, {with_earlier}, {with_later})))"
+    few = f"state_of_key <> {SPREAD} and n <= {MANY_CONTEXTS}"  # all contexts of the anchor, equal or not, meet at once
+    with_all = f"if(n > 1, array({meeting('key', 'false')}), array())"
+    meet = f"case when state = {COPY} then array() when {few} then {with_all} else array_compact(array({with_anchor}, {with_earlier}, {with_later})) end"
     out = seen.selectExpr("doc_id", "row", "at >> 10 as pos", f"if(state = {COPY}, ctx, (at >> 2) & 255) as windows", "state", f"{meet} as meet")
     return materialize(out.where(f"state = {COPY} or size(meet) > 0").drop("state"))
 
@@ -255,6 +265,17 @@ def _sent(unit: Unit) -> Callable:
                     known[order] = (ident[order] != ident[head]) | (text[order] != text[head])
                     if unit.same_document:
                         known[order] |= pos[order] != pos[head]
+                # Known windows travel as runs.
+                run = np.flatnonzero(known)
+                run = run[np.lexsort((pos[run], row[run]))]
+                begins = np.ones(len(run), bool)
+                begins[1:] = (row[run][1:] != row[run][:-1]) | (pos[run][1:] > pos[run][:-1] + 1)
+                if len(run):
+                    head = np.flatnonzero(begins)
+                    count[run[head]] = pos[run[np.append(head[1:], len(run)) - 1]] - pos[run[head]] + 1
+                    stay = ~known
+                    stay[run[head]] = True
+                    row, pos, count, key, known, ident, text = (x[stay] for x in (row, pos, count, key, known, ident, text))
                 a = bounds[row] + pos
                 b = a + count + w - 1
                 a, b = (a, b) if starts is None else (starts[np.minimum(a, len(starts) - 1)], ends[np.maximum(b - 1, 0)] if len(ends) else b)
@@ -278,7 +299,7 @@ def _compared(unit: Unit, kernel: Callable, block_bytes: int) -> Callable:
         first[order] = np.concatenate([[True], ~(same(key) & same(known) & same(ident) & same(text) & same(pos))])  # equal rows send the same
         at = np.flatnonzero(~known & first)
         known = np.flatnonzero(known & first)
-        out = [np.stack([ident[known], text[known], pos[known], pos[known] + unit.window])]
+        out = [np.stack([ident[known], text[known], pos[known], pos[known] + count[known] + unit.window - 1])]
         if len(at):
             buf, off = tx.raw(t.column("data").take(pa.array(at)).cast(pa.large_binary()).combine_chunks().view(pa.large_string()))
             document = np.empty(len(at), np.int64)  # its place in the order of documents
@@ -324,7 +345,7 @@ def merged(ident: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return ident[at], start[at], np.maximum.reduceat(end, at)
 
 
-def copied_spans(own: DataFrame, unit: Unit, kernel: Callable, block_bytes: int = 1 << 21) -> DataFrame:
+def copied_spans(own: DataFrame, unit: Unit, kernel: Callable, block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, row, spans: for each document with copied windows, spans of symbols that they cover (not merged)."""
     found = candidates(own, unit, kernel)
     meetings = found.select("doc_id", "row", "pos", "windows", F.explode("meet").alias("m")).select("doc_id", "row", "pos", F.col("windows").cast("int").alias("windows"), "m.key", "m.alone")

@@ -113,6 +113,7 @@ def test_dedup_on_given_documents_is_the_kernels(spark):
 def test_dedup_of_many_copies_in_many_chunks(spark, monkeypatch, fan):
     """Copies meet in a tree, whatever its fan: each later one goes, the first stays, repeats within a text count in op2 alone."""
     monkeypatch.setattr(anchors, "FAN", fan)
+    monkeypatch.setattr(anchors, "MANY_CONTEXTS", 2 * fan)
     r = random.Random(5)
     body = " ".join(f"w{r.randrange(400)}" for _ in range(150))
     table = [(i, f"{i} {body} {i}" if i % 2 else f"{body} {body}" if i % 3 else body) for i in range(24)]
