@@ -28,27 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df to the shared folder and return it as read back."""
+    """Write df to the shared folder and return it as read back. The shuffle files of the write go with its end, and don't wait for the driver's garbage collection."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows for the jobs that run inside, the session's own setting afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting for the jobs that run inside, the session's own afterwards."""
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> contextlib.AbstractContextManager[None]:
+    """Arrow batches of so many rows for the jobs that run inside."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
