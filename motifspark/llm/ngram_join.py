@@ -13,11 +13,13 @@ So that no point is searched against all others:
 * a class sends its rarest ``n - ceil(t * n) + 1`` shingles to the shingles' tasks; two
   sets with similarity t share one of these whatever the common order is. The order
   is by a count sketch of all shingles, so that widely shared passages come last;
-* where a shingle meets more than one class, the R-tree of these classes yields
-  links that span each group of possible partners (never all pairs of a group);
-* the components of those links are the groups of possible partners. Groups of long
-  sets, which few counts tell apart badly, are divided again by the R-tree of points
-  with more counts (``FINE``), each class once and without its set;
+* shingles that meet the same classes are taken as one. Where a shingle meets more than
+  one class, the R-tree of these classes yields links that span each group of possible
+  partners (never all pairs of a group); the parities of finer counts bound the overlap
+  a second time, as few counts tell long sets apart badly;
+* the components of those links are the groups of possible partners. Groups of very
+  long sets (``DIVIDED``) are divided again by the R-tree of points with more counts
+  (``FINE``), each class once and without its set;
 * what is left in a group is brought together and verified on the whole sets, again by
   an R-tree search. A group over BLOCK sets or BLOCK_GRAMS shingles goes in pairs of blocks.
 
@@ -48,6 +50,8 @@ GROUPS = 32
 SKETCH = 1 << 18
 PAGE = 64
 FINE = 1024
+PARITIES = 4096
+DIVIDED = 2 * PARITIES  # shingles of a group's sets, in the mean, beyond which parities tell them apart badly
 BLOCK = 4096
 BLOCK_GRAMS = 1 << 22
 ARROW_ROWS = 1000
@@ -125,11 +129,14 @@ def _prefixes(k: int, percent: int, sketch) -> Callable:
 
 
 def _points(k: int) -> Callable:
+    """Each class's point and its parities, in one value."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, off in tx.chunks(batches):
             grams, bounds = shingle_sets(buf, off, k)
             v = vectors(grams, bounds).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(np.diff(bounds)), pa.array([r.tobytes() for r in v], pa.binary())], ["class_id", "n", "point"])
+            odd = parities([grams[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(np.diff(bounds)), pa.array([r.tobytes() + q.tobytes() for r, q in zip(v, odd, strict=True)], pa.binary())], ["class_id", "n", "point"])
 
     return run
 
@@ -167,7 +174,7 @@ def points_of(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def parities(sets: list[np.ndarray], bits: int = 4096) -> np.ndarray:
+def parities(sets: list[np.ndarray], bits: int = PARITIES) -> np.ndarray:
     """For each set the parity of its count in each of ``bits`` finer groups, packed. Where two differ, so do the sets."""
     out = np.empty((len(sets), bits // 64), np.uint64)
     for a, b in _slices(sets):
@@ -199,6 +206,7 @@ def spanning_links(n: np.ndarray, points: np.ndarray, percent: int, verify: Call
     k = len(n)
     order = np.lexsort((points[:, 0], n))
     size, at = n[order], points[order]
+    fine = None if fine is None else fine[order]
     pages = np.arange(0, k, PAGE)
     top = np.maximum.reduceat(at, pages, axis=0)
     page_low, page_high = size[pages], size[np.append(pages[1:], k) - 1]
@@ -223,7 +231,7 @@ def spanning_links(n: np.ndarray, points: np.ndarray, percent: int, verify: Call
             bound = np.minimum(at[rest], v).sum(1)
             rest = rest[(100 + percent) * bound >= percent * (s + size[rest])]
             if fine is not None and len(rest):
-                apart = np.bitwise_count(fine[order[rest]] ^ fine[order[q]]).sum(1, dtype=np.int64)
+                apart = np.bitwise_count(fine[rest] ^ fine[q]).sum(1, dtype=np.int64)
                 rest = rest[(100 + percent) * (s + size[rest] - apart) >= 2 * percent * (s + size[rest])]
             for p in rest.tolist():
                 if verify is None or verify(order[q], order[p]):
@@ -253,20 +261,25 @@ def _groups(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def _possible(percent: int, groups: int = GROUPS) -> Callable:
-    """Links between the classes of each shingle (or task) whose points allow the similarity."""
+def _possible(percent: int, groups: int = GROUPS, bits: int = 0) -> Callable:
+    """Links between the classes of each shingle (or task) whose points, and parities behind them, allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 1 << 23):
             token, cls, n = (t.column(c).to_numpy() for c in ("token", "class_id", "n"))
-            points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.int32).reshape(-1, groups)
+            raw = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8).reshape(len(token), -1)
+            points = np.ascontiguousarray(raw[:, : 4 * groups]).view(np.int32)
+            fine = np.ascontiguousarray(raw[:, 4 * groups :]).view(np.uint64) if bits else None
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             many = np.diff(np.append(start, len(token)))
             two = start[many == 2]
-            ok = (100 + percent) * np.minimum(points[two], points[two + 1]).sum(1) >= percent * (n[two] + n[two + 1])
+            both = n[two] + n[two + 1]
+            ok = (100 + percent) * np.minimum(points[two], points[two + 1]).sum(1) >= percent * both
+            if bits:
+                ok &= (100 + percent) * (both - np.bitwise_count(fine[two] ^ fine[two + 1]).sum(1, dtype=np.int64)) >= 2 * percent * both
             pairs = [np.stack([cls[two[ok]], cls[two[ok] + 1]], 1)]
             for a, m in zip(start[many > 2].tolist(), many[many > 2].tolist(), strict=True):
-                found = spanning_links(n[a : a + m], points[a : a + m], percent)
+                found = spanning_links(n[a : a + m], points[a : a + m], percent, fine=fine[a : a + m] if bits else None)
                 if found:
                     pairs.append(cls[a + np.array(found)])
             p = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
@@ -341,20 +354,25 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     chosen = own.join(classes.select("doc_id", "row", "a"), ["doc_id", "row"])
 
     tokens = chosen.mapInArrow(_prefixes(k, percent, sketch), "token long, class_id long")
-    shared = materialize(tokens.selectExpr("*", "count(*) over (partition by token) as many").where("many > 1").select("token", "class_id"))
+    # Shingles that the same classes share are one from here on: a shared passage counts once and not for each of its words.
+    of_token = "over (partition by token)"
+    met = tokens.selectExpr("class_id", f"count(*) {of_token} as many", f"bit_xor(xxhash64(class_id)) {of_token} as who").where("many > 1")
+    shared = materialize(met.selectExpr("xxhash64(who, many) as token", "class_id").distinct())
     wanted = shared.select(F.col("class_id").alias("a")).distinct()
-    points = chosen.join(wanted, "a", "left_semi").mapInArrow(_points(k), "class_id long, n long, point binary").dropDuplicates(["class_id"])
+    chosen = materialize(own.join(classes.join(wanted, "a", "left_semi").select("doc_id", "row", "a"), ["doc_id", "row"]).select("a", "text"))
+    points = chosen.mapInArrow(_points(k), "class_id long, n long, point binary").dropDuplicates(["class_id"])
     met = shared.join(points, "class_id").select("token", "class_id", "n", "point")
-    possible = met.repartition("token").sortWithinPartitions("token").mapInArrow(_possible(percent), "a long, b long")
+    possible = met.repartition("token").sortWithinPartitions("token").mapInArrow(_possible(percent, bits=PARITIES), "a long, b long")
     groups = materialize(components(possible))
 
     sized = groups.join(classes.select(F.col("a").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n")), "node")
     sums = sized.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
-    long_sets = sums.where((F.col("grams") > BLOCK_GRAMS / 32) & (F.col("grams") > 2 * FINE * F.col("size")))
-    divide = groups.join(long_sets.select("component"), "component", "left_semi")
-    points = chosen.join(_tasks(divide, long_sets.withColumn("blocks", F.ceil(F.col("size") / BLOCK))), "a").mapInArrow(_fine_points(k), "token long, class_id long, n long, point binary")
-    parts = components(points.repartition("token").sortWithinPartitions("token").mapInArrow(_possible(percent, FINE), "a long, b long"))
-    groups = materialize(groups.join(long_sets.select("component"), "component", "left_anti").select("node", "component").unionByName(parts))
+    long_sets = materialize(sums.where((F.col("grams") > BLOCK_GRAMS / 32) & (F.col("grams") > DIVIDED * F.col("size"))))
+    if not long_sets.isEmpty():
+        divide = groups.join(long_sets.select("component"), "component", "left_semi")
+        points = chosen.join(_tasks(divide, long_sets.withColumn("blocks", F.ceil(F.col("size") / BLOCK))), "a").mapInArrow(_fine_points(k), "token long, class_id long, n long, point binary")
+        parts = components(points.repartition("token").sortWithinPartitions("token").mapInArrow(_possible(percent, FINE), "a long, b long"))
+        groups = materialize(groups.join(long_sets.select("component"), "component", "left_anti").select("node", "component").unionByName(parts))
 
     sized = groups.join(sized.select("node", "n"), "node")
     sums = sized.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))

@@ -181,6 +181,45 @@ def test_groups_of_long_sets_are_divided_by_finer_counts(spark, monkeypatch):
     assert [x.component_id for x in ngram_join.ngram_join(docs).orderBy("doc_id").collect()] == root
 
 
+def _long_texts(places):
+    """Texts of 3,000 words, alike in one passage at most."""
+    rng = random.Random(5)
+    return [" ".join(["shared passage of eight words in all texts", *(f"t{i}x{rng.random()}" for _ in range(2992))]) for i in range(places)]
+
+
+def test_long_sets_of_one_shingle_are_told_apart_by_parities():
+    import numpy as np
+    import pyarrow as pa
+
+    some = lambda seed, n: np.random.default_rng(seed).integers(0, 2**63, n).astype(np.uint64) << np.uint64(1)
+    base = some(99, 2980)
+    sets = [np.sort(x) for x in (*(some(i, 3000) for i in range(40)), *(np.concatenate([base, some(100 + i, 20)]) for i in range(3)))]
+    bounds = np.cumsum([0, *map(len, sets)])
+    points = [v.astype(np.int32).tobytes() + q.tobytes() for v, q in zip(ngram_join.vectors(np.concatenate(sets), bounds), ngram_join.parities(sets), strict=True)]
+    token, cls = np.array([1] * 43 + [2, 2, 3, 3]), [*range(43), 0, 1, 41, 42]
+    batch = pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls), pa.array([len(sets[i]) for i in cls]), pa.array([points[i] for i in cls], pa.binary())], ["token", "class_id", "n", "point"])
+    found = {tuple(r.values()) for b in ngram_join._possible(85, bits=ngram_join.PARITIES)(iter([batch])) for r in b.to_pylist()}
+    assert {x for pair in found for x in pair} == {40, 41, 42} and (42, 41) in found
+
+
+def test_shingles_of_one_passage_count_once(spark, monkeypatch):
+    texts = [" ".join(f"{c}{i}" for i in range(400)) + " " + " ".join(f"p{i}" for i in range(60)) for c in "abcdef"]
+    written, write = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df: written.append((df.columns, out := write(df))) or out)
+    got = ngram_join.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.component_id for r in got) == list(range(6))
+    shared = next(df for columns, df in written if columns == ["token", "class_id"])
+    assert shared.count() <= 6 * shared.select("token").distinct().count() and shared.count() == shared.distinct().count()
+    assert shared.groupBy("token").agg(F.sort_array(F.collect_list("class_id")).alias("who")).groupBy("who").count().where("count > 1").isEmpty()
+
+
+def test_groups_of_very_long_sets_are_divided_again(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, x in enumerate(_long_texts(4)) for i, t in ((2 * i, x), (2 * i + 1, x + " end"))], "doc_id long, text string")
+    for name, value in (("DIVIDED", 1), ("BLOCK_GRAMS", 32), ("BLOCK", 4)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert [r.component_id for r in ngram_join.ngram_join(docs).orderBy("doc_id").collect()] == [0, 0, 2, 2, 4, 4, 6, 6]
+
+
 def test_keep_one_keeps_columns(docs, empty):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
