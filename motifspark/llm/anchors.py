@@ -346,14 +346,17 @@ def merged(ident: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 
 def copied_spans(own: DataFrame, unit: Unit, kernel: Callable, block_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id, row, spans: for each document with copied windows, spans of symbols that they cover (not merged)."""
+    """doc_id, row, spans: for each document with copied windows, spans of symbols that they cover (not merged).
+
+    What is sent is written before it is dealt out by key, and the spans too, so that the shuffle files of one step are gone before the next.
+    """
     found = candidates(own, unit, kernel)
     meetings = found.select("doc_id", "row", "pos", "windows", F.explode("meet").alias("m")).select("doc_id", "row", "pos", F.col("windows").cast("int").alias("windows"), "m.key", "m.alone")
     todo = meetings.groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "windows", "key", "alone")).alias("todo"))
-    sent = own.join(todo, ["doc_id", "row"]).mapInArrow(_sent(unit), "key long, doc_id long, row long, pos long, windows int, data binary")
+    sent = materialize(own.join(todo, ["doc_id", "row"]).mapInArrow(_sent(unit), "key long, doc_id long, row long, pos long, windows int, data binary"))
     spans = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(unit, kernel, block_bytes), "doc_id long, row long, start long, end long")
     near = found.where("size(meet) = 0").selectExpr("doc_id", "row", "pos as start", f"pos + windows + {unit.window - 1} as end")
-    return spans.unionByName(near).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return materialize(spans.unionByName(near).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 
 def per_document(own: DataFrame, unit: Unit, spans: DataFrame, judge: Callable, schema: str) -> DataFrame:
