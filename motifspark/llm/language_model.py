@@ -72,6 +72,10 @@ def unpack(words: np.ndarray, i: np.ndarray, bits: int) -> np.ndarray:
     return (v & tx.U((1 << bits) - 1)).astype(np.int64)
 
 
+#: The place of each one of each byte, eight to a byte.
+_IN_BYTE = np.array([([b for b in range(8) if byte >> b & 1] + [0] * 8)[:8] for byte in range(256)], np.uint8).ravel()
+
+
 class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary, with the number of ones before each word of these."""
 
@@ -93,17 +97,20 @@ class EliasFano:
         self.zeros = np.arange(len(high), dtype=np.uint64) * tx.U(64) - before
 
     def _select(self, i: np.ndarray, one: bool = True) -> np.ndarray:
-        """Places of the ones (or zeros) number i: the word by its count, then halves of the word."""
+        """Places of the ones (or zeros) number i: the word by its count, then halves of the word, then its byte."""
         before = self.before if one else self.zeros
-        at = np.searchsorted(before, i.astype(np.uint64), side="right") - 1
-        word, left = self.high[at] if one else ~self.high[at], i - before[at].astype(np.int64)
+        i = i.astype(np.uint64)
+        at = np.searchsorted(before, i, side="right") - 1
+        word, left = self.high[at] if one else ~self.high[at], (i - before[at]).astype(np.uint8)
         at <<= 6
-        for half in (32, 16, 8, 4, 2, 1):
-            ones = np.bitwise_count(word & tx.U((1 << half) - 1)).astype(np.int64)
+        shift = np.zeros(len(i), np.uint8)
+        for half in (32, 16, 8):
+            ones = np.bitwise_count(word & tx.U((1 << half) - 1))
             up = left >= ones
-            left -= np.where(up, ones, 0)
-            at += half * up
+            left -= ones * up
+            shift += np.uint8(half) * up
             word = np.where(up, word >> tx.U(half), word)
+        at += shift + _IN_BYTE[(word.astype(np.uint8).astype(np.uint16) << np.uint16(3)) | left]
         return at
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
@@ -233,6 +240,16 @@ def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[at], np.add.reduceat(weight[order], at) if len(at) else np.empty(0, np.int64)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and for each place the number of its value."""
+    order = np.argsort(x)
+    new = np.concatenate([np.ones(min(1, len(x)), bool), x[order][1:] != x[order][:-1]])
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    at = order[new]
+    return x[at], at, number
+
+
 Counted = tuple[np.ndarray, np.ndarray]
 
 
@@ -399,48 +416,45 @@ def _scored(t: pa.Table, a: pa.Table, total: int, texts: int, mass: float, stren
     """texts: the number of training texts; drop: bits left out of hashes."""
     if not t.num_rows:
         return pa.table({n: pa.array([], kind) for n, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-    token, doc, own = [], [], Asked(drop)
+    token, doc, train = [], [], []
     n = 0
     for batch, buf, off in tx.chunks(t.to_batches()):
         of_chunk, row = tokens(buf, off)
-        train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        own.add(of_chunk, row, train[row])
         token.append(of_chunk)
         doc.append((row + n).astype(np.int32))
+        train.append(~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[row])
         n += batch.num_rows
-    token, doc = np.concatenate(token), np.concatenate(doc)
-    grams, words = own.merged()  # in order, as the ranges of hashes are: n-grams, then words
-    c = np.concatenate([grams[1], words[1]])
-    key, word, word_c = grams[0], words[0], c[len(grams[0]) :]
-    del own, grams, words
+    token, doc, train = np.concatenate(token), np.concatenate(doc), np.concatenate(train)
+
+    # Symbols 1.. are the block's words; a level's place 0 is that of texts' starts.
+    word, _, symbol = _distinct(token)
+    symbol += 1
+    bits = int(len(word)).bit_length()
+    v = _before(symbol, doc, 1)
+    keys2, at2, pair = _distinct(v << bits | symbol)
+    pair += 1
+    above = _before(pair, doc, 1)
+    keys3, at3, each = _distinct(above << bits | symbol)
+    one, two = _before(token, doc, 1), _before(token, doc, 2)
+    # What the block asked for, in order as the ranges of hashes are: n-grams, then words.
+    key, _, gram = _distinct(np.concatenate([gram_hash(one[at2], token[at2]), gram_hash(two[at3], one[at3], token[at3])]) >> tx.U(drop))
+    own = np.concatenate([np.bincount(pair - 1, train, len(keys2)), np.bincount(each, train, len(keys3))])
+    c = np.concatenate([np.bincount(gram, own, len(key)), np.bincount(symbol - 1, train, len(word))]).astype(np.int64)
+    n_key = len(key)
+    del token, train, key, one, two, own
     a = a.sort_by("part")
     shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(a.column("shared").to_pylist(), a.column("n").to_pylist(), strict=True)])
     c[shared.astype(bool)] = np.concatenate([_counts(x, int(np.unpackbits(np.frombuffer(y, np.uint8), count=k).sum())) for x, y, k in zip(a.column("c").to_pylist(), a.column("shared").to_pylist(), a.column("n").to_pylist(), strict=True)])
 
-    def count(h: np.ndarray) -> np.ndarray:
-        order = np.argsort(h)  # in order they read the keys in order
-        out = np.empty(len(h), np.int64)
-        out[order] = c[np.searchsorted(key, h[order] >> tx.U(drop))]
-        return out
-
-    # Symbols 1.. are the block's words; a level's place 0 is that of texts' starts.
-    symbol = np.searchsorted(word, token) + 1
-    bits = int(len(word)).bit_length()
+    word_c, n2, n3 = c[n_key:], c[gram[: len(keys2)]], c[gram[len(keys2) :]]
     base = np.log10((word_c + 0.5) / mass)
     p1 = np.concatenate([[1.0], (word_c + 0.5) / mass])
     c1 = np.concatenate([[texts], word_c])
-    v = _before(symbol, doc, 1)
-    keys2, at, pair = np.unique(v << bits | symbol, return_index=True, return_inverse=True)
-    n2 = count(gram_hash(_before(token, doc, 1)[at], token[at]))
     p2 = np.concatenate([[1.0], (n2 + strength * p1[keys2 & ((1 << bits) - 1)]) / (c1[keys2 >> bits] + strength)])
     c2, keys2 = np.concatenate([[texts], n2]), np.concatenate([[0], keys2])
-    pair += 1
-    above = _before(pair, doc, 1)
-    keys3, at, each = np.unique(above << bits | symbol, return_index=True, return_inverse=True)
-    n3 = count(gram_hash(_before(token, doc, 2)[at], _before(token, doc, 1)[at], token[at]))
-    p3 = (n3 + strength * p2[pair[at]]) / (c2[keys3 >> bits] + strength)
-    columns = above[at], pair[at], v[at], symbol[at]
-    del key, c, token, v, pair, above, at
+    p3 = (n3 + strength * p2[pair[at3]]) / (c2[keys3 >> bits] + strength)
+    columns = above[at3], pair[at3], v[at3], symbol[at3]
+    del c, gram, v, pair, above, at2, at3
 
     # The model has what training has seen.
     seen2 = c2 > 0

@@ -122,6 +122,14 @@ def test_dedup_of_many_copies_in_many_chunks(spark, monkeypatch, fan):
     test_substring_dedup_equals_brute_force(docs, table)
 
 
+def test_dedup_writes_each_step_before_the_next(spark, monkeypatch):
+    written, write = [], anchors.materialize
+    monkeypatch.setattr(anchors, "materialize", lambda df: written.append(df.columns) or write(df))
+    docs = spark.createDataFrame([(i, f"{i} " + "some passage that stands twice " * 5) for i in range(3)], "doc_id long, text string")
+    assert suffix_dedup.suffix_dedup(docs).count() == 3
+    assert [x[-1] for x in written] == ["meet", "data", "spans"]
+
+
 def test_dedup_tells_rows_of_one_id_apart(spark):
     """Repeated rows keep their first copy; null and shared ids don't lend their spans to other texts."""
     own = [" ".join(f"{c}{i}" for i in range(70)) for c in "pqrs"]
@@ -321,6 +329,27 @@ def test_lm_counts_of_words_are_whole_where_ngrams_are_cut(spark, monkeypatch):
     assert base() == want
 
 
+def test_lm_scoring_of_a_block_counts_its_ngrams_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    t = pa.table({"doc_id": pa.array([1, 2, 3]), "held_out": pa.array([False, True, False]), "text": pa.array(["a b a b a", "a b c", ""])})
+    asked, ranges = language_model.Asked(24), language_model.Ranges(40, 4)
+    for batch, buf, off in language_model.tx.chunks(t.to_batches()):
+        token, doc = language_model.tokens(buf, off)
+        asked.add(token, doc, np.array([True, False, True])[doc])
+    rows = [(p, len(k), b"\0" * len(k), language_model._slim(c[:0])) for p, k, c in ranges.cut(*asked.merged())]
+    answers = pa.table({name: pa.array(x) for name, x in zip(("part", "n", "shared", "c"), zip(*rows, strict=True), strict=True)})
+    monkeypatch.delattr(language_model, "Asked")
+    out = language_model._scored(t, answers, 7, 2, 7 + 0.5 * 4, 40.0, 24).to_pylist()
+    assert [(r["n_tokens"], r["n_known"]) for r in out] == [(6, 6), (4, 3), (1, 1)]
+    two = (1 + 40 * 2.5 / 9) / 42
+    assert out[2]["base_score"] == pytest.approx(math.log10(2.5 / 9)) and out[2]["score"] == pytest.approx(math.log10((1 + 40 * two) / 42), abs=1e-3)
+    values = np.random.default_rng(3).integers(0, 50, 400)
+    keys, at, number = language_model._distinct(values)
+    assert (keys == np.unique(values)).all() and (values[at] == keys).all() and (keys[number] == values).all()
+
+
 def test_lm_scores_do_not_depend_on_blocks(spark):
     r = random.Random(9)
     texts = [" ".join(f"w{int(r.paretovariate(0.6)) % 4000}" for _ in range(r.randint(0, 60))) for _ in range(3000)]
