@@ -5,16 +5,19 @@ After ``register(spark)`` a query in SQL alone can do what ``alphabet`` and ``sc
     select r.read_id, w.pos, trm_strand_canonical(trm_canonical(w.kmer)) as motif
     from reads r, lateral trm_windows(r.seq, 6) w
 
-They are SQL expressions that Catalyst inlines; nothing leaves the JVM.
+They are SQL expressions that Catalyst inlines; nothing leaves the JVM. A table function
+is one ``select inline(...)`` without a subquery: so a lateral join to it is a generator on
+the rows, and no join of the table with its own distinct texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+_ENCODE = "translate(upper({seq}), 'TGCA0123', '0123xxxx')"
 # name and arguments, what it returns, body
 SCALARS = (
-    ("trm_encode(seq string)", "string", "translate(upper(seq), 'TGCA0123', '0123xxxx')"),
+    ("trm_encode(seq string)", "string", _ENCODE.format(seq="seq")),
     ("trm_decode(motif string)", "string", "translate(motif, '0123', 'TGCA')"),
     ("trm_reverse_complement(motif string)", "string", "reverse(translate(motif, '0123', '3210'))"),
     ("trm_canonical(motif string)", "string", "array_min(transform(sequence(1, length(motif)), i -> substr(concat(motif, motif), i, length(motif))))"),
@@ -31,14 +34,14 @@ TABLES = (
     (
         "trm_slices(seq string, size int)",
         "slice int, seg string",
-        """select i, substr(trm_slices.seq, (i - 1) * trm_slices.size + if(i > mid, over, 0) + 1, trm_slices.size + if(i = mid, over, 0))
-from (select n, length(trm_slices.seq) % trm_slices.size as over, (n + 1) div 2 as mid, explode(if(n > 0, sequence(1, n), array())) as i from (select cast(length(trm_slices.seq) div trm_slices.size as int) as n))""",
+        """select inline(flatten(transform(array(length(trm_slices.seq)), n -> transform(if(n div trm_slices.size > 0, sequence(1, cast(n div trm_slices.size as int)), cast(array() as array<int>)), i -> struct(i, substr(trm_slices.seq,
+(i - 1) * trm_slices.size + if(i > (n div trm_slices.size + 1) div 2, n % trm_slices.size, 0) + 1, trm_slices.size + if(i = (n div trm_slices.size + 1) div 2, n % trm_slices.size, 0))))))) as (slice, seg)""",
     ),
     (
         "trm_windows(seq string, k int)",
         "pos int, kmer string",
-        """select i, w from (select i, substr(enc, i, trm_windows.k) as w
-from (select trm_encode(trm_windows.seq) as enc, explode(if(length(trm_windows.seq) >= trm_windows.k, sequence(1, length(trm_windows.seq) - trm_windows.k + 1), array())) as i)) where not w rlike '[^0-3]'""",
+        f"""select inline(filter(flatten(transform(array({_ENCODE.format(seq="trm_windows.seq")}), enc -> transform(
+if(length(trm_windows.seq) >= trm_windows.k, sequence(1, length(trm_windows.seq) - trm_windows.k + 1), cast(array() as array<int>)), i -> struct(i as pos, substr(enc, i, trm_windows.k) as kmer)))), w -> not w.kmer rlike '[^0-3]')) as (pos, kmer)""",
     ),
 )
 

@@ -44,6 +44,12 @@ def test_tables_in_sql_alone(tables):
     assert got == want
 
 
+@pytest.mark.parametrize("call", ["trm_halves(r.seq)", "trm_slices(r.seq, 150)", "trm_windows(r.seq, 6)"])
+def test_a_lateral_table_function_joins_and_shuffles_nothing(tables, call):
+    plan = tables.sql(f"select r.read_id, t.* from some_reads r, lateral {call} t")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Join" not in plan and "Exchange" not in plan
+
+
 def test_commonest_motif_in_sql_alone(tables):
     tables.createDataFrame([(1, "TTAGGG" * 6), (2, "CCCTAA" * 4)], "read_id long, seq string").createOrReplaceTempView("two_reads")
     top = tables.sql("select motif, count(*) as n from (select trm_strand_canonical(trm_canonical(w.kmer)) as motif from two_reads r, lateral trm_windows(r.seq, 6) w) group by motif").collect()
