@@ -1,11 +1,18 @@
 """Work that grew faster than the reads, or was done again for equal ones."""
 
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from motifspark.config import ScanConfig
 from motifspark.jobs import registry
+from motifspark.operators import kernel
 from motifspark.sources import reads as rd
 
+from .test_motifs import encode
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -22,6 +29,21 @@ def test_reads_are_those_of_their_sql_and_hash_once(spark, reads, sql, salts):
     assert plan(reads(spark, SF).where("length(seq) >= 150")).count("md5(") == salts
 
 
+def test_digests_equal_plain_windows(spark):
+    r = random.Random(7)
+    texts = ["".join(r.choices("TGCANtg3", weights=[9, 9, 9, 9, 1, 1, 1, 1], k=r.randrange(0, 120))) for _ in range(60)] + ["TTAGGG" * 20] * 50 + ["", None, "N" * 40, "TTAGG", "NTTAGGN"]
+    out = kernel.digests(spark.createDataFrame(list(enumerate(texts)), "id long, seq string"), "seq", ScanConfig(3, 40))
+    want = {}
+    for i, t in enumerate(texts):
+        s = encode(t or "")
+        for k in range(3, 41):
+            windows = [s[j : j + k] for j in range(len(s) - k + 1) if "x" not in s[j : j + k]]
+            if windows:
+                want[i, k] = (len(windows), hashlib.md5(",".join(windows).encode()).hexdigest())
+    rows = out.collect()
+    assert len(rows) == len(want) and {(x.id, x.k): (x.windows, x.digest) for x in rows} == want
+
+
 def test_valid_windows_are_counted_without_making_them(spark):
     query = registry.QUERIES["valid_windows"](spark, SF)
     assert "Generate" not in plan(query) and "substr(run" not in plan(query)
