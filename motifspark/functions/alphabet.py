@@ -6,6 +6,8 @@ windows, digits in a read as well. Motifs of one length compare as strings of di
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +38,9 @@ def strand_canonical(motif: Column) -> Column:
 
 
 def is_palindrome(motif: Column) -> Column:
-    return canonical(reverse_complement(motif)) == motif
+    """Whether a canonical motif is its own other strand. Such a motif has each base as often as its complement, which is told first."""
+    balanced = reduce(Column.__and__, ((F.length(F.replace(motif, F.lit(d))) == F.length(F.replace(motif, F.lit(c)))) for d, c in ("03", "12")))
+    return F.when(balanced, canonical(reverse_complement(motif)) == motif).otherwise(balanced)
 
 
 def distinct_bases(motif: Column) -> Column:

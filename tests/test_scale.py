@@ -3,15 +3,18 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from motifspark.config import ScanConfig
+from motifspark.functions import alphabet as al
 from motifspark.jobs import registry
 from motifspark.operators import kernel
 from motifspark.sources import reads as rd
 
-from .test_motifs import encode
+from .test_motifs import _FLIP, canon, encode, plain_check
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +52,39 @@ def test_valid_windows_are_counted_without_making_them(spark):
     assert "Generate" not in plan(query) and "substr(run" not in plan(query)
     totals = registry.QUERIES["window_totals"](spark, SF).groupBy("read_id").agg(F.sum("total").alias("windows")).where("windows > 0")
     assert not query.exceptAll(totals).count() and not totals.exceptAll(query).count()
+
+
+def test_palindromes_equal_their_definition(spark):
+    r = random.Random(3)
+    halves = ["".join(r.choices("0123", k=r.randrange(1, 9))) for _ in range(80)]
+    motifs = sorted({canon(m) for h in halves for m in (h + h[::-1].translate(_FLIP), h + "0", h + h, h)})
+    rows = spark.createDataFrame([(m,) for m in motifs], "m string").select("m", al.is_palindrome(F.col("m"))).collect()
+    want = {m: canon(m[::-1].translate(_FLIP)) == m for m in motifs}
+    assert {m: p for m, p in rows} == want and {True, False} == set(want.values())
+
+
+def test_palindromes_are_told_of_distinct_motifs_alone(spark):
+    tree = registry.QUERIES["palindromes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min" in tree and "array_min" not in tree[tree.rindex("Aggregate [") :].split("\n", 1)[1]
+
+
+def test_only_texts_without_a_result_are_left_out():
+    r, cfg = random.Random(8), ScanConfig()
+    noise = lambda n: "".join(r.choices("TGCA", k=n))
+    motif = lambda: noise(r.randint(2, 40))
+    texts = [(motif() * 40)[: r.randint(0, 90)] + r.choice(["", "N", "tag"]) + noise(r.randint(0, 60)) for _ in range(120)] + [noise(150) for _ in range(100)]
+    lo, hi = np.array([r.randint(3, 26) for _ in texts]), np.array([r.randint(2, 32) for _ in texts])
+    lo[-100:], hi[-100:] = 5, 32
+    kept = kernel.may_repeat([t.encode() for t in texts], lo, hi, cfg)
+    results = [any(k for k, *_ in plain_check(encode(t), a, b, cfg).values()) for t, a, b in zip(texts[:120], lo.tolist(), hi.tolist(), strict=False)]
+    assert all(kept[i] for i, x in enumerate(results) if x) and 15 < sum(results) < sum(kept) and not kept[-100:].any()
+
+
+def test_equal_segments_are_counted_once():
+    texts = ["TTAGGG" * 25, "", None, "N" * 150] * 50 + ["TTAGGG" * 24 + "CCCTAA"] * 3
+    seg = pa.array(texts).fill_null("")
+    lo, hi = np.full(len(texts), 5), np.array([32, 32, 32, 32] * 50 + [32, 32, 0])
+    out, at = kernel._found_once(seg, lo, hi, ScanConfig())
+    assert len(out["high"]) == 3  # two texts, and what has no result
+    assert [out["high"][i]["k"].as_py() for i in at[[0, 1, 2, 3, 4, 200, 201, 202]]] == [6, 0, 0, 0, 6, 6, 6, 0]
+
