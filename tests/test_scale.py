@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from motifspark.config import ScanConfig
 from motifspark.functions import alphabet as al
 from motifspark.jobs import registry
-from motifspark.operators import kernel
+from motifspark.operators import kernel, scan
 from motifspark.sources import reads as rd
 
 from .test_motifs import _FLIP, canon, encode, plain_check
@@ -88,3 +88,18 @@ def test_equal_segments_are_counted_once():
     assert len(out["high"]) == 3  # two texts, and what has no result
     assert [out["high"][i]["k"].as_py() for i in at[[0, 1, 2, 3, 4, 200, 201, 202]]] == [6, 0, 0, 0, 6, 6, 6, 0]
 
+
+def test_slices_of_the_kernel_are_those_of_the_column(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choices("TGCAéN", k=r.randrange(150, 1400))) for _ in range(40)] + ["T" * 150, "TTAGGG" * 100]
+    bound, parts = kernel._slices(pa.array(texts), 150)
+    want = [x.s for x in spark.createDataFrame([(t,) for t in texts], "t string").select(scan.slices(F.col("t"), 150).alias("s")).collect()]
+    assert parts.to_pylist() == sum(want, []) and np.diff(bound).tolist() == [len(w) for w in want]
+
+
+@pytest.mark.parametrize("query", ["segment_check", "prefix_run", "suffix_run"])
+def test_slices_are_cut_in_the_kernel_and_told_without_counts(spark, query):
+    tree = plan(registry.QUERIES[query](spark, SF))
+    assert "cnt" not in tree and "transform(sequence" not in tree and "substr" not in tree.split("MapInArrow")[0]
+    tree = plan(scan.scan_long(rd.long_reads(spark, SF), ScanConfig()))
+    assert "__segments" not in tree
