@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions import alphabet as al
+from ..sources.scratch import written
 from .ranks import with_rank
 
 # Rows printed from, answers from, votes by forward, total and ratio, ratio candidates, answers.
@@ -40,7 +41,14 @@ def report(folded: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def vote_scores(merged: DataFrame) -> DataFrame:
-    """level, k, kmer, score: one vote for each of the level's first by forward count, by total and by strand ratio."""
+    """level, k, kmer, score: one vote for each of the level's first by forward count, by total and by strand ratio.
+
+    Votes, calls and answers read the merged motifs in several branches, so these are written once: a scan runs once.
+    """
+    return _votes(written(merged)[0])
+
+
+def _votes(merged: DataFrame) -> DataFrame:
     rows = merged.withColumn("total", F.col("fwd") + F.col("bwd") + F.col("both")).where(F.col("total") >= PRINT_FROM)
     rows = rows.select("level", "k", "kmer", "total", F.greatest("fwd", "bwd").alias("f"), F.least("fwd", "bwd").alias("b"))
     rank = lambda *o: F.row_number().over(Window.partitionBy("level").orderBy(*o, "k", "kmer"))
@@ -56,7 +64,11 @@ def vote_scores(merged: DataFrame) -> DataFrame:
 
 def direction_call(merged: DataFrame) -> DataFrame:
     """k, kmer, score (both levels and bonuses) and direction of every voted motif."""
-    score = vote_scores(merged).groupBy("k", "kmer").agg(F.sum("score").cast("int").alias("votes"))
+    return _calls(written(merged)[0])
+
+
+def _calls(merged: DataFrame) -> DataFrame:
+    score = _votes(merged).groupBy("k", "kmer").agg(F.sum("score").cast("int").alias("votes"))
     of = lambda level: merged.where(F.col("level") == level).select("k", "kmer", F.col("fwd").alias(f"{level}_f"), F.col("bwd").alias(f"{level}_b"))
     rows = score.join(of("low"), ["k", "kmer"], "left").join(of("high"), ["k", "kmer"], "left").na.fill(0)
     low, high = F.signum(F.col("low_f") - F.col("low_b")).cast("int"), F.signum(F.col("high_f") - F.col("high_b")).cast("int")
@@ -70,10 +82,11 @@ def direction_call(merged: DataFrame) -> DataFrame:
 
 def putative(merged: DataFrame) -> DataFrame:
     """The answers: k, motif, score, sign and their rank from 1; one row without a motif where no motif is frequent."""
+    merged, _ = written(merged)
     gate = merged.agg(F.coalesce(F.max(F.col("fwd") + F.col("bwd") + F.col("both")) >= ANSWER_FROM, F.lit(False)).alias("open"))
     sign = F.when(F.col("direction") > 0, "+").when(F.col("direction") < 0, "-").otherwise("?")
     order = [F.desc("score"), F.desc(al.distinct_bases(F.col("kmer"))), "k", "kmer"]
-    found = direction_call(merged).orderBy(*order).limit(ANSWERS).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # ANSWERS rows
+    found = _calls(merged).orderBy(*order).limit(ANSWERS).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # ANSWERS rows
     found = found.join(F.broadcast(gate.where("open"))).select("k", al.decode(F.col("kmer")).alias("motif"), "score", sign.alias("sign"), "rank")
     none = gate.where("not open").select(F.lit(-1).alias("k"), F.lit("NO_PUTATIVE_TRM").alias("motif"), F.lit(-1).alias("score"), F.lit("?").alias("sign"), F.lit(1).alias("rank"))
     return found.unionByName(none)

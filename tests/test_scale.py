@@ -103,3 +103,8 @@ def test_slices_are_cut_in_the_kernel_and_told_without_counts(spark, query):
     assert "cnt" not in tree and "transform(sequence" not in tree and "substr" not in tree.split("MapInArrow")[0]
     tree = plan(scan.scan_long(rd.long_reads(spark, SF), ScanConfig()))
     assert "__segments" not in tree
+
+
+@pytest.mark.parametrize("query", ["vote_scores", "direction_call", "putative_trm"])
+def test_a_scan_runs_once_whatever_reads_its_motifs(spark, query):
+    assert "MapInArrow" not in plan(registry.QUERIES[query](spark, SF))
