@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import ScanConfig
 from ..functions import alphabet as al
 from ..sources.scratch import written
+from .kernel import with_flip
 from .ranks import with_rank
 
 # Rows printed from, answers from, votes by forward, total and ratio, ratio candidates, answers.
@@ -17,7 +18,7 @@ TOP_FORWARD, TOP_TOTAL, TOP_RATIO, RATIO_CANDIDATES, ANSWERS = 4, 4, 4, 20, 10
 
 def strand_fold(rows: DataFrame, cfg: ScanConfig, by: tuple[str, ...] = ()) -> DataFrame:
     """by, level, k, kmer, fwd, bwd, both: counts by strand; bwd is -1 for motifs that are their own other strand."""
-    folded = rows.withColumn("flip", al.canonical(al.reverse_complement(F.col("kmer"))))
+    folded = with_flip(rows, "kmer", "flip")
     own = F.when(F.col("direction") == "backward", F.col("flip")).otherwise(F.col("kmer"))
     one_way = F.col("direction") != "both"
     key = F.when(one_way, F.least("kmer", "flip")).otherwise(F.col("kmer"))

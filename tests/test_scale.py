@@ -108,3 +108,11 @@ def test_slices_are_cut_in_the_kernel_and_told_without_counts(spark, query):
 @pytest.mark.parametrize("query", ["vote_scores", "direction_call", "putative_trm"])
 def test_a_scan_runs_once_whatever_reads_its_motifs(spark, query):
     assert "MapInArrow" not in plan(registry.QUERIES[query](spark, SF))
+
+
+def test_other_strands_are_made_once_in_the_kernel(spark):
+    r = random.Random(6)
+    motifs = [canon("".join(r.choices("0123", k=r.randint(1, 64)))) for _ in range(300)] + ["0", "3", "0" * 64, "01" * 16]
+    assert kernel._flips(motifs).to_pylist() == [canon(m[::-1].translate(_FLIP)) for m in motifs]
+    tree = plan(registry.QUERIES["strand_fold"](spark, SF))
+    assert tree[tree.index("MapInArrow") :].count("array_min") == 0
